@@ -15,26 +15,9 @@ def squared_norm(vector: Column) -> Column:
 
 
 def l2_normalise(vector: Column) -> Column:
-    """Unit-length vector; a zero vector stays as it is."""
-    length = F.sqrt(squared_norm(vector))
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda x: x / length))
+    """Unit-length vector; a zero vector stays as it is.
 
-
-def hashed_counts(tokens: Column, dim: int = 64) -> Column:
-    """Token counts in ``dim`` (at most 256) buckets by the first byte of the token's MD5.
-
-    A stand-in encoder that needs no model. It works inside the row, without a shuffle.
+    The length goes in as a second list, so that it is computed once and not per element.
     """
-    codes = F.transform(
-        tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % F.lit(dim))
-    )
-    return codes
-
-
-def bucket_counts(codes: Column, dim: int = 64) -> Column:
-    """How often each of 0 … dim-1 occurs in an array of bucket numbers, as doubles."""
-    size = F.size(codes)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (size - F.size(F.array_remove(codes, i))).cast("double"),
-    )
+    length = F.array_repeat(F.sqrt(squared_norm(vector)), F.size(vector))
+    return F.zip_with(vector, length, lambda x, n: F.when(n == 0, x).otherwise(x / n))

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 SCALE = 1_000_000
 _NONE = np.iinfo(np.int64).max
 
-# Upper bounds for one query block on the driver and in each task.
+# Upper bounds for one query block on the driver and in each task: vectors, their components,
+# and term counts.
 MAX_BLOCK_ROWS = 50_000
-MAX_BLOCK_VALUES = 4_000_000
+MAX_BLOCK_VALUES = 16_000_000
+MAX_BLOCK_TERMS = 4_000_000
 # Cells of one dense score block inside a task.
 BLOCK_CELLS = 4_000_000
 # Entries of running results a task may hold before it hands them on.
@@ -38,6 +40,12 @@ class RunningTopK:
         rows, width = keys.shape
         if rows == 0 or width == 0:
             return
+        at = np.arange(len(self.ids)) if queries is None else queries
+        better = keys.min(axis=1) <= self.keys[at, -1]
+        if not better.all():
+            keys, at = keys[better], at[better]
+            if at.size == 0:
+                return
         take = min(self.k, width)
         if take < width:
             best = self._smallest(keys, take)
@@ -45,7 +53,6 @@ class RunningTopK:
             ids = ids[best]
         else:
             ids = np.broadcast_to(ids, keys.shape)
-        at = slice(None) if queries is None else queries
         keys = np.concatenate([self.keys[at], keys], axis=1)
         ids = np.concatenate([self.ids[at], ids], axis=1)
         order = np.lexsort((ids, keys), axis=-1)[:, : self.k]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import vectors as V
 from quizloom.operators import blocks as B
-from quizloom.runtime import dense_row_id
+from quizloom.runtime import broadcast_if_small, dense_row_id, materialise
 
 _NEIGHBOUR_SCHEMA = "shard int, query_id long, passage_id long, distance_key long"
 
@@ -41,13 +41,14 @@ def _distance_keys(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.rint(np.maximum(square, 0.0) * B.SCALE).astype(np.int64)
 
 
-def query_blocks(queries: DataFrame, dim: int) -> list[DataFrame]:
-    """Split queries by hash so that a block fits the bound; usually there is one block."""
-    limit = max(1, min(B.MAX_BLOCK_ROWS, B.MAX_BLOCK_VALUES // max(1, dim)))
-    n = queries.count()
-    if n <= limit:
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """Split queries by hash so that a block fits the bounds; usually there is one block."""
+    queries = materialise(queries.where(F.col("v").isNotNull()))
+    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    limit = max(1, min(B.MAX_BLOCK_ROWS, B.MAX_BLOCK_VALUES // (sizes["dim"] or 1)))
+    if sizes["n"] <= limit:
         return [queries]
-    parts = -(-n // (limit // 2 or 1))
+    parts = -(-5 * sizes["n"] // (4 * limit))
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
     return [queries.where(bucket == part) for part in range(parts)]
 
@@ -96,18 +97,15 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
             shards = batch.column("shard").to_numpy(zero_copy_only=False)
             ids = batch.column("passage_id").to_numpy(zero_copy_only=False)
             rows = _matrix(batch.column("v"))
-            cell = batch.column("cell").to_numpy(zero_copy_only=False) if cells else None
-            groups = shards.astype(np.int64)[:, None]
-            if cells:
-                groups = np.column_stack([groups, cell])
-            for group in np.unique(groups, axis=0):
-                at = np.flatnonzero((groups == group).all(axis=1))
-                at = at[np.argsort(ids[at])]
-                who = cells.get(int(group[1])) if cells else None
+            cell = batch.column("cell").to_numpy(zero_copy_only=False) if cells else 0 * shards
+            order = np.lexsort((ids, cell, shards))
+            border = (np.diff(shards[order]) != 0) | (np.diff(cell[order]) != 0)
+            for at in np.split(order, np.flatnonzero(border) + 1):
+                who = cells.get(int(cell[at[0]])) if cells else None
                 if cells and who is None:
                     continue
                 wanted = matrix_q if who is None else matrix_q[who]
-                shard = int(group[0])
+                shard = int(shards[at[0]])
                 if shard not in states:
                     if (len(states) + 1) * ids_q.size * k > B.MAX_STATE_ENTRIES:
                         yield from flush()
@@ -117,19 +115,20 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
                     states[shard].push(_distance_keys(wanted, rows[chosen]), ids[chosen], who)
         yield from flush()
 
-    columns = ["shard", "passage_id", "v"] + (["cell"] if probes else [])
-    return passages.select(*columns).mapInArrow(search, _NEIGHBOUR_SCHEMA)
+    if probes is None:
+        rows = passages.select("shard", "passage_id", "v")
+    else:
+        # A sort inside the partitions, no shuffle: rows of a cell are scored together.
+        rows = passages.select("shard", "passage_id", "v", "cell").sortWithinPartitions(
+            "shard", "cell"
+        )
+    return rows.mapInArrow(search, _NEIGHBOUR_SCHEMA)
 
 
 def _usable(df: DataFrame) -> DataFrame:
     return df.where(F.col("v").isNotNull())
 
 
-def _dimension(df: DataFrame) -> int:
-    row = df.select(F.size("v").alias("n")).first()
-    return 0 if row is None else row["n"]
-
-
 def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     best = B.keep_ranked(
         B.union_all(parts), ["shard", "query_id"], ["distance_key", "passage_id"], k
@@ -146,9 +145,9 @@ def topk_per_shard(queries: DataFrame, passages: DataFrame, k: int = K.DENSE_K)
     ``queries`` is (query_id, v), ``passages`` is (shard, passage_id, v). Passages are read
     once per query block and not shuffled; equal distances go by passage_id.
     """
-    queries, passages = _usable(queries), _usable(passages)
+    passages = _usable(passages)
     parts = []
-    for block in query_blocks(queries, _dimension(queries)):
+    for block in query_blocks(queries):
         ids, matrix = _collect_vectors(block, "query_id")
         if ids.size:
             parts.append(_search(passages, ids, matrix, k))
@@ -212,10 +211,10 @@ def ivf_topk(
     partitions of a table written by cell. A cell that holds a large share of all rows is
     spread over the tasks like any other rows, since nothing is grouped by cell.
     """
-    queries, cell_passages = _usable(queries), _usable(cell_passages)
+    cell_passages = _usable(cell_passages)
     cell_ids, centres = _collect_vectors(centroids, "cell")
     parts = []
-    for block in query_blocks(queries, centres.shape[1]):
+    for block in query_blocks(queries):
         ids, matrix = _collect_vectors(block, "query_id")
         if not ids.size:
             continue
@@ -238,10 +237,11 @@ def keep_nearest(neighbours: DataFrame, keep: int = K.DENSE_KEEP) -> DataFrame:
 def candidate_pool(neighbours: DataFrame, passages: DataFrame) -> DataFrame:
     """Distinct texts over all shards and queries, each with its smallest passage_id.
 
-    The ids shrink to a distinct set before any text is read, and ``min`` is combined
-    before the shuffle, so many copies of one text do not meet in one task.
+    The ids shrink to a distinct set, small enough to send out, before any text is read, and
+    ``min`` is combined before the shuffle, so many copies of one text do not meet in one
+    task.
     """
-    wanted = neighbours.select("passage_id").distinct()
+    wanted = broadcast_if_small(neighbours.select("passage_id").distinct())
     return (
         passages.join(wanted, "passage_id", "left_semi")
         .groupBy("text")

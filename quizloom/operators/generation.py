@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import text as T
 from quizloom.operators.prep import option_letter
-from quizloom.runtime import dense_row_id, materialise
+from quizloom.runtime import BROADCAST_ROWS, dense_row_id, materialise
 
 PAGE_COLUMNS = ("wiki_text", "page_id", "page_title", "stem_label")
 
@@ -45,7 +45,7 @@ def category_pages(
     Breadth first: the categories of one level are joined with the edges, those already
     visited are left out, so cycles end. Each level is written to the shared folder, which
     keeps plans short and survives lost executors. Only categories travel from level to
-    level; a page costs one row per parent. ``max_depth=1`` gives the roots' own pages.
+    level; while there are few enough they are sent out and the edges stay in place. ``max_depth=1`` gives the roots' own pages.
     """
     spark = edges.sparkSession
     edges = split_members(
@@ -58,8 +58,9 @@ def category_pages(
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
+        level = F.broadcast(frontier) if frontier.count() <= BROADCAST_ROWS else frontier
         reached = materialise(
-            frontier.join(edges, frontier["node"] == edges["parent"])
+            level.join(edges, F.col("node") == F.col("parent"))
             .select("stem_label", "child", "kind")
             .distinct()
         )

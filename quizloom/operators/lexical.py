@@ -100,40 +100,12 @@ def idf(vocab: DataFrame, counts: DataFrame, n_passages: Column) -> DataFrame:
     )
 
 
-def weigh(counts: DataFrame, idf_table: DataFrame, by: list[str]) -> DataFrame:
-    """TF-IDF weight scaled to unit length over the terms of the vocabulary."""
-    raw = counts.withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by)))
-    return raw.withColumn("weight", F.col("w") / length).drop("w", "tf", "df", "idf")
-
-
-def query_vectors(terms: DataFrame, idf_table: DataFrame) -> DataFrame:
-    joined = terms.join(idf_table, ["chunk", "term"])
-    return weigh(joined, idf_table, ["chunk", "query_id"])
-
-
 def passage_vectors(counts: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(chunk, passage_id, term, weight); lengths depend on the chunk's vocabulary."""
-    joined = counts.join(idf_table, "term")
-    return weigh(joined, idf_table, ["chunk", "passage_id"])
-
-
-def score_pairs(
-    pairs: DataFrame, query_side: DataFrame, passage_side: DataFrame
-) -> DataFrame:
-    """Cosine score of given (query_id, passage_id) pairs; pairs sharing no term score 0."""
-    hits = (
-        pairs.select("query_id", "passage_id")
-        .join(query_side, "query_id")
-        .join(
-            passage_side.withColumnRenamed("weight", "other"), ["chunk", "passage_id", "term"]
-        )
-        .groupBy("query_id", "passage_id")
-        .agg(F.sum(F.col("weight") * F.col("other")).alias("score"))
-    )
-    return pairs.join(hits, ["query_id", "passage_id"], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
-    )
+    """(chunk, passage_id, term, weight), of unit length over the chunk's vocabulary."""
+    raw = counts.join(idf_table, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    passage = Window.partitionBy("chunk", "passage_id")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(passage))
+    return raw.select("chunk", "passage_id", "term", (F.col("w") / length).alias("weight"))
 
 
 # ---------------------------------------------------------------- block search
@@ -403,20 +375,22 @@ def lexical_scores(
 
     ``queries`` is (query_id, text), ``passages`` is (passage_id, text) with unique ids.
     """
-    limit = max_terms or B.MAX_BLOCK_VALUES
+    limit = max_terms or B.MAX_BLOCK_TERMS
     chunked = with_chunk(queries.select("query_id", "text"), "query_id", query_chunk)
     terms = materialise(query_terms(chunked))
-    parts = materialise(_query_parts(terms, limit))
+    parts = _query_parts(terms, limit)
     passes, split = _plan_passes(parts, limit)
+    if len(passes) > 1:
+        parts = materialise(parts)
     n_all = threshold = None
     results = []
     for chosen in passes:
-        wanted = None
-        for chunk, part in chosen:
-            one = (F.col("chunk") == chunk) & (F.col("part") == part)
-            wanted = one if wanted is None else wanted | one
-        mine = parts.where(wanted).select("chunk", "query_id")
-        block = _block(terms.join(mine, ["chunk", "query_id"], "left_semi").toArrow())
+        mine = terms
+        if len(passes) > 1:
+            keys = [f"{chunk}/{part}" for chunk, part in chosen]
+            here = parts.where(F.concat_ws("/", "chunk", "part").isin(*keys))
+            mine = terms.join(here.select("query_id"), "query_id", "left_semi")
+        block = _block(mine.toArrow())
         sparse = materialise(_encode(passages, block))
         if n_all is None:
             n_all = sparse.count()

@@ -94,12 +94,37 @@ def choice_pairs(df: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
-def truncate_pairs(pairs: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
-    """Cut word lists of a pair to ``budget`` words, from the longer side, on a tie from
-    the second. Removing one word at a time ends in these two sizes."""
-    with_words = pairs.withColumns(
-        {"first": T.words(F.col("first")), "second": T.words(F.col("second"))}
+def choice_words(df: DataFrame, id_column: str = "id") -> DataFrame:
+    """``choice_pairs`` as word lists. Context and question are split once per question,
+    and only the finished lists are copied to the five options.
+
+    The options go into the generator as an expression: over a column Spark would infer a
+    filter on its size and evaluate everything behind that column once more.
+    """
+    flat = join_text_lists(df, list(PAIRED_COLUMNS[:-1]))
+    options = F.array(*[F.col(letter) for letter in K.LETTERS])
+    split = flat.select(
+        id_column, letter_index(F.col("answer")).alias("label"),
+        T.words(F.concat(F.lit("[CLS] "), F.col("context"))).alias("first"),
+        T.words(F.concat(F.lit("#### "), F.col("prompt"), F.lit(f" {SEPARATOR}"))).alias("stem"),
+        *K.LETTERS,
+    )
+    listed = split.select(
+        id_column, "first", "stem", "label", F.posexplode(options).alias("choice", "option")
     )
+    option = T.words(F.concat(F.col("option"), F.lit(f" {SEPARATOR}")))
+    return listed.select(
+        id_column, "choice", "first", F.concat("stem", option).alias("second"), "label"
+    )
+
+
+def truncate_pairs(pairs: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
+    """Cut the word lists of a pair to ``budget`` words, from the longer side, on a tie from
+    the second. Removing one word at a time ends in these two sizes. Pairs may come as word
+    lists or as strings."""
+    kinds = dict(pairs.dtypes)
+    split = {c: T.words(F.col(c)) for c in ("first", "second") if kinds[c] == "string"}
+    with_words = pairs.withColumns(split) if split else pairs
     a, b = F.size("first"), F.size("second")
     half_up, half_down = (budget + 1) // 2, budget // 2
     keep_a = F.least(a, F.greatest(F.lit(budget) - b, F.lit(half_up)))

@@ -47,6 +47,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of ids or names that may be sent to every executor.
+BROADCAST_ROWS = 4_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a table of short rows once, and mark it for broadcast if its counted rows stay
+    within the limit. Beyond it the join shuffles, and AQE splits skewed keys."""
+    kept = materialise(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def dense_row_id(df: DataFrame, order_by: list[str | Column], out: str = "row_id") -> DataFrame:
     """Number rows 0, 1, 2, … by ``order_by`` without bringing them into one task.
 

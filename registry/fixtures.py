@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.constants import LETTERS, OPTION_KEYS
-from quizloom.functions import text as T
 from quizloom.functions import vectors as V
+from quizloom.operators.batch_scoring import hashed_vectors
+from quizloom.sources.readers import spread
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 LABEL_ROOTS = {
@@ -19,10 +20,18 @@ LABEL_ROOTS = {
 EXCLUDED = ("Category:Nation 5",)
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows need much work each."""
+    return spread(table(spark, sf_dir, name), TEXT_KEYS[name])
+
+
 def _segment(words: str, step: Column, i: int) -> Column:
     return F.array_join(F.slice(words, (step * i + 1).cast("int"), step.cast("int")), " ")
 
@@ -62,7 +71,7 @@ def mcq_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mcq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _questions(table(spark, sf_dir, "documents"), "doc_id")
+    df = _questions(texts(spark, sf_dir, "documents"), "doc_id")
     df = _null_where(df, "E", F.col("id") % 7 == 0)
     df = _null_where(df, "B", F.col("id") % 13 == 0)
     df = _null_where(df, "answer", F.col("id") % 11 == 10)
@@ -71,10 +80,10 @@ def mcq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcq_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document questions with the document itself as context."""
-    texts = table(spark, sf_dir, "documents").select(
+    contexts = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("context")
     )
-    return mcq_docs(spark, sf_dir).join(texts, "id")
+    return mcq_docs(spark, sf_dir).join(contexts, "id")
 
 
 def eval_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +121,8 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_hashed(df: DataFrame) -> DataFrame:
-    """Stand-in encoder: hashed token counts of the column ``text``, unit length."""
-    rest = [c for c in df.columns if c != "text"]
-    tokens = df.select(*rest, T.tokenise(F.col("text")).alias("_tokens"))
-    codes = tokens.select(*rest, V.hashed_counts(F.col("_tokens")).alias("_codes"))
-    counts = codes.select(*rest, V.bucket_counts(F.col("_codes")).alias("v"))
-    return counts.withColumn("v", V.l2_normalise(F.col("v")))
+    """Stand-in encoder of the column ``text``."""
+    return hashed_vectors(df)
 
 
 def shard_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +173,7 @@ def option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("page_title"),
         F.trim(F.regexp_replace("html", "<[^>]*>", " ")).alias("wiki_text"),
@@ -186,19 +191,19 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.ceil(F.size("w") / F.lit(30))
 
     def record(j: int, last: str) -> Column:
-        texts = [_segment("w", step, 6 * j + p) for p in range(6)]
+        parts = [_segment("w", step, 6 * j + p) for p in range(6)]
         if j % 2:
-            answer = F.translate(texts[j % 5 + 1], LOWER, LOWER.upper())
+            answer = F.translate(parts[j % 5 + 1], LOWER, LOWER.upper())
         else:
             answer = F.lit(OPTION_KEYS[j % 5])
         names = ("question", *OPTION_KEYS, last)
-        return F.struct(*[c.alias(n) for c, n in zip([*texts, answer], names, strict=True)])
+        return F.struct(*[c.alias(n) for c, n in zip([*parts, answer], names, strict=True)])
 
     full = F.to_json(F.array(*[record(j, "answer") for j in range(5)]))
     short = F.to_json(F.array(*[record(j, "answer") for j in range(4)]))
     other = F.to_json(F.array(*[record(j, "solution") for j in range(5)]))
-    texts = split.select("page_id", full.alias("f"), short.alias("s"), other.alias("o"))
-    tried = texts.select(
+    written = split.select("page_id", full.alias("f"), short.alias("s"), other.alias("o"))
+    tried = written.select(
         "*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt")
     )
     kind = (F.col("page_id") + F.col("attempt")) % 4

@@ -17,7 +17,7 @@ from quizloom.operators import (
 )
 from quizloom.plans import questions as question_plan
 from quizloom.plans import retrieval, training
-from quizloom.runtime import dense_row_id, first_rows, scratch_path
+from quizloom.runtime import dense_row_id, first_rows, materialise, scratch_path
 from quizloom.sources import readers, writers
 from registry import fixtures as X
 
@@ -41,9 +41,8 @@ QUESTION = ("id", "prompt", *K.LETTERS, "answer")
 
 @query
 def rag_context(spark, sf_dir):
-    return retrieval.answer_contexts(
-        X.mcq_bench(spark, sf_dir), X.passages(spark, sf_dir), X.encode_hashed
-    )
+    passages = materialise(X.passages(spark, sf_dir))
+    return retrieval.answer_contexts(X.mcq_bench(spark, sf_dir), passages, X.encode_hashed)
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -181,13 +180,13 @@ def lexical_query(spark, sf_dir):
 
 @query
 def nfkd(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "documents")
+    documents = X.texts(spark, sf_dir, "documents")
     return documents.select("doc_id", T.nfkd(F.col("text")).alias("text"))
 
 
 @query
 def tokenise(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "documents")
+    documents = X.texts(spark, sf_dir, "documents")
     tokens = documents.select("doc_id", T.tokenise(F.col("text")).alias("t"))
     return tokens.select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"),
@@ -197,13 +196,13 @@ def tokenise(spark, sf_dir):
 
 @query
 def ngrams(spark, sf_dir):
-    found = lexical.exploded_terms(X.table(spark, sf_dir, "documents"), "doc_id")
+    found = lexical.exploded_terms(X.texts(spark, sf_dir, "documents"), "doc_id")
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def flatten_text_lists(spark, sf_dir):
-    lines = X.table(spark, sf_dir, "documents").select(
+    lines = X.texts(spark, sf_dir, "documents").select(
         "doc_id", F.split("text", "\n").alias("lines"), "lang"
     )
     return prep.join_text_lists(lines, ["lines", "lang"])
@@ -309,8 +308,9 @@ def row_batches(spark, sf_dir):
 # ---------------------------------------------------------------- lexical rerank
 
 
-def _query_terms(spark, sf_dir) -> DataFrame:
-    return lexical.query_terms(lexical.with_chunk(X.bench_queries(spark, sf_dir)))
+def _vocabulary(spark, sf_dir) -> DataFrame:
+    chunked = lexical.with_chunk(X.bench_queries(spark, sf_dir))
+    return lexical.vocabulary(lexical.query_terms(chunked))
 
 
 def _scored_passages(spark, sf_dir) -> DataFrame:
@@ -326,25 +326,25 @@ def _idf(spark, sf_dir, vocab: DataFrame, counts: DataFrame) -> DataFrame:
 
 @query
 def query_vocab(spark, sf_dir):
-    return lexical.vocabulary(_query_terms(spark, sf_dir))
+    return _vocabulary(spark, sf_dir)
 
 
 @query
 def term_counts(spark, sf_dir):
-    return lexical.term_counts(_scored_passages(spark, sf_dir), query_vocab(spark, sf_dir))
+    return lexical.term_counts(_scored_passages(spark, sf_dir), _vocabulary(spark, sf_dir))
 
 
 @query
 def idf(spark, sf_dir):
-    vocab = query_vocab(spark, sf_dir)
+    vocab = materialise(_vocabulary(spark, sf_dir))
     counts = lexical.term_counts(_scored_passages(spark, sf_dir), vocab)
     return _rounded(_idf(spark, sf_dir, vocab, counts), "idf")
 
 
 @query
 def tfidf_vectors(spark, sf_dir):
-    vocab = query_vocab(spark, sf_dir)
-    counts = lexical.term_counts(_scored_passages(spark, sf_dir), vocab)
+    vocab = materialise(_vocabulary(spark, sf_dir))
+    counts = materialise(lexical.term_counts(_scored_passages(spark, sf_dir), vocab))
     weights = lexical.passage_vectors(counts, _idf(spark, sf_dir, vocab, counts))
     return _rounded(weights, "weight").select("chunk", "passage_id", "term", "weight")
 
