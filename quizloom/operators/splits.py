@@ -129,26 +129,46 @@ def _place_groups(groups: list, counts: np.ndarray, folds: int, seed: int) -> di
     return placed
 
 
+def _deal_limits(class_rows: dict, placed_rows: dict, folds: int) -> list[tuple]:
+    """Per class the upper ends of the folds' intervals in [0, 1): a fold's interval is as
+    wide as its share of what the folds still lack of the class."""
+    limits = []
+    for name, rows in class_rows.items():
+        have = np.array([placed_rows.get((name, f), 0.0) for f in range(folds)])
+        lack = np.maximum(rows / folds - have, 0.0)
+        lack = lack if lack.sum() > 0 else np.ones(folds)
+        ends = np.cumsum(lack) / lack.sum()
+        limits.append((name, [float(x) for x in ends[:-1]]))
+    return limits
+
+
+# Multiples of the golden ratio fill [0, 1) evenly from any starting point on.
+_GOLDEN = 0.6180339887498949
+
+
 def group_folds(
     df: DataFrame, group: str, stratum: str, folds: int = 4, seed: int = K.FOLD_SEED
 ) -> DataFrame:
-    """(group, fold): whole groups in folds with even class shares.
+    """(group, fold): whole groups in folds with even class shares. The classes are few.
 
     Groups that hold a noticeable share of the rows are placed one by one; by their size
-    there are few. All others are numbered by their main class, size and hash and dealt to
-    the folds in turn, which needs no driver and works for any number of groups.
+    there are few. All others are numbered by their main class, size and hash, and dealt to
+    the folds in proportion to what these still lack of the class, which needs no driver and
+    works for any number of groups.
     """
     spark = df.sparkSession
     counts = materialise(df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n")))
     sizes = counts.groupBy(group).agg(
-        F.sum("n").alias("size"), F.max_by(stratum, "n").alias("main")
+        F.sum("n").alias("size"), F.max_by(stratum, F.struct("n", stratum)).alias("main")
     )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = total / GROUPS_PLACED_SINGLY
+    class_rows = {
+        r[0]: r[1] for r in counts.groupBy(stratum).agg(F.sum("n")).collect()
+    }
+    least = sum(class_rows.values()) / GROUPS_PLACED_SINGLY
     large = sizes.where(F.col("size") >= least).select(F.col(group).alias("_g"))
     rows = counts.join(large, F.col(group).eqNullSafe(F.col("_g")), "left_semi").collect()
     names = sorted({r[group] for r in rows}, key=lambda g: (g is None, g))
-    classes = sorted({r[stratum] for r in rows}, key=lambda c: (c is None, c))
+    classes = sorted(class_rows, key=lambda c: (c is None, c))
     table = np.zeros((len(names), max(1, len(classes))))
     row_of = {g: i for i, g in enumerate(names)}
     column_of = {c: i for i, c in enumerate(classes)}
@@ -156,14 +176,24 @@ def group_folds(
         table[row_of[r[group]], column_of[r[stratum]]] = r["n"]
     placed = _place_groups(names, table, folds, seed)
     kind = df.schema[group].dataType.simpleString()
-    found = spark.createDataFrame(
-        [(g, f) for g, f in placed.items()], f"`{group}` {kind}, fold int"
-    )
-    if not total or least <= 1:
+    found = spark.createDataFrame(list(placed.items()), f"`{group}` {kind}, fold int")
+    if least <= 1:
         return found
+    placed_rows: dict = {}
+    for r in rows:
+        key = (r[stratum], placed[r[group]])
+        placed_rows[key] = placed_rows.get(key, 0.0) + r["n"]
+    limits = spark.createDataFrame(
+        _deal_limits(class_rows, placed_rows, folds),
+        f"_class {df.schema[stratum].dataType.simpleString()}, _ends array<double>",
+    )
     small = sizes.where(F.col("size") < least).withColumn("_key", hash_order(group, seed))
-    dealt = dense_row_id(small, ["main", F.desc("size"), "_key"], "_row").select(
-        group, F.pmod(F.col("_row"), F.lit(folds)).cast("int").alias("fold")
+    numbered = dense_row_id(small, ["main", F.desc("size"), "_key"], "_row")
+    point = F.col("_row") * F.lit(_GOLDEN) % 1
+    dealt = (
+        numbered.withColumn("_point", point)
+        .join(F.broadcast(limits), F.col("main").eqNullSafe(F.col("_class")))
+        .select(group, F.size(F.filter("_ends", lambda e: e <= F.col("_point"))).alias("fold"))
     )
     return found.unionByName(dealt)
 

@@ -51,13 +51,18 @@ def read_parquet_except(
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV with a header; quotes inside a field are doubled, line breaks are allowed."""
+    """CSV with a header; quotes inside a field are doubled, line breaks are allowed.
+
+    A field without text is null and "" is an empty string: with the default null mark both
+    would be null.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", "\0")
         .csv(path)
     )
 

@@ -57,7 +57,8 @@ def _questions(df: DataFrame, id_column: str) -> DataFrame:
         "id",
         F.concat("o", "s0", F.lit("?")).alias("prompt"),
         *options,
-        F.substring(F.lit("ABCDE"), (F.col("id") % 5 + 1).cast("int"), F.lit(1)).alias("answer"),
+        F.substring(F.lit("ABCDE"), (F.floor(F.col("id") / 5) % 5 + 1).cast("int"), F.lit(1))
+        .alias("answer"),
     )
 
 

@@ -33,7 +33,7 @@ def _questions(name: str, source: str, key: str, nulls: dict[str, str]) -> str:
         "ELSE '' END"
     )
     prompt = value("prompt", f"{opening} || {_segment(0)} || '?'")
-    answer = value("answer", "substr('ABCDE', (id % 5 + 1)::INT, 1)")
+    answer = value("answer", "substr('ABCDE', (id // 5 % 5 + 1)::INT, 1)")
     return f"""{name}_w AS (SELECT {key} AS id, text, string_split_regex(text, '[ \\n]+') AS w,
       (len(string_split_regex(text, '[ \\n]+')) + 5) // 6 AS st FROM {source}),
     {name} AS (SELECT id, {prompt}, {options}, {answer} FROM {name}_w)"""
