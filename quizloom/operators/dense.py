@@ -250,16 +250,10 @@ def candidate_pool(neighbours: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
-def query_pool(neighbours: DataFrame, passages: DataFrame) -> DataFrame:
-    """Per-query pool: distinct texts found for the query itself."""
-    return (
-        neighbours.select("query_id", "passage_id")
-        .distinct()
-        .join(passages.select("passage_id", "text"), "passage_id")
-        .groupBy("query_id", "text")
-        .agg(F.min("passage_id").alias("passage_id"))
-        .select("query_id", "passage_id", "text")
-    )
+def align_texts(vectors: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of a shard joined to its vectors' ids by row number."""
+    ids = vectors.select("shard", "row_no", "passage_id")
+    return ids.join(texts.select("shard", "row_no", "text"), ["shard", "row_no"])
 
 
 def row_batches(df: DataFrame, order_by: list, n: int = K.ENCODE_BATCH) -> DataFrame:

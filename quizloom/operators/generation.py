@@ -137,25 +137,27 @@ def repair_answer(answer: Column, options: Column) -> Column:
     return F.when(answer.isin(*K.OPTION_KEYS), answer).otherwise(by_text)
 
 
-def question_records(pages: DataFrame, replies: DataFrame, **options) -> DataFrame:
-    """One row per generated question with repaired answer and the fields of its page."""
+def question_records(replies: DataFrame, **options) -> DataFrame:
+    """One row per generated question, with its page, its place and the repaired answer."""
     valid = first_valid_replies(replies, **options).where(F.col("attempt").isNotNull())
     listed = valid.select("page_id", F.posexplode("records").alias("pos", "record"))
     fields = [F.col("record")[k].alias(k) for k in K.RECORD_KEYS]
     rows = listed.select("page_id", "pos", *fields)
     choices = F.array(*[F.col(k) for k in K.OPTION_KEYS])
-    repaired = rows.withColumn("answer", repair_answer(F.col("answer"), choices))
-    return repaired.join(pages.select(*PAGE_COLUMNS), "page_id")
+    return rows.withColumn("answer", repair_answer(F.col("answer"), choices))
 
 
-def competition_format(records: DataFrame) -> DataFrame:
-    """Question columns under their short names with dense ids and letter answers; page
-    columns are kept, see ``without_page_columns``."""
-    numbered = dense_row_id(records, ["page_id", "pos"], "id").drop("pos")
+def competition_format(records: DataFrame, pages: DataFrame) -> DataFrame:
+    """Question columns under their short names with dense ids and letter answers, followed
+    by the page columns. Page texts join after the numbering, so they are not sorted."""
+    known = records.join(pages.select("page_id"), "page_id", "left_semi")
+    numbered = dense_row_id(known, ["page_id", "pos"], "id").drop("pos")
     renamed = numbered.withColumnsRenamed(
         {"question": "prompt", **dict(zip(K.OPTION_KEYS, K.LETTERS, strict=True))}
     ).withColumn("answer", option_letter(F.col("answer")))
-    return renamed.select("id", "prompt", *K.LETTERS, "answer", *PAGE_COLUMNS)
+    return renamed.join(pages.select(*PAGE_COLUMNS), "page_id").select(
+        "id", "prompt", *K.LETTERS, "answer", *PAGE_COLUMNS
+    )
 
 
 def without_page_columns(df: DataFrame) -> DataFrame:

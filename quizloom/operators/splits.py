@@ -80,8 +80,9 @@ def weighted_sample(
 
 
 def top_n(df: DataFrame, score: str, id_column: str, n: int = 100) -> DataFrame:
-    """The ``n`` rows of highest score, then lowest id."""
-    return first_rows(df, [F.desc(score), F.col(id_column)], n)
+    """The ``n`` rows of highest score, then lowest id; rows without a score come last."""
+    keys = [F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(id_column)]
+    return first_rows(df, keys, n)
 
 
 def train_validation(df: DataFrame, threshold: float = 0.5, column: str = "mAP") -> DataFrame:

@@ -15,8 +15,7 @@ def build_questions(
     """Questions of all pages not seen before, in competition format with page columns."""
     if seen is not None:
         pages = generation.unseen_pages(pages, seen)
-        replies = replies.join(pages.select("page_id"), "page_id", "left_semi")
-    return generation.competition_format(generation.question_records(pages, replies))
+    return generation.competition_format(generation.question_records(replies), pages)
 
 
 def write_questions(questions: DataFrame, raw_path: str, path: str, **options) -> None:

@@ -88,18 +88,28 @@ def dense_row_id(df: DataFrame, order_by: list[str | Column], out: str = "row_id
     )
 
 
-# Up to this many rows an ordered limit is a bounded merge; beyond it, rows are numbered.
-SMALL_LIMIT = 50_000
-
-
-def first_rows(df: DataFrame, order_by: list[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows by a total order."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order_by).limit(n)
-    return dense_row_id(df, order_by, "_row").where(F.col("_row") < n).drop("_row")
-
-
 def nth_value(df: DataFrame, column: str, n: int):
     """The value at 0-based place ``n`` of a unique column, or None past the end."""
     hit = dense_row_id(df.select(column), [column], "_row").where(F.col("_row") == n).first()
     return None if hit is None else hit[column]
+
+
+# Up to this many rows an ordered limit is a bounded merge.
+SMALL_LIMIT = 50_000
+
+
+def first_rows(df: DataFrame, keys: list[str | Column], n: int) -> DataFrame:
+    """The first ``n`` rows by ascending ``keys``, which have to tell rows apart.
+
+    For a large ``n`` only the keys are shuffled, to find the last one that belongs; the
+    rows themselves are then filtered where they are.
+    """
+    if n <= SMALL_LIMIT:
+        return df.orderBy(*keys).limit(n)
+    key = F.struct(*keys)
+    listed = df.select(key.alias("_key"))
+    last = nth_value(listed, "_key", n - 1)
+    if last is None:
+        return df
+    limit = F.struct(*[F.lit(value) for value in last])
+    return df.where(key <= limit.cast(listed.schema["_key"].dataType))

@@ -433,6 +433,9 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT p.shard, q.query_id, p.passage_id, {_square('q.v', 'p.v')} AS distance
               FROM probes q JOIN celled p USING (cell))) WHERE rank <= 15)""",
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),
+        "aligned_texts": _w(VECTORS, """SELECT v.shard, v.row_no, v.passage_id, d.text
+            FROM shard_vectors v JOIN documents d
+            ON d.doc_id % 5 = v.shard AND d.doc_id // 5 = v.row_no"""),
         "candidate_pool": _w(VECTORS + f""",
             {_nearest('query_vectors', 'shard_vectors')}""",
             """SELECT min(doc_id) AS passage_id, text FROM documents WHERE doc_id IN

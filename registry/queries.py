@@ -17,7 +17,8 @@ from quizloom.operators import (
 )
 from quizloom.plans import questions as question_plan
 from quizloom.plans import retrieval, training
-from quizloom.runtime import dense_row_id, first_rows, materialise, scratch_path
+from quizloom.runtime import dense_row_id as number_rows
+from quizloom.runtime import first_rows, materialise, scratch_path
 from quizloom.sources import readers, writers
 from registry import fixtures as X
 
@@ -124,9 +125,9 @@ def filter_eval_rows(spark, sf_dir):
 
 
 @query
-def dense_row_id_(spark, sf_dir):
+def dense_row_id(spark, sf_dir):
     documents = X.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return dense_row_id(documents, [F.desc("n_chars"), "doc_id"]).select("doc_id", "row_id")
+    return number_rows(documents, [F.desc("n_chars"), "doc_id"]).select("doc_id", "row_id")
 
 
 @query
@@ -290,6 +291,16 @@ def ivf_topk(spark, sf_dir):
     return dense.ivf_topk(X.query_vectors(spark, sf_dir), cells, centres)
 
 
+@query
+def aligned_texts(spark, sf_dir):
+    """Vectors and the documents of the same shard and row."""
+    texts = X.table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 5).cast("int").alias("shard"),
+        F.floor(F.col("doc_id") / 5).alias("row_no"), "text",
+    )
+    return dense.align_texts(X.shard_vectors(spark, sf_dir), texts)
+
+
 @query
 def candidate_pool(spark, sf_dir):
     near = dense.keep_nearest(dense_topk_per_shard(spark, sf_dir))
@@ -600,4 +611,4 @@ def batch_scorer(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return {name.rstrip("_"): function for name, function in _REGISTRY.items()}
+    return dict(_REGISTRY)

@@ -126,8 +126,6 @@ def test_normalise_and_pool(spark):
     )
     pool = dense.candidate_pool(near, texts).orderBy("passage_id").collect()
     assert [tuple(r) for r in pool] == [(5, "x"), (9, "y")]
-    own = dense.query_pool(near, texts).orderBy("query_id", "passage_id").collect()
-    assert [tuple(r) for r in own] == [(1, 5, "x"), (1, 9, "y"), (2, 5, "x")]
 
 
 def test_row_batches(spark):

@@ -2,10 +2,12 @@
 
 from dataclasses import replace
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quizloom.operators import dense
-from quizloom.plans import retrieval, training
+from quizloom.plans import encoding, retrieval, scoring, training
 from registry import fixtures as X
 
 
@@ -39,3 +41,35 @@ def test_training_and_evaluation_rows(spark, sf_dir):
     complete = questions.dropna().count()
     assert 0 < complete < usable
     assert training.evaluation_pairs(questions).count() == 5 * complete
+
+
+def test_a_scorer_is_called_once_per_question(spark, sf_dir):
+    def make():
+        def score(batch):
+            last = [text.count("\n") % 5 for text in batch["text"]]
+            s = [[1.0 if i == n else 0.5 - i / 10 for i in range(5)] for n in last]
+            return pd.DataFrame({"id": batch["id"], "s": s})
+
+        return score
+
+    questions = X.mcq_bench(spark, sf_dir)
+    table = scoring.score_questions(questions, make)
+    assert table.count() == questions.count()
+    values = [r["mAP"] for r in table.collect()]
+    assert scoring.mean_score(table).first()[0] == pytest.approx(sum(values) / len(values))
+    assert {round(v, 6) for v in values} <= {0.0, 0.333333, 0.5, 1.0}
+
+
+def test_passages_are_numbered_capped_and_encoded(spark):
+    texts = spark.createDataFrame([(i, f"t{i} a b") for i in range(25)], "n int, text string")
+    passages = encoding.number_passages(texts.repartition(4), ["n"], cap=20, batch_rows=8)
+    rows = passages.orderBy("passage_id").collect()
+    assert [r["passage_id"] for r in rows] == list(range(20))
+    assert [(r["shard"], r["row_no"]) for r in rows] == [(i // 8, i % 8) for i in range(20)]
+    assert rows[9]["text"] == "t9 a b"
+    vectors = encoding.encode_passages(passages, X.encode_hashed)
+    assert vectors.columns == ["shard", "row_no", "passage_id", "v"] and vectors.count() == 20
+    aligned = dense.align_texts(vectors, passages)
+    assert {(r["passage_id"], r["text"]) for r in aligned.collect()} == {
+        (r["passage_id"], r["text"]) for r in rows
+    }
