@@ -41,29 +41,46 @@ def _distance_keys(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.rint(np.maximum(square, 0.0) * B.SCALE).astype(np.int64)
 
 
-def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """Split queries by hash so that a block fits the bounds; usually there is one block."""
-    queries = materialise(queries.where(F.col("v").isNotNull()))
-    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    limit = max(1, min(B.MAX_BLOCK_ROWS, B.MAX_BLOCK_VALUES // (sizes["dim"] or 1)))
-    if sizes["n"] <= limit:
-        return [queries]
-    parts = -(-5 * sizes["n"] // (4 * limit))
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [queries.where(bucket == part) for part in range(parts)]
-
-
-def _collect_vectors(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix of a bounded block, in id order."""
-    table = df.select(id_column, "v").limit(2 * B.MAX_BLOCK_ROWS + 1).toArrow()
-    if table.num_rows > 2 * B.MAX_BLOCK_ROWS:
-        raise ValueError(f"block of more than {2 * B.MAX_BLOCK_ROWS} vectors")
+def _bounded(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and matrix in id order, or None if there are more vectors than a block may hold."""
+    table = df.select(id_column, "v").limit(B.MAX_BLOCK_ROWS + 1).toArrow()
     ids = table.column(id_column).to_numpy()
     vectors = _matrix(table.column("v").combine_chunks())
+    if table.num_rows > B.MAX_BLOCK_ROWS or vectors.size > B.MAX_BLOCK_VALUES:
+        return None
     order = np.argsort(ids)
     return ids[order], vectors[order]
 
 
+def vector_blocks(
+    vectors: DataFrame, id_column: str = "query_id"
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors in blocks of bounded size. Usually there is one; a larger table is split by
+    hash, and a part that is still too large is split again."""
+    vectors = _usable(vectors)
+    whole = _bounded(vectors, id_column)
+    if whole is not None:
+        yield whole
+        return
+    vectors = materialise(vectors)
+    sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    limit = max(1, min(B.MAX_BLOCK_ROWS, B.MAX_BLOCK_VALUES // (sizes["dim"] or 1)))
+    parts = -(-5 * sizes["n"] // (4 * limit))
+    pending = [(part, parts) for part in range(parts)]
+    while pending:
+        part, of = pending.pop(0)
+        block = vectors.where(F.pmod(F.xxhash64(id_column), F.lit(of)) == part)
+        found = _bounded(block, id_column)
+        if found is None:
+            pending += [(part, 2 * of), (part + of, 2 * of)]
+        else:
+            yield found
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.where(F.col("v").isNotNull())
+
+
 def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -> DataFrame:
     """Partial neighbours of one query block per task.
 
@@ -97,12 +114,14 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
             shards = batch.column("shard").to_numpy(zero_copy_only=False)
             ids = batch.column("passage_id").to_numpy(zero_copy_only=False)
             rows = _matrix(batch.column("v"))
-            cell = batch.column("cell").to_numpy(zero_copy_only=False) if cells else 0 * shards
+            cell = 0 * shards
+            if cells is not None:
+                cell = batch.column("cell").to_numpy(zero_copy_only=False)
             order = np.lexsort((ids, cell, shards))
             border = (np.diff(shards[order]) != 0) | (np.diff(cell[order]) != 0)
             for at in np.split(order, np.flatnonzero(border) + 1):
-                who = cells.get(int(cell[at[0]])) if cells else None
-                if cells and who is None:
+                who = None if cells is None else cells.get(int(cell[at[0]]))
+                if cells is not None and who is None:
                     continue
                 wanted = matrix_q if who is None else matrix_q[who]
                 shard = int(shards[at[0]])
@@ -125,10 +144,6 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
     return rows.mapInArrow(search, _NEIGHBOUR_SCHEMA)
 
 
-def _usable(df: DataFrame) -> DataFrame:
-    return df.where(F.col("v").isNotNull())
-
-
 def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     best = B.keep_ranked(
         B.union_all(parts), ["shard", "query_id"], ["distance_key", "passage_id"], k
@@ -147,8 +162,7 @@ def topk_per_shard(queries: DataFrame, passages: DataFrame, k: int = K.DENSE_K)
     """
     passages = _usable(passages)
     parts = []
-    for block in query_blocks(queries):
-        ids, matrix = _collect_vectors(block, "query_id")
+    for ids, matrix in vector_blocks(queries):
         if ids.size:
             parts.append(_search(passages, ids, matrix, k))
     if not parts:
@@ -166,13 +180,28 @@ def train_centroids(
     return passages.sparkSession.createDataFrame(rows, "cell int, v array<double>")
 
 
+_CELL_SCHEMA = "shard int, passage_id long, v array<double>, cell int, distance_key long"
+
+
 def assign_cells(passages: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add the nearest cell to every passage, map-side; ties go to the lower cell.
 
-    Write the result partitioned by ``cell`` and a search reads only the cells it probes.
+    Centres beyond one block are compared block after block. Write the result partitioned by
+    ``cell`` and a search reads only the cells it probes.
     """
-    cell_ids, centres = _collect_vectors(centroids, "cell")
-    shared = passages.sparkSession.sparkContext.broadcast((cell_ids, centres))
+    rows = _usable(passages).select(
+        F.col("shard").cast("int").alias("shard"), "passage_id",
+        V.as_double(F.col("v")).alias("v"), F.lit(-1).alias("cell"),
+        F.lit(np.iinfo(np.int64).max).alias("distance_key"),
+    )
+    for block in vector_blocks(centroids, "cell"):
+        rows = rows.mapInArrow(_nearest_cell(passages, *block), _CELL_SCHEMA)
+    return rows.drop("distance_key")
+
+
+def _nearest_cell(passages: DataFrame, cell_ids: np.ndarray, centres: np.ndarray):
+    """Batch function that keeps the better of the cell so far and those of one block."""
+    shared = passages.sparkSession.sparkContext.broadcast((cell_ids.astype(np.int32), centres))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
@@ -180,22 +209,26 @@ def assign_cells(passages: DataFrame, centroids: DataFrame) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             rows = _matrix(batch.column("v"))
-            found = np.empty(len(rows), dtype=np.int32)
+            cell = batch.column("cell").to_numpy(zero_copy_only=False).copy()
+            best = batch.column("distance_key").to_numpy(zero_copy_only=False).copy()
             for part in B.row_slices(len(rows), len(matrix)):
-                found[part] = names[_distance_keys(matrix, rows[part]).argmin(axis=0)]
+                keys = _distance_keys(matrix, rows[part])
+                first = keys.argmin(axis=0)
+                key, name = keys[first, np.arange(first.size)], names[first]
+                wins = (key < best[part]) | ((key == best[part]) & (name < cell[part]))
+                cell[part] = np.where(wins, name, cell[part])
+                best[part] = np.where(wins, key, best[part])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), batch.column("passage_id"), batch.column("v"),
-                 pa.array(found)],
-                names=["shard", "passage_id", "v", "cell"],
+                 pa.array(cell), pa.array(best)],
+                names=["shard", "passage_id", "v", "cell", "distance_key"],
             )
 
-    columns = _usable(passages).select(
-        F.col("shard").cast("int").alias("shard"), "passage_id",
-        V.as_double(F.col("v")).alias("v"),
-    )
-    return columns.mapInArrow(
-        nearest, "shard int, passage_id long, v array<double>, cell int"
-    )
+    return nearest
+
+
+# Up to this many probed cells are named in a filter that prunes partitions.
+_NAMED_CELLS = 10_000
 
 
 def ivf_topk(
@@ -212,19 +245,22 @@ def ivf_topk(
     spread over the tasks like any other rows, since nothing is grouped by cell.
     """
     cell_passages = _usable(cell_passages)
-    cell_ids, centres = _collect_vectors(centroids, "cell")
     parts = []
-    for block in query_blocks(queries):
-        ids, matrix = _collect_vectors(block, "query_id")
-        if not ids.size:
-            continue
-        near = B.RunningTopK(ids.size, min(nprobe, cell_ids.size))
-        for part in B.row_slices(cell_ids.size, ids.size):
-            near.push(_distance_keys(matrix, centres[part]), cell_ids[part].astype(np.int64))
+    for ids, matrix in vector_blocks(queries):
+        near = B.RunningTopK(ids.size, nprobe)
+        for cell_ids, centres in vector_blocks(centroids, "cell"):
+            for part in B.row_slices(cell_ids.size, ids.size):
+                keys = _distance_keys(matrix, centres[part])
+                near.push(keys, cell_ids[part].astype(np.int64))
         query, cell, _ = near.rows()
-        probes = {int(c): np.sort(query[cell == c]) for c in np.unique(cell)}
-        wanted = cell_passages.where(F.col("cell").isin(*probes))
-        parts.append(_search(wanted, ids, matrix, k, probes))
+        order = np.lexsort((query, cell))
+        groups = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if cell.size else []
+        probes = {int(cell[at[0]]): query[at] for at in groups}
+        wanted = cell_passages
+        if len(probes) <= _NAMED_CELLS:
+            wanted = cell_passages.where(F.col("cell").isin(*probes))
+        if probes:
+            parts.append(_search(wanted, ids, matrix, k, probes))
     if not parts:
         parts = [queries.sparkSession.createDataFrame([], _NEIGHBOUR_SCHEMA)]
     return _ranked(parts, k)

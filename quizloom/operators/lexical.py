@@ -40,6 +40,8 @@ def with_chunk(
     queries: DataFrame, id_column: str = "query_id", size: int = K.QUERY_CHUNK
 ) -> DataFrame:
     """Number queries in id order and put ``size`` of them in a chunk."""
+    if queries.count() <= size:
+        return queries.withColumn("chunk", F.lit(0).cast("long"))
     return dense_row_id(queries, [id_column], "query_no").withColumn(
         "chunk", F.floor(F.col("query_no") / F.lit(size)).cast("long")
     )

@@ -58,7 +58,9 @@ def test_exact_search(spark, vectors):
 def test_small_blocks_and_states_change_nothing(spark, vectors, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_CELLS", 30)
     monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 7)
-    assert len(dense.query_blocks(frames(spark, *vectors)[0])) > 1
+    found_blocks = list(dense.vector_blocks(frames(spark, *vectors)[0]))
+    assert len(found_blocks) > 1
+    assert sorted(i for ids, _ in found_blocks for i in ids) == list(range(12))
     got = found(dense.topk_per_shard(*frames(spark, *vectors, parts=9), k=6))
     assert_same(got, brute_force(*vectors, 6))
 
@@ -79,6 +81,18 @@ def test_all_cells_give_the_exact_result(spark, vectors):
     assert_same(got, brute_force(*vectors, 15))
 
 
+def test_centres_in_several_blocks(spark, vectors, monkeypatch):
+    asked, passages = frames(spark, *vectors)
+    centres = dense.train_centroids(passages, 10)
+    whole = dense.assign_cells(passages, centres)
+    near = found(dense.ivf_topk(asked, whole, centres, k=5, nprobe=3))
+    cells = {r["passage_id"]: r["cell"] for r in whole.collect()}
+    monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 4)
+    split = dense.assign_cells(passages, centres)
+    assert {r["passage_id"]: r["cell"] for r in split.collect()} == cells
+    assert found(dense.ivf_topk(asked, split, centres, k=5, nprobe=3)) == near
+
+
 def test_recall_grows_with_cells(spark, vectors):
     asked, passages = frames(spark, *vectors)
     exact = {(k, p) for k, hits in brute_force(*vectors, 5).items() for _, p in hits}
