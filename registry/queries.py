@@ -286,7 +286,7 @@ def dense_topk_per_shard(spark, sf_dir):
 
 @query
 def ivf_topk(spark, sf_dir):
-    centres = X.centroids(spark, sf_dir)
+    centres = materialise(X.centroids(spark, sf_dir))
     cells = dense.assign_cells(X.shard_vectors(spark, sf_dir), centres)
     return dense.ivf_topk(X.query_vectors(spark, sf_dir), cells, centres)
 
