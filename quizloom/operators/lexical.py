@@ -337,12 +337,15 @@ def _query_parts(terms: DataFrame, limit: int) -> DataFrame:
 
 
 def _plan_passes(parts: DataFrame, limit: int):
-    """Lists of (chunk, part) that fit one block together, and the chunks cut in parts."""
+    """Lists of (chunk, part) that fit one block together, and the chunks cut in parts.
+
+    One short row per chunk of 800 queries comes to the driver.
+    """
     sizes = parts.groupBy("chunk", "part").agg(F.sum("n").alias("n")).orderBy("chunk", "part")
     passes: list[list[tuple[int, int]]] = []
     split: set[int] = set()
     filled = 0
-    for row in sizes.toLocalIterator():
+    for row in sizes.collect():
         if row["part"] > 0:
             split.add(row["chunk"])
         if not passes or row["part"] > 0 or filled + row["n"] > limit:

@@ -1,5 +1,9 @@
 """Every registered query beside its SQL, on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import compare
 import pytest
 
@@ -28,3 +32,27 @@ def test_entry_has_contexts(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 40
     assert all(row["context"].endswith("\n") for row in rows)
+
+
+ELSEWHERE = """
+import sys
+sys.path.append(sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.remove(sys.argv[1])
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", sys.argv[1] + "/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+print("rows", entry.queries()["dense_topk_per_shard"](spark, sys.argv[2]).count())
+"""
+
+
+def test_runs_from_another_folder(sf_dir, tmp_path):
+    """Python workers find the packages although the working folder is elsewhere."""
+    root = str(Path(entry.__file__).parent)
+    done = subprocess.run(
+        [sys.executable, "-c", ELSEWHERE, root, sf_dir],
+        cwd=tmp_path, capture_output=True, text=True, timeout=300,
+    )
+    assert "rows 750" in done.stdout, done.stderr[-2000:]
