@@ -24,7 +24,11 @@ def fill_options(df: DataFrame) -> DataFrame:
 
 
 def keep_complete(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return df.dropna("any", subset=list(columns))
+    """Rows without a null in the columns, as conditions that reach a parquet scan."""
+    condition = F.col(columns[0]).isNotNull()
+    for column in columns[1:]:
+        condition = condition & F.col(column).isNotNull()
+    return df.where(condition)
 
 
 def keep_trainable(df: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def test_missing_values(spark):
     assert ids(prep.keep_evaluable(df)) == [1]
 
 
+def test_filters_and_columns_reach_the_scan(spark, new_path):
+    questions(spark).write.parquet(new_path("q"))
+    kept = prep.keep_trainable(spark.read.parquet(new_path("q"))).select("id", "answer")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(prompt)" in plan and "IsNotNull(answer)" in plan
+    assert "context" not in plan.split("ReadSchema")[1]
+
+
 def test_codes(spark):
     df = spark.createDataFrame([("A",), ("E",), ("F",), (None,), ("option_3",)], "x string")
     row = df.select(
