@@ -45,7 +45,8 @@ def category_pages(
     Breadth first: the categories of one level are joined with the edges, those already
     visited are left out, so cycles end. Each level is written to the shared folder, which
     keeps plans short and survives lost executors. Only categories travel from level to
-    level; while there are few enough they are sent out and the edges stay in place. ``max_depth=1`` gives the roots' own pages.
+    level; while there are few enough they are sent out and the edges stay in place.
+    ``max_depth=1`` gives the roots' own pages.
     """
     spark = edges.sparkSession
     edges = split_members(

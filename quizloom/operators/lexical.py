@@ -342,13 +342,14 @@ def _plan_passes(parts: DataFrame, limit: int):
     One short row per chunk of 800 queries comes to the driver.
     """
     sizes = parts.groupBy("chunk", "part").agg(F.sum("n").alias("n")).orderBy("chunk", "part")
+    rows = sizes.collect()
+    split = {row["chunk"] for row in rows if row["part"] > 0}
     passes: list[list[tuple[int, int]]] = []
-    split: set[int] = set()
     filled = 0
-    for row in sizes.collect():
-        if row["part"] > 0:
-            split.add(row["chunk"])
-        if not passes or row["part"] > 0 or filled + row["n"] > limit:
+    for row in rows:
+        # A part of a cut chunk is a pass of its own, as it brings its own passage lengths.
+        alone = row["chunk"] in split or (passes and passes[-1][0][0] in split)
+        if not passes or alone or filled + row["n"] > limit:
             passes.append([])
             filled = 0
         passes[-1].append((row["chunk"], row["part"]))

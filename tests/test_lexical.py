@@ -78,6 +78,7 @@ def data():
         {"query_chunk": 7, "idf_sample": 20},
         {"max_terms": 15},
         {"query_chunk": 9, "max_terms": 25, "idf_sample": 30},
+        {"query_chunk": 19, "max_terms": 150},
     ],
 )
 def test_equals_brute_force(spark, data, options):
@@ -91,6 +92,15 @@ def test_equals_brute_force(spark, data, options):
         assert got[q] == hits
 
 
+def test_a_cut_chunk_shares_no_pass(spark, data):
+    """The first chunk is cut, and the second would fit beside its last part."""
+    queries, passages = frames(spark, *data)
+    terms = lexical.query_terms(lexical.with_chunk(queries, "query_id", 19))
+    passes, split = lexical._plan_passes(lexical._query_parts(terms, 150), 150)
+    assert split == {0}
+    assert [len(p) for p in passes] == [1] * len(passes) and passes[-1] == [(1, 0)]
+
+
 def test_does_not_depend_on_partitioning(spark, data, monkeypatch):
     whole = found(lexical.lexical_topk(*frames(spark, *data, parts=1), k=10))
     monkeypatch.setattr(blocks, "BLOCK_CELLS", 50)
