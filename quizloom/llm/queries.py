@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import urls, warc
+from quizloom.llm import simhash, urls, warc
 from quizloom.llm.tables import table
 from quizloom.runtime import scratch_path
 
@@ -48,3 +48,9 @@ def op7_url_filter(spark, sf_dir):
     return urls.judge_urls(pages, "url", SITE_RULES).select(
         "page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"
     )
+
+
+@query
+def op3_simhash_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
