@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import simhash, urls, warc
+from quizloom.llm import bpe, simhash, urls, warc
 from quizloom.llm.tables import table
 from quizloom.runtime import scratch_path
 
@@ -54,3 +55,23 @@ def op7_url_filter(spark, sf_dir):
 def op3_simhash_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op5_byte_bpe(spark, sf_dir):
+    return encoded_digests(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Ids of each text, their number and digest, and the digest of the bytes decoded from them."""
+    pattern = public_tokenizers.PATTERN
+    encoded = docs.select("doc_id", bpe.encode(F.col("text"), RANKS, pattern).alias("ids"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), RANKS, pattern), 256).alias("decoded_sha256"),
+    )
