@@ -29,6 +29,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from quizloom.llm.chunks import ChunkCache
+
 NONE = np.int64(1) << 60
 SHORT_BYTES = 64
 CACHED_CHUNKS = 1 << 19
@@ -174,12 +176,7 @@ class Encoder:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pairs = PairRanks(self.ranks)
         self._split = regex.compile(pattern).findall
-        self._forget()
-
-    def _forget(self) -> None:
-        self._codes: dict[str, int] = {}
-        self._pool, self._filled = np.zeros(1 << 16, np.int32), 0
-        self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._cache = ChunkCache(self._learn, CACHED_CHUNKS)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has."""
@@ -204,39 +201,14 @@ class Encoder:
         flat = [i for part in parts for i in part]
         return np.array(flat, np.int32), sizes
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self._split(c) for c in chunks]
         ids, sizes = self.merge([p.encode() for pieces in split for p in pieces])
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
-        first, total = len(self._codes), self._filled + len(ids)
-        if total > len(self._pool):
-            self._pool = np.resize(self._pool, 2 * total)
-        if first + len(chunks) > len(self._starts):
-            room = 2 * (first + len(chunks))
-            self._starts, self._sizes = np.resize(self._starts, room), np.resize(self._sizes, room)
-        self._pool[self._filled:total] = ids
-        self._starts[first:first + len(chunks)] = ends[:-1] + self._filled
-        self._sizes[first:first + len(chunks)] = np.diff(ends)
-        self._filled = total
-        self._codes.update(zip(chunks, range(first, first + len(chunks))))
+        return ids, np.diff(ends)
 
     def encode_slice(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        chunks = _BREAK.split(text)
-        if chunks and not chunks[0]:
-            chunks = chunks[1:]
-        new = [c for c in dict.fromkeys(chunks) if c not in self._codes]
-        if new:
-            if len(self._codes) + len(new) > CACHED_CHUNKS:
-                self._forget()
-                new = list(dict.fromkeys(chunks))
-            self._learn(new)
-        codes = np.fromiter(map(self._codes.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self._sizes[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._pool[np.arange(total) + np.repeat(self._starts[codes] - (ends - sizes), sizes)]
+        return self._cache.ids([c for c in _BREAK.split(text) if c])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, slice by slice; slices end where no match of the pattern crosses."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, simhash, urls, warc
+from quizloom.llm import bpe, simhash, token_files, urls, warc
 from quizloom.llm.tables import table
 from quizloom.runtime import scratch_path
 
@@ -75,3 +75,16 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), RANKS, pattern), 256).alias("decoded_sha256"),
     )
+
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+
+@query
+def op10_token_files(spark, sf_dir):
+    folder, docs = scratch_path(spark, "tokens"), table(spark, sf_dir, "documents")
+    manifest = token_files.store(spark, docs, folder, "doc_id", "text", WORDS, END_ID)
+    return token_files.read_shards(manifest, f"{folder}/shards").select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32"
+    )

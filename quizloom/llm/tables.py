@@ -43,3 +43,11 @@ def ship_package(spark: SparkSession) -> None:
     stream.close()
     context.addPyFile(target.toString())
     _shipped.add(context.applicationId)
+
+
+MOST_TASKS = 50_000
+
+
+def one_per_task(df: DataFrame, key: str) -> DataFrame:
+    """Deals the few rows of ``df``, each standing for much work, over as many tasks."""
+    return df.repartition(max(1, min(df.count(), MOST_TASKS)), key)

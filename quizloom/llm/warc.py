@@ -31,6 +31,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizloom.llm.tables import one_per_task
+
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_TABLE_MAGIC = 0x8F92EAB1
@@ -272,7 +274,7 @@ def read_bundles(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                     yield _as_batch(records, with_payload)
                 bundle.close()
 
-    bundles = index.select("bundle").distinct()
+    bundles = one_per_task(index.select("bundle").distinct(), "bundle")
     return bundles.mapInArrow(read, RECORD_SCHEMA)
 
 
@@ -304,6 +306,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .groupBy(F.col("id").alias("_id"), F.col("payload_digest").alias("_digest"))
         .agg(F.max("payload_bytes").alias("_bytes"))
     )
+    # Sizes are guessed from the few bundle names, so a broadcast would be chosen at any size.
+    responses = responses.hint("merge")
     revisit = F.col("record_type") == "revisit"
     found = records.where(revisit).join(
         responses,

@@ -40,7 +40,7 @@ def test_long_pieces_and_slices(own, reference, monkeypatch):
     for text in ("a" * 5000, "".join(rng.choices("abcdefgh", k=20_000)), "=" * 3000, " " * 999, "\n " * 500):
         assert own.encode(text).tolist() == reference.encode_ordinary(text)
     monkeypatch.setattr(bpe, "SLICE_CHARS", 50)
-    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 40)
+    monkeypatch.setattr(own._cache, "_limit", 40)
     text = " ".join("".join(rng.choices("abcdéf \n", k=9)) for _ in range(3000))
     assert own.encode(text).tolist() == reference.encode_ordinary(text)
 
