@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, simhash, token_files, urls, warc
+from quizloom.llm import bpe, decontaminate, simhash, token_files, urls, warc
 from quizloom.llm.tables import table
 from quizloom.runtime import scratch_path
 
@@ -88,3 +88,14 @@ def op10_token_files(spark, sf_dir):
     return token_files.read_shards(manifest, f"{folder}/shards").select(
         F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32"
     )
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
