@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, decontaminate, simhash, token_files, urls, warc
+from quizloom.llm import bpe, decontaminate, secrets, simhash, token_files, urls, warc
 from quizloom.llm.tables import table
 from quizloom.runtime import scratch_path
 
@@ -99,3 +99,17 @@ def op2_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated().alias("contaminated"),
     )
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("all"))
+    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    counts = {
+        f"n_{kind}": F.size(F.filter("all", lambda s, k=kind: s["kind"] == k)).cast("long") for kind in kinds
+    }
+    base = F.filter("all", lambda s: s["kind"].isin(kinds))
+    return found.withColumns(counts).select(
+        "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("all")).alias("spans"),
+    )
