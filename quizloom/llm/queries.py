@@ -105,9 +105,11 @@ def op2_decontaminate(spark, sf_dir):
 def op6_secret_scan(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.find_secrets(F.col("text")).alias("all"))
     kinds = [rule.kind for rule in secrets.BASE_RULES]
-    counts = {
-        f"n_{kind}": F.size(F.filter("all", lambda s, k=kind: s["kind"] == k)).cast("long") for kind in kinds
-    }
+
+    def count_of(kind: str):
+        return F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{kind}": count_of(kind) for kind in kinds}
     base = F.filter("all", lambda s: s["kind"].isin(kinds))
     return found.withColumns(counts).select(
         "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
