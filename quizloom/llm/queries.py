@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, decontaminate, secrets, simhash, token_files, urls, warc
-from quizloom.llm.tables import table
+from quizloom.llm import bpe, decontaminate, secrets, simhash, token_files, toxicity, urls, warc
+from quizloom.llm.tables import fold, is_fold, table
 from quizloom.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,23 @@ def op6_secret_scan(spark, sf_dir):
         "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("all")).alias("spans"),
     )
+
+
+LABEL_PARTS = 5
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """Learnt from labelled rows outside the held-out fold."""
+    learnt = docs.where(fold("doc_id", LABEL_PARTS) != 0).select("doc_id", "text")
+    rows = toxicity.label_rows(learnt, labels, "doc_id", "toxic", "_toxic")
+    return toxicity.fit(rows, "text", F.col("_toxic"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.add_score(docs, model).select(
+        "doc_id", is_fold("doc_id", LABEL_PARTS, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
