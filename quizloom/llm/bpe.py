@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from quizloom.llm.chunks import ChunkCache
+from quizloom.llm.chunks import ChunkCache, ids_of_texts
 
 NONE = np.int64(1) << 60
 SHORT_BYTES = 64
@@ -207,20 +208,23 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, split)])]
         return ids, np.diff(ends)
 
-    def encode_slice(self, text: str) -> np.ndarray:
-        return self._cache.ids([c for c in _BREAK.split(text) if c])
+    @staticmethod
+    def _chunks(text: str) -> Iterator[list[str]]:
+        """Slices end where no match of the pattern crosses."""
+        start = 0
+        while start < len(text):
+            end = len(text)
+            if end - start > SLICE_CHARS:
+                place = _BREAK.search(text, start + SLICE_CHARS)
+                end = place.start() if place else end
+            yield [c for c in _BREAK.split(text[start:end]) if c]
+            start = end
+
+    def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
+        return ids_of_texts(texts, self._chunks, self._cache)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, slice by slice; slices end where no match of the pattern crosses."""
-        parts, start = [], 0
-        while len(text) - start > SLICE_CHARS:
-            end = _BREAK.search(text, start + SLICE_CHARS)
-            if not end:
-                break
-            parts.append(self.encode_slice(text[start:end.start()]))
-            start = end.start()
-        parts.append(self.encode_slice(text[start:]))
-        return np.concatenate(parts)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens.get(i, b"") for i in ids])
@@ -237,7 +241,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
         own = encoder(path, pattern)
-        parts = [own.encode(t.as_py() or "") for t in texts]
+        parts = own.encode_all(t.as_py() or "" for t in texts)
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))

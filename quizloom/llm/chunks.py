@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -44,7 +44,8 @@ class ChunkCache:
         self._filled = total
         self._codes.update(zip(chunks, range(first, last)))
 
-    def ids(self, chunks: list[str]) -> np.ndarray:
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, and how many each has."""
         new = [c for c in dict.fromkeys(chunks) if c not in self._codes]
         if new:
             if len(self._codes) + len(new) > self._limit:
@@ -52,4 +53,41 @@ class ChunkCache:
                 new = list(dict.fromkeys(chunks))
             self._add(new)
         codes = np.fromiter(map(self._codes.__getitem__, chunks), np.int64, len(chunks))
-        return gather(self._pool, self._starts[codes], self._sizes[codes])
+        sizes = self._sizes[codes]
+        return gather(self._pool, self._starts[codes], sizes), sizes
+
+
+# Chunks that are looked up together.
+TOGETHER = 1 << 18
+
+
+def ids_of_texts(
+    texts: Iterable[str], chunks_of: Callable[[str], Iterator[list[str]]], cache: ChunkCache,
+    together: int = TOGETHER,
+) -> list[np.ndarray]:
+    """Ids of each text. ``chunks_of`` gives a text's chunks in lists of bounded size; those of
+    many texts are looked up together, so that new ones are learnt many at a time."""
+    parts: list[list[np.ndarray]] = []
+    waiting: list[str] = []
+    owners: list[tuple[int, int]] = []
+
+    def flush() -> None:
+        ids, sizes = cache.ids(waiting)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        first = 0
+        for text, count in owners:
+            parts[text].append(ids[ends[first]:ends[first + count]])
+            first += count
+        waiting.clear()
+        owners.clear()
+
+    for number, text in enumerate(texts):
+        parts.append([])
+        for chunks in chunks_of(text):
+            waiting += chunks
+            owners.append((number, len(chunks)))
+            if len(waiting) >= together:
+                flush()
+    flush()
+    none = np.zeros(0, np.int32)
+    return [p[0] if len(p) == 1 else np.concatenate([none, *p]) for p in parts]

@@ -25,7 +25,7 @@ import re
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from quizloom.llm.chunks import ChunkCache, gather
+from quizloom.llm.chunks import ChunkCache, gather, ids_of_texts
 from quizloom.llm.tables import one_per_task
 
 MANIFEST_SCHEMA = (
@@ -99,17 +99,23 @@ class WordTokenizer:
         chosen = np.array([place[form] for form in forms], np.int64)
         return gather(flat, (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]), sizes[chosen]
 
-    def encode(self, text: str) -> np.ndarray:
-        parts, start = [], 0
+    @staticmethod
+    def _chunks(text: str) -> Iterator[list[str]]:
+        start = 0
         while start < len(text):
             end = len(text)
             if end - start > SLICE_CHARS:
                 blank = text.find(" ", start + SLICE_CHARS)
                 end = blank if blank >= 0 else end
-            slice_ = _TAIL.sub(r" \1", text[start:end] + " ").replace("\n", " ")
-            parts.append(self._cache.ids([c for c in slice_.split(" ") if c]))
+            part = _TAIL.sub(r" \1", text[start:end] + " ").replace("\n", " ")
+            yield [c for c in part.split(" ") if c]
             start = end
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
+        return ids_of_texts(texts, self._chunks, self._cache)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -280,10 +286,10 @@ def write_shards(
         width = 2 if max(tokenizer.size, end_id + 1) <= 1 << 16 else 4
         shard, done, part = None, [], TaskContext.get().partitionId()
         for batch in batches:
-            for number, body in zip(batch["key"], batch["text"]):
+            encoded = tokenizer.encode_all(body.as_py() or "" for body in batch["text"])
+            for number, ids in zip(batch["key"].to_pylist(), encoded):
                 shard = shard or ShardWriter(folder, width)
-                ids = tokenizer.encode(body.as_py() or "")
-                shard.add(number.as_py(), np.append(ids, np.int32(end_id)))
+                shard.add(number, np.append(ids, np.int32(end_id)))
                 if shard.bytes >= shard_bytes:
                     done.append(shard.close())
                     shard = None
