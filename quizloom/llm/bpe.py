@@ -26,16 +26,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from quizloom.llm.chunks import ChunkCache, ids_of_texts
+from quizloom.llm.chunks import ChunkCache, gather, ids_of_texts
+from quizloom.llm.tables import cut_batch
 
 NONE = np.int64(1) << 60
 SHORT_BYTES = 64
 CACHED_CHUNKS = 1 << 19
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
+# Leaves of the trees that are merged together.
+CELLS = 1 << 19
+# Text whose ids leave a task together.
+BATCH_BYTES = 4 << 20
 _BREAK = re.compile(r"(?= \S)")
 
 
@@ -168,39 +173,42 @@ def merge_one(piece: bytes, pairs: PairRanks) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Encoder:
     """Ranks and pattern of a tokenizer, and the worker's cache of chunks."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.ranks = read_ranks(path)
         self.pairs = PairRanks(self.ranks)
         self._split = regex.compile(pattern).findall
         self._cache = ChunkCache(self._learn, CACHED_CHUNKS)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has."""
-        sizes, parts = np.ones(len(pieces), np.int64), [None] * len(pieces)
-        by_width: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            known = self.ranks.get(piece)
-            if known is not None:
-                parts[i] = (known,)
-            elif len(piece) > SHORT_BYTES:
-                parts[i] = merge_one(piece, self.pairs)
-                sizes[i] = len(parts[i])
-            else:
-                by_width.setdefault((len(piece) - 1).bit_length(), []).append(i)
-        for chosen in by_width.values():
-            ids, count = merge_many([pieces[i] for i in chosen], self.pairs)
-            sizes[chosen] = count
-            ends = np.cumsum(count).tolist()
-            plain = ids.tolist()
-            for i, start, end in zip(chosen, [0, *ends], ends):
-                parts[i] = plain[start:end]
-        flat = [i for part in parts for i in part]
-        return np.array(flat, np.int32), sizes
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        # Runs of ids lie in ``pools`` in the order in which pieces are merged.
+        pools, starts, sizes, filled = [whole], np.arange(len(pieces)), np.ones(len(pieces), np.int64), len(pieces)
+        open_ = np.flatnonzero(whole < 0)
+        widths = np.ceil(np.log2(np.maximum(lengths[open_], 2))).astype(np.int64)
+        for bits in np.unique(widths).tolist():
+            same = open_[widths == bits]
+            step = max(1, CELLS >> bits) if (1 << bits) <= SHORT_BYTES else 1
+            for first in range(0, len(same), step):
+                chosen = same[first:first + step]
+                if (1 << bits) > SHORT_BYTES:
+                    ids = np.array(merge_one(pieces[int(chosen[0])], self.pairs), np.int64)
+                    count = np.array([len(ids)])
+                else:
+                    ids, count = merge_many([pieces[i] for i in chosen.tolist()], self.pairs)
+                pools.append(ids)
+                starts[chosen], sizes[chosen] = filled + np.cumsum(count) - count, count
+                filled += len(ids)
+        return gather(np.concatenate(pools).astype(np.int32), starts, sizes), sizes
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self._split(c) for c in chunks]
@@ -226,35 +234,54 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.tokens.get(i, b"") for i in ids])
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Ids of a text as an array of integers. ``path`` has to be readable on every worker."""
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def encode_rows(
+    df: DataFrame, text: str, path: str, pattern: str, *, ids: str = "ids", decoded: str | None = None,
+    keep_text: bool = True,
+) -> DataFrame:
+    """Adds the ids of the text to every row, and, under the name ``decoded``, the bytes decoded
+    from them. ``path`` has to be readable on every worker."""
+    new = [ids, decoded] if decoded else [ids]
+    kept = [c for c in df.columns if c not in new and (keep_text or c != text)]
+    fields = [df.schema[c] for c in kept] + [StructField(ids, ArrayType(IntegerType()))]
+    fields += [StructField(decoded, BinaryType())] if decoded else []
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, token = encoder(path, pattern), token_bytes(path)
+        for batch in batches:
+            for part in cut_batch(batch, text, BATCH_BYTES):
+                found = own.encode_all(t.as_py() or "" for t in part[text])
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                columns = [part[c] for c in kept]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32())))
+                if decoded:
+                    columns.append(pa.array([decode_ids(one.tolist(), token) for one in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=kept + new)
+
+    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(encode, StructType(fields))
 
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
-        own = encoder(path, pattern)
-        parts = own.encode_all(t.as_py() or "" for t in texts)
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
-    return ids.asNondeterministic()(text)  # so that plans keep one evaluation
+def decode_ids(ids: Iterable[int], token: dict[int, bytes]) -> bytes:
+    return b"".join([token.get(i, b"") for i in ids])
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
+def decode(ids: Column, path: str) -> Column:
     """Bytes of a list of ids."""
 
     @F.arrow_udf(BinaryType())
     def texts(lists: pa.Array) -> pa.Array:
-        own = encoder(path, pattern)
-        return pa.array([own.decode(one.as_py() or ()) for one in lists], pa.binary())
+        token = token_bytes(path)
+        values = (one.values.to_pylist() if one.is_valid else () for one in lists)
+        return pa.array([decode_ids(one, token) for one in values], pa.binary())
 
     return texts(ids)

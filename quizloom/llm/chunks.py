@@ -58,7 +58,7 @@ class ChunkCache:
 
 
 # Chunks that are looked up together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 
 def ids_of_texts(

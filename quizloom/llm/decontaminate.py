@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizloom.llm.fm_index import FMIndex
+from quizloom.llm.tables import cut_batch
 
 WINDOW = 13
 SHARD_BYTES = 32 << 20
@@ -172,14 +173,6 @@ _SPARK_STATE = T.StructType([
 ])
 
 
-def _shards(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
-    sizes = np.array([len(t) if t else 0 for t in (v.as_buffer() for v in batch[text])], np.int64)
-    part = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
-    for start, end in zip(cuts, cuts[1:]):
-        yield batch.slice(start, end - start)
-
-
 def _pairs(spans: list | None) -> list[tuple[int, int]]:
     return [(s["start"], s["end"]) for s in spans or ()]
 
@@ -189,7 +182,7 @@ def _pass(df: DataFrame, bytes_col: str, phrases, last: bool, shard_bytes: int)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in _shards(batch, bytes_col, shard_bytes):
+            for shard in cut_batch(batch, bytes_col, shard_bytes):
                 texts = shard[bytes_col].to_pylist()
                 counts, spans, items = search_shard(texts, phrases.value)
                 states = []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, decontaminate, secrets, simhash, token_files, toxicity, urls, warc
+from quizloom.llm import bpe, decontaminate, hnsw, language_id, secrets, simhash, token_files, toxicity, urls, warc
 from quizloom.llm.tables import fold, is_fold, table
 from quizloom.runtime import scratch_path
 
@@ -67,13 +67,13 @@ def op5_byte_bpe(spark, sf_dir):
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Ids of each text, their number and digest, and the digest of the bytes decoded from them."""
-    pattern = public_tokenizers.PATTERN
-    encoded = docs.select("doc_id", bpe.encode(F.col("text"), RANKS, pattern).alias("ids"))
+    encoded = bpe.encode_rows(
+        docs.select("doc_id", "text"), "text", RANKS, public_tokenizers.PATTERN, decoded="decoded", keep_text=False
+    )
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), RANKS, pattern), 256).alias("decoded_sha256"),
+        F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -135,3 +135,32 @@ def op1_toxicity(spark, sf_dir):
         "doc_id", is_fold("doc_id", LABEL_PARTS, 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+ASK_EVERY = 100
+NEAREST = 10
+
+
+@query
+def op9_hnsw_search(spark, sf_dir):
+    folder = scratch_path(spark, "hnsw")
+    rows = hnsw.valid_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    hnsw.build_index(rows).write.parquet(folder)
+    asked = rows.where(F.col("id") % ASK_EVERY == 0)
+    found = hnsw.search(spark, spark.read.parquet(folder), rows, asked, NEAREST)
+    return found.select(
+        "query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score")
+    )
+
+
+LANGUAGE_PARTS = 4
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnt = docs.where(fold("doc_id", LANGUAGE_PARTS) != 2)
+    model = language_id.fit(learnt, "text", F.col("lang"))
+    return language_id.add_language(docs.drop("lang"), model).select(
+        "doc_id", is_fold("doc_id", LANGUAGE_PARTS, 2).alias("held_out"), "lang_pred", "score"
+    )

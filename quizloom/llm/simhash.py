@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quizloom.llm.components import connected_components
+from quizloom.llm.tables import pack
 from quizloom.runtime import materialise
 
 BITS = 64
@@ -164,12 +165,12 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay when one document of each component is kept: that with the
     smallest id (null ids last; then the smallest hash of the text)."""
-    found = near_duplicates(df, id_col, text_col, **options)
+    found = near_duplicates(df.select(id_col, text_col), id_col, text_col, **options)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")
     kept = found.groupBy("component").agg(F.min(order).alias("_kept")).select(
         F.col("_kept.id").alias("_id"), F.col("_kept.text_hash").alias("_hash")
     )
-    hashed = df.withColumn("_text_hash", F.xxhash64(text_col))
+    hashed = pack(df, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     chosen = hashed.join(kept, same, "left_semi")
-    return chosen.dropDuplicates([id_col, "_text_hash"]).select(*[df[c] for c in df.columns])
+    return chosen.dropDuplicates([id_col, "_text_hash"]).select("_own.*")

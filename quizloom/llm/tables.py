@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,5 +52,21 @@ MOST_TASKS = 50_000
 
 
 def one_per_task(df: DataFrame, key: str) -> DataFrame:
-    """Deals the few rows of ``df``, each standing for much work, over as many tasks."""
-    return df.repartition(max(1, min(df.count(), MOST_TASKS)), key)
+    """Deals the few rows of ``df``, each standing for much work, over as many tasks. The hash
+    keeps the plan from taking a partitioning by the key, which may be merged, for this one."""
+    return df.repartition(max(1, min(df.count(), MOST_TASKS)), F.xxhash64(key))
+
+
+def cut_batch(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of whole rows with about ``most`` bytes of a text or binary column."""
+    sizes = np.array([len(v.as_buffer() or b"") for v in batch[column]], np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+    for start, end in zip(cuts, cuts[1:]):
+        yield batch.slice(start, end - start)
+
+
+def pack(df: DataFrame, *keep: str) -> DataFrame:
+    """The named columns and the whole row as ``_own``, so that a step's own columns cannot clash
+    with other columns of the table; ``select("_own.*")`` brings the rows back."""
+    return df.select(*keep, F.struct(*[df[c] for c in df.columns]).alias("_own"))

@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -89,7 +90,6 @@ class Model:
     pooled_word: np.ndarray
     pooled_stem: np.ndarray
     margin: float
-    weights: np.ndarray | None = None
 
     @classmethod
     def of(cls, words: DataFrame, margin: float) -> Model | None:
@@ -133,8 +133,16 @@ class Model:
         root = np.sqrt(length)
         return np.stack([sums[1] / length, sums[1] / root, sums[2] / length, sums[2] / root], axis=1)
 
+
+@dataclass
+class Scorer:
+    """The tables, sent to the tasks once for fitting and scoring, and the fitted weights."""
+
+    tables: Broadcast
+    weights: np.ndarray
+
     def score(self, texts: list[str]) -> np.ndarray:
-        raw = self.evidence(texts) @ self.weights[:-1] + self.weights[-1]
+        raw = self.tables.value.evidence(texts) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
@@ -165,7 +173,7 @@ def fit_logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -
     return np.append(scaled, weights[-1] - scaled @ mean)
 
 
-def _calibrate(model: Model, kept: DataFrame, text: str, label: Column, rows: int) -> np.ndarray:
+def _calibrate(shared: Broadcast, kept: DataFrame, text: str, label: Column, rows: int) -> np.ndarray:
     """Fits on ``rows`` texts at most, chosen by a hash of the text."""
     count = kept.count()
     chosen = kept.withColumn("_toxic", label.cast("boolean"))
@@ -173,7 +181,6 @@ def _calibrate(model: Model, kept: DataFrame, text: str, label: Column, rows: in
         # Nine tenths, so that an uneven hash stays within the bound; the limit is a safeguard.
         share = int(0.9 * rows / count * 1_000_000)
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit("fit"), text), F.lit(1_000_000)) < share).limit(rows)
-    shared = kept.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,27 +201,26 @@ def _calibrate(model: Model, kept: DataFrame, text: str, label: Column, rows: in
 def fit(
     labelled: DataFrame, text: str, label: Column, *, margin: float = MARGIN,
     calibration_rows: int = CALIBRATION_ROWS,
-) -> Model | float:
-    """A model, or the constant score if a class is missing. ``label`` is null where unknown."""
+) -> Scorer | float:
+    """A scorer, or the constant score if a class is missing. ``label`` is null where unknown."""
     known = labelled.where(label.isNotNull())
     kept = F.pmod(F.xxhash64(text), F.lit(CALIBRATION_PARTS)) == 0
     words = materialise(count_words(known.where(~kept), text, label))
     model = Model.of(words, margin)
     if model is None:
         return float(known.agg(F.avg(label.cast("double"))).first()[0] or 0.0)
-    model.weights = _calibrate(model, known.where(kept), text, label, calibration_rows)
-    return model
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    return Scorer(shared, _calibrate(shared, known.where(kept), text, label, calibration_rows))
 
 
-def add_score(df: DataFrame, model: Model | float, text: str = "text", out: str = "score") -> DataFrame:
+def add_score(df: DataFrame, scorer: Scorer | float, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score, 0 to 1."""
-    if isinstance(model, float):
-        return df.withColumn(out, F.lit(model))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    if isinstance(scorer, float):
+        return df.withColumn(out, F.lit(scorer))
 
     @F.arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score([t.as_py() or "" for t in texts]))
+        return pa.array(scorer.score([t.as_py() or "" for t in texts]))
 
     return df.withColumn(out, score.asNondeterministic()(F.col(text)))
 
