@@ -47,10 +47,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = pack(docs, "text").withColumn("spans", secrets.find_secrets(F.col("text")))
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    changed = {"text": text.alias("text")}
+    found = found.withColumn("redacted", secrets.redact(F.col("text"), F.col("spans")))
+    changed = {"text": F.col("redacted").alias("text")}
     if "n_chars" in docs.columns:
-        count = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("_own.n_chars"))
+        count = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col("_own.n_chars"))
         changed["n_chars"] = count.cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return found.select(*[changed.get(c, F.col(f"_own.`{c}`")) for c in docs.columns])
 
