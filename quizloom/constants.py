@@ -45,7 +45,6 @@ DENSE_K = 15
 DENSE_KEEP = 14
 NPROBE = 30
 QUERY_CHUNK = 800
-PASSAGE_CHUNK = 100_000
 IDF_SAMPLE = 500_000
 LEXICAL_K = 10
 ENCODE_BATCH = 620_000

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -83,9 +83,9 @@ def generation_messages(text: str = "wiki_text") -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFKD")
 
 
 def nfkd(text: Column) -> Column:

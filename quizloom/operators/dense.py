@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import vectors as V
 from quizloom.operators import blocks as B
-from quizloom.runtime import broadcast_if_small, dense_row_id, materialise
+from quizloom.runtime import dense_row_id, materialise
 
 _NEIGHBOUR_SCHEMA = "shard int, query_id long, passage_id long, distance_key long"
 
@@ -227,10 +227,6 @@ def _nearest_cell(passages: DataFrame, cell_ids: np.ndarray, centres: np.ndarray
     return nearest
 
 
-# Up to this many probed cells are named in a filter that prunes partitions.
-_NAMED_CELLS = 10_000
-
-
 def ivf_topk(
     queries: DataFrame,
     cell_passages: DataFrame,
@@ -256,10 +252,8 @@ def ivf_topk(
         order = np.lexsort((query, cell))
         groups = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if cell.size else []
         probes = {int(cell[at[0]]): query[at] for at in groups}
-        wanted = cell_passages
-        if len(probes) <= _NAMED_CELLS:
-            wanted = cell_passages.where(F.col("cell").isin(*probes))
         if probes:
+            wanted = cell_passages.where(F.col("cell").isin(*probes))
             parts.append(_search(wanted, ids, matrix, k, probes))
     if not parts:
         parts = [queries.sparkSession.createDataFrame([], _NEIGHBOUR_SCHEMA)]
@@ -273,11 +267,11 @@ def keep_nearest(neighbours: DataFrame, keep: int = K.DENSE_KEEP) -> DataFrame:
 def candidate_pool(neighbours: DataFrame, passages: DataFrame) -> DataFrame:
     """Distinct texts over all shards and queries, each with its smallest passage_id.
 
-    The ids shrink to a distinct set, small enough to send out, before any text is read, and
-    ``min`` is combined before the shuffle, so many copies of one text do not meet in one
-    task.
+    The ids shrink to a distinct set, written once, before any text is read; Spark sends it out
+    if it is small. ``min`` is combined before the shuffle, so many copies of one text do not
+    meet in one task.
     """
-    wanted = broadcast_if_small(neighbours.select("passage_id").distinct())
+    wanted = materialise(neighbours.select("passage_id").distinct())
     return (
         passages.join(wanted, "passage_id", "left_semi")
         .groupBy("text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizloom import constants as K
 from quizloom.functions import metrics as M
+from quizloom.runtime import materialise
 
 RESULT_COLUMNS = (
     "prompt", "answer", "prediction-1", "prediction-2", "prediction-3", "mAP", *K.LETTERS,
@@ -14,17 +15,20 @@ RESULT_COLUMNS = (
 
 
 def with_top3(df: DataFrame, scores: str = "s") -> DataFrame:
-    """Add the three best letters as ``top3``."""
-    return df.withColumn("top3", M.ranked_letters(F.col(scores), 3))
+    """Add the three best letters as ``top3``, null without scores."""
+    best = F.when(F.col(scores).isNotNull(), M.ranked_letters(F.col(scores), 3))
+    return df.withColumn("top3", best)
 
 
 def evaluation_table(questions: DataFrame, scores: DataFrame, id_column: str = "id") -> DataFrame:
-    """One row per question with its three predictions and its average precision."""
-    joined = with_top3(questions.join(scores, id_column))
+    """One row per question with its three predictions and its average precision; a question
+    without scores has null predictions and a null average precision."""
+    joined = with_top3(questions.join(scores, id_column, "left"))
+    precision = M.average_precision(F.array("answer"), F.col("top3"), 3)
     return joined.select(
         id_column, "prompt", "answer",
         *[F.get("top3", F.lit(i)).alias(f"prediction-{i + 1}") for i in range(3)],
-        M.average_precision(F.array("answer"), F.col("top3"), 3).alias("mAP"),
+        F.when(F.col("top3").isNotNull(), precision).alias("mAP"),
         *K.LETTERS,
     )
 
@@ -56,14 +60,14 @@ def argmax_accuracy(df: DataFrame, scores: str = "s", answer: str = "answer") ->
 
 
 def map_distribution(df: DataFrame, column: str = "mAP") -> DataFrame:
-    """Share of rows per value, most frequent first, nulls left out."""
-    known = df.where(F.col(column).isNotNull())
-    total = known.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        known.groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(column, "n", (F.col("n") / total).alias("share"))
-        .orderBy(F.desc("n"), column)
+    """Share of rows per value, most frequent first, nulls left out. The input is read once: the
+    total is taken from the counts of the distinct values."""
+    counts = materialise(
+        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    )
+    total = counts.agg(F.sum("n").alias("n")).scalar()
+    return counts.select(column, "n", (F.col("n") / total).alias("share")).orderBy(
+        F.desc("n"), column
     )
 
 

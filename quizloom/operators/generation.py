@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import text as T
 from quizloom.operators.prep import option_letter
-from quizloom.runtime import BROADCAST_ROWS, dense_row_id, materialise
+from quizloom.runtime import dense_row_id, materialise
 
 PAGE_COLUMNS = ("wiki_text", "page_id", "page_title", "stem_label")
 
@@ -59,9 +59,8 @@ def category_pages(
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        level = F.broadcast(frontier) if frontier.count() <= BROADCAST_ROWS else frontier
         reached = materialise(
-            level.join(edges, F.col("node") == F.col("parent"))
+            frontier.join(edges, F.col("node") == F.col("parent"))
             .select("stem_label", "child", "kind")
             .distinct()
         )

@@ -37,10 +37,11 @@ def exploded_terms(df: DataFrame, id_column: str, text: str = "text") -> DataFra
 
 
 def with_chunk(
-    queries: DataFrame, id_column: str = "query_id", size: int = K.QUERY_CHUNK
+    queries: DataFrame, id_column: str = "query_id", size: int | None = None
 ) -> DataFrame:
-    """Number queries in id order and put ``size`` of them in a chunk."""
-    if queries.count() <= size:
+    """Number queries in id order and put ``size`` of them in a chunk; without a size all are
+    one chunk, so that no query's scores depend on which others share its chunk."""
+    if size is None:
         return queries.withColumn("chunk", F.lit(0).cast("long"))
     return dense_row_id(queries, [id_column], "query_no").withColumn(
         "chunk", F.floor(F.col("query_no") / F.lit(size)).cast("long")
@@ -69,22 +70,32 @@ def vocabulary(terms: DataFrame) -> DataFrame:
 def term_counts(passages: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """(passage_id, term, tf) of the terms some query holds.
 
-    Occurrences are counted per passage before they meet the vocabulary, so a frequent
-    term is one row per passage, and AQE may broadcast a small vocabulary.
+    Occurrences are counted inside their passage before they meet the vocabulary, so a
+    frequent term is one row per passage, and AQE may broadcast a small vocabulary.
     """
     wanted = vocab.select("term").distinct()
-    return (
-        exploded_terms(passages, "passage_id", text)
-        .join(wanted, "term", "left_semi")
-        .groupBy("passage_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    terms = tokens_of(passages, "passage_id", text).select(
+        "passage_id", F.array_sort(T.terms(F.col("tokens"))).alias("terms")
     )
-
-
-def idf_sample_of(passages: DataFrame, sample: int = K.IDF_SAMPLE) -> DataFrame:
-    """The first ``sample`` passages by id."""
-    last = nth_value(passages, "passage_id", sample - 1)
-    return passages if last is None else passages.where(F.col("passage_id") <= last)
+    # In a sorted list a term starts where its neighbour differs and ends before the next start.
+    size = F.size("terms")
+    starts = F.filter(
+        F.sequence(F.lit(0), size),
+        lambda i: (i == size) | (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)),
+    )
+    counted = terms.select("passage_id", "terms", starts.alias("starts")).select(
+        "passage_id",
+        F.explode(F.transform(
+            F.slice("starts", 1, F.size("starts") - 1),
+            lambda start, i: F.struct(
+                F.get("terms", start).alias("term"),
+                (F.get("starts", i + 1) - start).cast("long").alias("tf"),
+            ),
+        )).alias("counted"),
+    )
+    return counted.select("passage_id", "counted.term", "counted.tf").join(
+        wanted, "term", "left_semi"
+    ).select("passage_id", "term", "tf")
 
 
 def idf(vocab: DataFrame, counts: DataFrame, n_passages: Column) -> DataFrame:
@@ -327,19 +338,20 @@ def _dots(row, term, weight, chunk: _Chunk, n: int) -> np.ndarray:
 
 
 def _query_parts(terms: DataFrame, limit: int) -> DataFrame:
-    """(chunk, query_id, n, part): running sums of term counts inside a chunk (at most its
-    800 queries) cut a very large chunk into parts."""
+    """(chunk, query_id, n, part): parts of a very large chunk, dealt by a hash of the query so
+    that each has about half the limit of terms; no running sum brings a chunk's queries
+    together."""
     per_query = terms.groupBy("chunk", "query_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("chunk").orderBy("query_id")
-    return per_query.withColumn(
-        "part", F.floor((F.sum("n").over(before) - F.col("n")) / F.lit(limit)).cast("int")
-    )
+    totals = per_query.groupBy("chunk").agg(F.sum("n").alias("_all"))
+    parts = F.when(F.col("_all") <= limit, 1).otherwise(F.ceil(2 * F.col("_all") / F.lit(limit)))
+    dealt = F.pmod(F.xxhash64("query_id"), parts.cast("long")).cast("int")
+    return per_query.join(F.broadcast(totals), "chunk").select("chunk", "query_id", "n", dealt.alias("part"))
 
 
 def _plan_passes(parts: DataFrame, limit: int):
     """Lists of (chunk, part) that fit one block together, and the chunks cut in parts.
 
-    One short row per chunk of 800 queries comes to the driver.
+    One short row per chunk and part comes to the driver.
     """
     sizes = parts.groupBy("chunk", "part").agg(F.sum("n").alias("n")).orderBy("chunk", "part")
     rows = sizes.collect()
@@ -372,14 +384,16 @@ def lexical_scores(
     queries: DataFrame,
     passages: DataFrame,
     k: int | None = K.LEXICAL_K,
-    query_chunk: int = K.QUERY_CHUNK,
-    idf_sample: int = K.IDF_SAMPLE,
+    query_chunk: int | None = None,
+    idf_sample: int | None = None,
     max_terms: int | None = None,
 ) -> DataFrame:
     """Cosine scores (query_id, passage_id, score): the ``k`` best candidates per query and
     task, or with ``k=None`` every score above zero. Scores are rounded to six places.
 
-    ``queries`` is (query_id, text), ``passages`` is (passage_id, text) with unique ids.
+    ``queries`` is (query_id, text), ``passages`` is (passage_id, text) with unique ids. By
+    default all queries share one vocabulary and idf is fitted on all passages;
+    ``query_chunk`` queries each, or the first ``idf_sample`` passages by id, can be asked for.
     """
     limit = max_terms or B.MAX_BLOCK_TERMS
     chunked = with_chunk(queries.select("query_id", "text"), "query_id", query_chunk)
@@ -400,7 +414,7 @@ def lexical_scores(
         sparse = materialise(_encode(passages, block))
         if n_all is None:
             n_all = sparse.count()
-            if n_all > idf_sample:
+            if idf_sample is not None and n_all > idf_sample:
                 threshold = nth_value(sparse, "passage_id", idf_sample - 1)
         sample = sparse if threshold is None else sparse.where(F.col("passage_id") <= threshold)
         counted = (
@@ -409,7 +423,7 @@ def lexical_scores(
         )
         df = np.zeros(block.n_terms)
         df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
-        n = min(n_all, idf_sample)
+        n = n_all if idf_sample is None else min(n_all, idf_sample)
         idf_values = np.log((1.0 + n) / (1.0 + df)) + 1.0
         _weigh_queries(block, idf_values)
         if chosen[0][0] in split:
@@ -450,6 +464,52 @@ def lexical_topk(
     return _as_scores(best).select("query_id", "rank", "score", "passage_id")
 
 
+def own_pool_scores(queries: DataFrame, pairs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, passage_id, score) of the given ``pairs`` (query_id, passage_id) alone.
+
+    Each question is scored against its own neighbours, so the work grows with the pairs and
+    not with questions times passages. Passages are cut into terms once, whatever the number
+    of questions, and questions are joined, never sent through the driver. Vocabulary and idf
+    are those of all questions and of all passages of the pairs.
+    """
+    pairs = materialise(pairs.select("query_id", "passage_id").distinct())
+    pool = passages.select("passage_id", "text").join(
+        pairs.select("passage_id").distinct(), "passage_id", "left_semi"
+    )
+    asked = materialise(query_terms(with_chunk(queries.select("query_id", "text"))))
+    vocab = vocabulary(asked)
+    scored = pool.select("passage_id", T.scoring_text(F.col("text")).alias("text"))
+    counts = materialise(term_counts(scored, vocab))
+    n = pairs.agg(F.countDistinct("passage_id").alias("n")).scalar()
+    weights = materialise(idf(vocab, counts, n))
+    vectors = passage_vectors(counts, weights).select("passage_id", "term", "weight")
+    raw = asked.join(weights.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    lengths = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    own = raw.join(lengths, "query_id").select(
+        "query_id", "term", (F.col("w") / F.col("length")).alias("q")
+    )
+    met = pairs.join(own, "query_id").join(vectors, ["passage_id", "term"])
+    sums = met.groupBy("query_id", "passage_id").agg(
+        F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score")
+    )
+    return pairs.join(sums, ["query_id", "passage_id"], "left").select(
+        "query_id", "passage_id", F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+
+
+def own_pool_topk(
+    queries: DataFrame, pairs: DataFrame, passages: DataFrame, k: int = K.LEXICAL_K,
+    fill_to_k: bool = True,
+) -> DataFrame:
+    """The ``k`` best of each query's own passages by score, then passage_id."""
+    scores = own_pool_scores(queries, pairs, passages)
+    if not fill_to_k:
+        scores = scores.where(F.col("score") > 0)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")
+    ranked = scores.withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "score", "passage_id")
+
+
 # ---------------------------------------------------------------- context
 
 

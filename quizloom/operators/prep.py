@@ -23,20 +23,29 @@ def fill_options(df: DataFrame) -> DataFrame:
     return fill_missing(df, list(K.LETTERS))
 
 
-def keep_complete(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows without a null in the columns, as conditions that reach a parquet scan."""
-    condition = F.col(columns[0]).isNotNull()
-    for column in columns[1:]:
+def keep_complete(
+    df: DataFrame, columns: tuple[str, ...], stored: bool = False
+) -> DataFrame:
+    """Rows without a null in the columns.
+
+    With ``stored``, for columns as they lie in a file, there is a condition for each, which
+    reaches the scan. Else the condition stays in one piece: single ones would be pushed
+    through computed columns, which are then computed once for each.
+    """
+    if not stored:
+        return df.dropna(subset=list(columns))
+    condition = F.lit(True)
+    for column in columns:
         condition = condition & F.col(column).isNotNull()
     return df.where(condition)
 
 
-def keep_trainable(df: DataFrame) -> DataFrame:
-    return keep_complete(df, ("prompt", "answer"))
+def keep_trainable(df: DataFrame, stored: bool = False) -> DataFrame:
+    return keep_complete(df, ("prompt", "answer"), stored)
 
 
-def keep_evaluable(df: DataFrame) -> DataFrame:
-    return keep_complete(df, PAIRED_COLUMNS)
+def keep_evaluable(df: DataFrame, stored: bool = False) -> DataFrame:
+    return keep_complete(df, PAIRED_COLUMNS, stored)
 
 
 def letter_index(letter: Column) -> Column:

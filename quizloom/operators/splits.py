@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +10,15 @@ from quizloom.runtime import dense_row_id, first_rows, materialise
 
 
 def dedupe_keep_last(df: DataFrame, key: str = "prompt", order: str = "row_no") -> DataFrame:
-    """The last row of every key, nulls counting as one key.
+    """The last row of every key, nulls counting as one key. A null order comes first; rows of
+    equal order are told apart by their other columns, in column order.
 
     An aggregate in place of a ranking window: copies of a very frequent key are reduced
     to one row before the shuffle.
     """
     rest = [c for c in df.columns if c != key]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    place = F.struct(order, *rest)
+    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("_last"))
     return last.select(key, "_last.*").select(*df.columns)
 
 
@@ -29,11 +28,6 @@ def class_codes(df: DataFrame, column: str = "mAP", order: str = "row_no") -> Da
     return dense_row_id(seen, ["first_row", column], "code").select(column, "code")
 
 
-def with_class_code(df: DataFrame, column: str = "mAP", order: str = "row_no") -> DataFrame:
-    codes = class_codes(df, column, order).withColumnRenamed(column, "_value")
-    return df.join(codes, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
-
-
 def hash_order(id_column: str, seed: int) -> Column:
     """Sort key that depends on seed and id only, not on partitioning."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
@@ -82,7 +76,7 @@ def weighted_sample(
 def top_n(df: DataFrame, score: str, id_column: str, n: int = 100) -> DataFrame:
     """The ``n`` rows of highest score, then lowest id; rows without a score come last."""
     keys = [F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(id_column)]
-    return first_rows(df, keys, n)
+    return first_rows(df, keys, n).orderBy(*keys)
 
 
 def train_validation(df: DataFrame, threshold: float = 0.5, column: str = "mAP") -> DataFrame:
@@ -100,103 +94,32 @@ def bias_partition(df: DataFrame, threshold: float = 0.5, column: str = "mAP") -
     )
 
 
-# Groups at least this large a share of all rows are placed one by one; there can be no
-# more of them than this number.
-GROUPS_PLACED_SINGLY = 20_000
-
-
-def _place_groups(groups: list, counts: np.ndarray, folds: int, seed: int) -> dict:
-    """Greedy choice for groups (rows of ``counts``, a column per class).
-
-    Groups with uneven classes go first; each takes the fold that leaves the class shares
-    of the folds most even, then the emptiest, then the first.
-    """
-    def mixed(group) -> str:
-        return hashlib.md5(f"{seed}|{group}".encode()).hexdigest()
-
-    totals = np.maximum(counts.sum(axis=0), 1)
-    shares = counts / totals
-    order = sorted(range(len(groups)), key=lambda i: (-counts[i].std(), mixed(groups[i])))
-    filled = np.zeros((folds, counts.shape[1]))
-    placed = {}
-    for i in order:
-        # Spread of a class over the folds, for each fold the group may enter.
-        options = np.repeat(filled[None], folds, axis=0)
-        options[np.arange(folds), np.arange(folds)] += shares[i]
-        spread = options.std(axis=1).mean(axis=1).round(12)
-        best = min(range(folds), key=lambda f: (spread[f], filled[f].sum().round(12), f))
-        filled[best] += shares[i]
-        placed[groups[i]] = best
-    return placed
-
-
-def _deal_limits(class_rows: dict, placed_rows: dict, folds: int) -> list[tuple]:
-    """Per class the upper ends of the folds' intervals in [0, 1): a fold's interval is as
-    wide as its share of what the folds still lack of the class."""
-    limits = []
-    for name, rows in class_rows.items():
-        have = np.array([placed_rows.get((name, f), 0.0) for f in range(folds)])
-        lack = np.maximum(rows / folds - have, 0.0)
-        lack = lack if lack.sum() > 0 else np.ones(folds)
-        ends = np.cumsum(lack) / lack.sum()
-        limits.append((name, [float(x) for x in ends[:-1]]))
-    return limits
-
-
-# Multiples of the golden ratio fill [0, 1) evenly from any starting point on.
-_GOLDEN = 0.6180339887498949
-
-
 def group_folds(
     df: DataFrame, group: str, stratum: str, folds: int = 4, seed: int = K.FOLD_SEED
 ) -> DataFrame:
-    """(group, fold): whole groups in folds with even class shares. The classes are few.
+    """(group, fold): whole groups in folds with even class shares, for any number of groups.
 
-    Groups that hold a noticeable share of the rows are placed one by one; by their size
-    there are few. All others are numbered by their main class, size and hash, and dealt to
-    the folds in proportion to what these still lack of the class, which needs no driver and
-    works for any number of groups.
+    A group belongs to the class most of its rows have (on a tie the larger class). The groups
+    of a class are numbered by falling size and hash and dealt to the folds back and forth (0,
+    1, 2, 2, 1, 0, …), each class starting one fold further. So the folds' rows of a class
+    differ by its largest group at most, and nothing is placed on the driver.
     """
-    spark = df.sparkSession
-    counts = materialise(df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n")))
+    counts = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(group).agg(
         F.sum("n").alias("size"), F.max_by(stratum, F.struct("n", stratum)).alias("main")
     )
-    class_rows = {
-        r[0]: r[1] for r in counts.groupBy(stratum).agg(F.sum("n")).collect()
-    }
-    least = sum(class_rows.values()) / GROUPS_PLACED_SINGLY
-    large = sizes.where(F.col("size") >= least).select(F.col(group).alias("_g"))
-    rows = counts.join(large, F.col(group).eqNullSafe(F.col("_g")), "left_semi").collect()
-    names = sorted({r[group] for r in rows}, key=lambda g: (g is None, g))
-    classes = sorted(class_rows, key=lambda c: (c is None, c))
-    table = np.zeros((len(names), max(1, len(classes))))
-    row_of = {g: i for i, g in enumerate(names)}
-    column_of = {c: i for i, c in enumerate(classes)}
-    for r in rows:
-        table[row_of[r[group]], column_of[r[stratum]]] = r["n"]
-    placed = _place_groups(names, table, folds, seed)
-    kind = df.schema[group].dataType.simpleString()
-    found = spark.createDataFrame(list(placed.items()), f"`{group}` {kind}, fold int")
-    if least <= 1:
-        return found
-    placed_rows: dict = {}
-    for r in rows:
-        key = (r[stratum], placed[r[group]])
-        placed_rows[key] = placed_rows.get(key, 0.0) + r["n"]
-    limits = spark.createDataFrame(
-        _deal_limits(class_rows, placed_rows, folds),
-        f"_class {df.schema[stratum].dataType.simpleString()}, _ends array<double>",
+    keyed = sizes.withColumn("_key", hash_order(group, seed))
+    numbered = materialise(
+        dense_row_id(keyed, ["main", F.desc("size"), "_key", group], "_row")
     )
-    small = sizes.where(F.col("size") < least).withColumn("_key", hash_order(group, seed))
-    numbered = dense_row_id(small, ["main", F.desc("size"), "_key"], "_row")
-    point = F.col("_row") * F.lit(_GOLDEN) % 1
-    dealt = (
-        numbered.withColumn("_point", point)
-        .join(F.broadcast(limits), F.col("main").eqNullSafe(F.col("_class")))
-        .select(group, F.size(F.filter("_ends", lambda e: e <= F.col("_point"))).alias("fold"))
+    starts = numbered.groupBy(F.col("main").alias("_class")).agg(F.min("_row").alias("_start"))
+    starts = dense_row_id(starts, ["_start"], "_number")
+    step = F.col("_row") - F.col("_start")
+    turn = F.pmod(step, F.lit(2 * folds))
+    dealt = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn)
+    return numbered.join(starts, F.col("main").eqNullSafe(F.col("_class"))).select(
+        group, F.pmod(dealt + F.col("_number"), F.lit(folds)).cast("int").alias("fold")
     )
-    return found.unionByName(dealt)
 
 
 def with_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
@@ -212,7 +135,8 @@ def fold_sets(
 
     Validation is the fold's rows from the threshold on; train is the rows below it and
     the other folds' rows. Rows without a score are in neither. ``folds`` is (id, fold)
-    for the rows from the threshold on. Each row is copied once per fold, without a join.
+    for the rows from the threshold on; it is joined once, and each row is then copied once
+    per fold.
     """
     scored = bias_partition(df, threshold).where(F.col("part").isNotNull())
     own = folds.select(id_column, F.col("fold").alias("_own"))

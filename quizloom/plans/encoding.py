@@ -15,12 +15,18 @@ from quizloom.runtime import first_rows
 def number_passages(
     texts: DataFrame,
     order_by: list[str],
-    cap: int = K.MAX_PASSAGES,
+    cap: int | None = None,
     batch_rows: int = K.ENCODE_BATCH,
 ) -> DataFrame:
-    """(shard, row_no, passage_id, text): the first ``cap`` texts in the given order, with a
-    shard for every ``batch_rows`` of them."""
-    numbered = dense.row_batches(first_rows(texts, order_by, cap), order_by, batch_rows)
+    """(shard, row_no, passage_id, text): the texts in the given order, with a shard for every
+    ``batch_rows`` of them; with a ``cap`` only the first so many.
+
+    Only the keys in ``order_by``, which have to tell rows apart and be without nulls, are
+    sorted; texts then join their numbers.
+    """
+    chosen = texts if cap is None else first_rows(texts, order_by, cap)
+    numbers = dense.row_batches(chosen.select(*order_by), order_by, batch_rows)
+    numbered = chosen.join(numbers, order_by)
     return numbered.select(
         F.col("batch").cast("int").alias("shard"),
         (F.col("row_id") % batch_rows).alias("row_no"),

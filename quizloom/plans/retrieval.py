@@ -18,14 +18,21 @@ Encoder = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class RetrievalSettings:
-    """Sizes of the stages; the defaults are the published ones."""
+    """Sizes of the stages; the defaults are the published ones.
+
+    Scores do not depend on a chunk of questions or a prefix of passages unless
+    ``query_chunk`` or ``idf_sample`` ask for it. With ``per_query_pool`` each question is
+    scored against its own neighbours and not against those of all questions; that is the
+    form whose work grows in proportion to the questions.
+    """
 
     dense_k: int = K.DENSE_K
     dense_keep: int = K.DENSE_KEEP
     nprobe: int = K.NPROBE
     lexical_k: int = K.LEXICAL_K
-    query_chunk: int = K.QUERY_CHUNK
-    idf_sample: int = K.IDF_SAMPLE
+    query_chunk: int | None = None
+    idf_sample: int | None = None
+    per_query_pool: bool = False
     strip_instruction: bool = False
     fill_to_k: bool = True
 
@@ -73,9 +80,19 @@ def answer_contexts(
     if passage_vectors is None:
         passage_vectors = encode(passages.select("shard", "passage_id", "text"))
     near = find_neighbours(queries, passage_vectors, settings, centroids)
+    lexical_queries = asked.select(F.col("id").alias("query_id"), F.col("query_text").alias("text"))
+    if settings.per_query_pool:
+        near = materialise(near)
+        pool = passages.select("passage_id", "text")
+        ranked = lexical.own_pool_topk(
+            lexical_queries, near, pool, settings.lexical_k, settings.fill_to_k
+        )
+        contexts = lexical.assemble_context(lexical.with_texts(materialise(ranked), pool))
+        found = contexts.withColumnRenamed("query_id", "id")
+        return lexical.attach_context(asked, found, "id").select("id", *OUTPUT_COLUMNS)
     pool = materialise(dense.candidate_pool(near, passages))
     ranked = lexical.lexical_topk(
-        asked.select(F.col("id").alias("query_id"), F.col("query_text").alias("text")),
+        lexical_queries,
         pool,
         settings.lexical_k,
         settings.fill_to_k,

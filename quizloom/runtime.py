@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +16,8 @@ _POSITION_BITS = 33
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, taken from the session.
 
-    Only a local session without the setting gets a folder of its own; on a cluster a
-    machine-local folder would not survive the loss of an executor.
+    Only a local session without the setting gets a folder, below its warehouse; on a cluster
+    a machine-local folder would not survive the loss of an executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
@@ -31,7 +30,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="quizloom-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder
 
@@ -47,17 +46,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows of ids or names that may be sent to every executor.
-BROADCAST_ROWS = 4_000_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a table of short rows once, and mark it for broadcast if its counted rows stay
-    within the limit. Beyond it the join shuffles, and AQE splits skewed keys."""
-    kept = materialise(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
-
-
 def dense_row_id(df: DataFrame, order_by: list[str | Column], out: str = "row_id") -> DataFrame:
     """Number rows 0, 1, 2, … by ``order_by`` without bringing them into one task.
 
@@ -94,22 +82,18 @@ def nth_value(df: DataFrame, column: str, n: int):
     return None if hit is None else hit[column]
 
 
-# Up to this many rows an ordered limit is a bounded merge.
-SMALL_LIMIT = 50_000
-
-
 def first_rows(df: DataFrame, keys: list[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows by ascending ``keys``, which have to tell rows apart.
 
-    For a large ``n`` only the keys are shuffled, to find the last one that belongs; the
-    rows themselves are then filtered where they are.
+    Only the keys are shuffled, to find the last one that belongs; the rows themselves are
+    then filtered where they are.
     """
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*keys).limit(n)
     key = F.struct(*keys)
     listed = df.select(key.alias("_key"))
-    last = nth_value(listed, "_key", n - 1)
+    last = nth_value(listed, "_key", n - 1) if n > 0 else ()
     if last is None:
         return df
+    if n <= 0:
+        return df.limit(0)
     limit = F.struct(*[F.lit(value) for value in last])
     return df.where(key <= limit.cast(listed.schema["_key"].dataType))

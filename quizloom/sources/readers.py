@@ -18,19 +18,6 @@ SCORED_SCHEMA = StructType([*QUESTION_SCHEMA.fields, StructField("mAP", DoubleTy
 CONTEXT_SCHEMA = StructType(_strings("prompt", "context", *K.LETTERS, "answer"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of a small scan over all cores.
-
-    A file of one row group is read by one task, which then also does all per-row text work.
-    A scan with at least twice as many partitions as cores is left as it is, so the shuffle
-    only ever meets small inputs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_parquet_except(
     spark: SparkSession,
     folder: str,

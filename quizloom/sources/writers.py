@@ -53,6 +53,8 @@ def write_folds(df: DataFrame, path: str, **options) -> None:
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
-    """A folder per shard, and per cell where passages have one."""
+    """A folder per shard, and per cell where passages have one. Rows of a folder are brought
+    together first, so that it gets few files; adaptive execution cuts a large folder's rows
+    into several tasks."""
     by = ("shard", "cell") if "cell" in df.columns else ("shard",)
-    write_parquet(df, path, partition_by=by, **options)
+    write_parquet(df.hint("rebalance", *by), path, partition_by=by, **options)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quizloom.constants import LETTERS, OPTION_KEYS
 from quizloom.functions import vectors as V
 from quizloom.operators.batch_scoring import hashed_vectors
-from quizloom.sources.readers import spread
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 LABEL_ROOTS = {
@@ -20,18 +19,10 @@ LABEL_ROOTS = {
 EXCLUDED = ("Category:Nation 5",)
 
 
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows need much work each."""
-    return spread(table(spark, sf_dir, name), TEXT_KEYS[name])
-
-
 def _segment(words: str, step: Column, i: int) -> Column:
     return F.array_join(F.slice(words, (step * i + 1).cast("int"), step.cast("int")), " ")
 
@@ -72,7 +63,7 @@ def mcq_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mcq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _questions(texts(spark, sf_dir, "documents"), "doc_id")
+    df = _questions(table(spark, sf_dir, "documents"), "doc_id")
     df = _null_where(df, "E", F.col("id") % 7 == 0)
     df = _null_where(df, "B", F.col("id") % 13 == 0)
     df = _null_where(df, "answer", F.col("id") % 11 == 10)
@@ -81,7 +72,7 @@ def mcq_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mcq_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document questions with the document itself as context."""
-    contexts = texts(spark, sf_dir, "documents").select(
+    contexts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("context")
     )
     return mcq_docs(spark, sf_dir).join(contexts, "id")
@@ -166,15 +157,23 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def option_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.slice(V.as_double(F.col("embedding")), 1, 5).alias("s"),
+    """Five scores per vector, each the sum of every fifth component."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", V.as_double(F.col("embedding")).alias("v")
+    )
+
+    def score(i: int) -> Column:
+        own = F.filter("v", lambda _, at: at % 5 == i)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda a, x: a + x), 9)
+
+    return vectors.select(
+        F.col("vec_id").alias("id"), F.array(*[score(i) for i in range(5)]).alias("s"),
         (F.col("label") % 5).cast("int").alias("label"),
     )
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("page_title"),
         F.trim(F.regexp_replace("html", "<[^>]*>", " ")).alias("wiki_text"),

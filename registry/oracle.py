@@ -7,6 +7,7 @@ import unicodedata
 from quizloom import constants as K
 
 L5 = "A, B, C, D, E"
+CAPPED_ROWS = 170
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,7 +54,9 @@ CONTEXT = DOCS + f""",
       FROM mcq_docs m JOIN documents d ON d.doc_id = m.id)"""
 PASSAGES = """passages AS (SELECT (min(doc_id) % 5)::INT AS shard, min(doc_id) AS passage_id, text
       FROM documents GROUP BY text)"""
-SCORES = """option_scores AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:5] AS s,
+SCORES = """option_scores AS (SELECT vec_id AS id, list_transform(range(5), lambda i:
+      round(list_sum(list_transform(range(i, len(embedding), 5), lambda j:
+        embedding[j + 1]::DOUBLE)), 9)) AS s,
       (label % 5)::INT AS label FROM embeddings)"""
 PAGES = """page_text AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1)
       AS page_title, trim(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS wiki_text,
@@ -149,6 +152,19 @@ def _lexical(queries: str, pool: str) -> str:
       WHERE rank <= 10)"""
 
 
+def _own_pool() -> str:
+    """As ``_lexical``, with each of ``bq`` scored against its own 14 of ``near`` per shard."""
+    base = _lexical("bq", "own_pool")
+    return f"""own_pool AS (SELECT passage_id, text FROM passages WHERE passage_id IN
+      (SELECT passage_id FROM near WHERE rank <= 14)),
+    {base[:base.index("ranked AS")]}
+    own AS (SELECT query_id, passage_id, coalesce(score, 0.0) AS score
+      FROM (SELECT query_id, passage_id FROM near WHERE rank <= 14)
+      LEFT JOIN hits USING (query_id, passage_id)),
+    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+      ORDER BY score DESC, passage_id) AS rank FROM own) WHERE rank <= 10)"""
+
+
 def _assembled(pool: str) -> str:
     return f"""contexts AS (SELECT query_id,
       string_agg({_nfkd('p.text')} || chr(10), '' ORDER BY rank) AS context
@@ -257,8 +273,9 @@ _ORDERED = """list_transform(list_reverse_sort([{s: s[1], l: 'A'}, {s: s[2], l:
 TOP3 = SCORES + f""",
     best AS (SELECT id, s, label, {_ORDERED} AS o FROM option_scores)"""
 EVALUATED = DOCS + ", " + TOP3 + f""",
-    evaluated AS (SELECT *, {_AP3} AS mAP FROM (SELECT id, prompt, answer, o[1] AS p1,
-      o[2] AS p2, o[3] AS p3, {L5} FROM mcq_docs JOIN best USING (id)))"""
+    evaluated AS (SELECT *, CASE WHEN p1 IS NOT NULL THEN {_AP3} END AS mAP FROM
+      (SELECT id, prompt, answer, o[1] AS p1, o[2] AS p2, o[3] AS p3, {L5}
+      FROM mcq_docs LEFT JOIN best USING (id)))"""
 DEDUPED = RUNS + """,
     unique_runs AS (SELECT * FROM eval_runs QUALIFY row_number()
       OVER (PARTITION BY prompt ORDER BY row_no DESC) = 1)"""
@@ -323,11 +340,16 @@ def oracle_sql() -> dict[str, str]:
     lexical = ASKED + f""",
     bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked), {PASSAGES},
     {_lexical('bq', 'passages')}"""
-    flagship = ASKED + f""",
+    neighbours = ASKED + f""",
     {PASSAGES}, qt AS (SELECT id AS query_id, full_text AS text FROM asked),
     {_encoded('qv', 'qt', 'query_id', 'query_id')},
     {_encoded('pv', 'passages', 'passage_id', 'shard, passage_id')},
-    {_nearest('qv', 'pv')},
+    {_nearest('qv', 'pv')}"""
+    lexical_own = neighbours + f""",
+    bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked), {_own_pool()}"""
+    flagship_own = lexical_own + f""",
+    {_assembled('own_pool')}"""
+    flagship = neighbours + f""",
     pool AS (SELECT min(passage_id) AS passage_id, text FROM passages WHERE passage_id IN
       (SELECT passage_id FROM near WHERE rank <= 14) GROUP BY text),
     bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked),
@@ -335,6 +357,9 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "rag_context": _w(flagship, f"""SELECT id, prompt, coalesce(context, '') AS context,
             {L5}, answer FROM asked LEFT JOIN contexts ON query_id = id"""),
+        "rag_context_own_pool": _w(flagship_own, f"""SELECT id, prompt,
+            coalesce(context, '') AS context, {L5}, answer
+            FROM asked LEFT JOIN contexts ON query_id = id"""),
         # sources and sinks
         "scan_parquet_exclude": """SELECT 'documents.parquet' AS source_file, text FROM documents
             UNION ALL SELECT 'conversations.parquet', text FROM conversations""",
@@ -361,7 +386,7 @@ def oracle_sql() -> dict[str, str]:
             answer AS letter, CASE WHEN id % 6 < 5 THEN substr('ABCDE', (id % 6 + 1)::INT, 1) END
             AS from_key FROM mcq_docs"""),
         "cap_rows": f"""SELECT doc_id, text FROM documents ORDER BY doc_id
-            LIMIT {K.MAX_PASSAGES}""",
+            LIMIT {CAPPED_ROWS}""",
         "split_category_page": _w(EDGES, """SELECT parent, child,
             CASE WHEN NOT starts_with(child, 'Category') THEN 'page'
             WHEN replace(child, '_', ' ') = 'Category:Nation 5' THEN 'excluded'
@@ -449,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
         "term_counts": _w(lexical, "SELECT passage_id, term, tf FROM p_terms"),
         "tfidf_vectors": _w(lexical, """SELECT chunk, passage_id, term, round(w, 6) AS weight
             FROM p_w"""),
-        "tfidf_scores": _w(lexical, "SELECT query_id, passage_id, score FROM hits"),
+        "tfidf_scores": _w(lexical_own, "SELECT query_id, passage_id, score FROM own"),
         "lexical_top10": _w(lexical, "SELECT query_id, rank, score, passage_id FROM ranked"),
         "context_assembly": _w(lexical + ", " + _assembled("passages"),
             "SELECT query_id, context FROM contexts"),
@@ -509,10 +534,21 @@ def oracle_sql() -> dict[str, str]:
         "train_val_split": _w(DEDUPED, """SELECT row_no, prompt, round(mAP, 6) AS mAP,
             CASE WHEN mAP = 1 THEN 'validation' ELSE 'train' END AS split FROM unique_runs"""),
         "target_size_sample": _w(RUNS, f"""SELECT row_no, answer FROM eval_runs
-            ORDER BY {_hash(11, 'row_no')}, row_no LIMIT 1316"""),
+            ORDER BY {_hash(11, 'row_no')}, row_no LIMIT 658"""),
         "bias_partition": _w(RUNS, """SELECT row_no, round(mAP, 6) AS mAP,
             CASE WHEN mAP >= 0.5 THEN 'bias' WHEN mAP < 0.5 THEN 'remainder' END AS part
             FROM eval_runs"""),
+        "group_kfold": _w(RUNS + f""",
+            bias AS (SELECT * FROM eval_runs WHERE mAP >= 0.5),
+            mains AS (SELECT answer, mAP AS main, sum(n) OVER (PARTITION BY answer) AS size
+              FROM (SELECT answer, mAP, count(*) AS n FROM bias GROUP BY ALL)
+              QUALIFY row_number() OVER (PARTITION BY answer ORDER BY n DESC, mAP DESC) = 1),
+            dealt AS (SELECT answer, dense_rank() OVER (ORDER BY main) - 1 AS class,
+              (row_number() OVER (PARTITION BY main ORDER BY size DESC,
+                {_hash(K.FOLD_SEED, 'answer')} NULLS FIRST) - 1) % 8 AS turn FROM mains)""",
+            """SELECT row_no, b.answer, mAP, (((CASE WHEN turn < 4 THEN turn ELSE 7 - turn END)
+            + class) % 4)::INT AS fold
+            FROM bias b JOIN dealt d ON b.answer IS NOT DISTINCT FROM d.answer"""),
         "fold_sets": _w(FOLDS, """SELECT row_no, answer, round(mAP, 6) AS mAP, fold, split
             FROM fold_sets"""),
         "weighted_sample": _w(PAGES + f""",

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from quizloom import constants as K
 from quizloom.functions import metrics as M
 from quizloom.functions import text as T
 from quizloom.operators import (
-    batch_scoring, dense, evaluation, generation, lexical, prep, splits,
+    dense, evaluation, generation, lexical, prep, splits,
 )
 from quizloom.plans import questions as question_plan
 from quizloom.plans import retrieval, training
@@ -46,6 +44,14 @@ def rag_context(spark, sf_dir):
     return retrieval.answer_contexts(X.mcq_bench(spark, sf_dir), passages, X.encode_hashed)
 
 
+@query
+def rag_context_own_pool(spark, sf_dir):
+    """Each question against its own neighbours."""
+    settings = retrieval.RetrievalSettings(per_query_pool=True)
+    passages = materialise(X.passages(spark, sf_dir))
+    return retrieval.answer_contexts(X.mcq_bench(spark, sf_dir), passages, X.encode_hashed, settings)
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -140,10 +146,14 @@ def answer_codes(spark, sf_dir):
     )
 
 
+# Below the number of documents at every size, so that the limit has an effect.
+CAPPED_ROWS = 170
+
+
 @query
 def cap_rows(spark, sf_dir):
     documents = X.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return first_rows(documents, ["doc_id"], K.MAX_PASSAGES)
+    return first_rows(documents, ["doc_id"], CAPPED_ROWS)
 
 
 @query
@@ -181,13 +191,13 @@ def lexical_query(spark, sf_dir):
 
 @query
 def nfkd(spark, sf_dir):
-    documents = X.texts(spark, sf_dir, "documents")
+    documents = X.table(spark, sf_dir, "documents")
     return documents.select("doc_id", T.nfkd(F.col("text")).alias("text"))
 
 
 @query
 def tokenise(spark, sf_dir):
-    documents = X.texts(spark, sf_dir, "documents")
+    documents = X.table(spark, sf_dir, "documents")
     tokens = documents.select("doc_id", T.tokenise(F.col("text")).alias("t"))
     return tokens.select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"),
@@ -197,13 +207,13 @@ def tokenise(spark, sf_dir):
 
 @query
 def ngrams(spark, sf_dir):
-    found = lexical.exploded_terms(X.texts(spark, sf_dir, "documents"), "doc_id")
+    found = lexical.exploded_terms(X.table(spark, sf_dir, "documents"), "doc_id")
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def flatten_text_lists(spark, sf_dir):
-    lines = X.texts(spark, sf_dir, "documents").select(
+    lines = X.table(spark, sf_dir, "documents").select(
         "doc_id", F.split("text", "\n").alias("lines"), "lang"
     )
     return prep.join_text_lists(lines, ["lines", "lang"])
@@ -360,9 +370,22 @@ def tfidf_vectors(spark, sf_dir):
     return _rounded(weights, "weight").select("chunk", "passage_id", "term", "weight")
 
 
+def _own_pairs(spark, sf_dir) -> DataFrame:
+    asked = retrieval.prepare_questions(X.mcq_bench(spark, sf_dir), retrieval.RetrievalSettings())
+    questions = asked.select(F.col("id").alias("query_id"), F.col("full_text").alias("text"))
+    near = retrieval.find_neighbours(
+        X.encode_hashed(questions), X.encode_hashed(X.passages(spark, sf_dir)),
+        retrieval.RetrievalSettings(),
+    )
+    return near.select("query_id", "passage_id")
+
+
 @query
 def tfidf_scores(spark, sf_dir):
-    return lexical.tfidf_scores(X.bench_queries(spark, sf_dir), X.passages(spark, sf_dir))
+    """Scores of each question against its own neighbours."""
+    return lexical.own_pool_scores(
+        X.bench_queries(spark, sf_dir), _own_pairs(spark, sf_dir), X.passages(spark, sf_dir)
+    )
 
 
 @query
@@ -513,7 +536,8 @@ def train_val_split(spark, sf_dir):
 @query
 def target_size_sample(spark, sf_dir):
     rows = X.eval_runs(spark, sf_dir).select("row_no", "answer")
-    return splits.seeded_sample(rows, splits.training_size(), "row_no", seed=11)
+    """The size that goes with 100 validation rows at the published ratio."""
+    return splits.seeded_sample(rows, splits.training_size(100), "row_no", seed=11)
 
 
 @query
@@ -590,24 +614,17 @@ def gen_compet_format(spark, sf_dir):
 # ---------------------------------------------------------------- user functions
 
 
-def _hash_scorer():
-    """A stand-in for an option scorer."""
-
-    def one(letter: str, text: str | None) -> float:
-        return int(hashlib.md5((letter + (text or "")).encode()).hexdigest()[:4], 16) / 65536
-
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        columns = {f"s_{x.lower()}": [one(x, t) for t in batch[x]] for x in K.LETTERS}
-        return pd.DataFrame({"id": batch["id"], **columns})
-
-    return score
-
-
 @query
 def batch_scorer(spark, sf_dir):
-    schema = "id long, " + ", ".join(f"s_{x.lower()} double" for x in K.LETTERS)
-    questions = X.mcq_docs(spark, sf_dir).select("id", *K.LETTERS)
-    return batch_scoring.apply_batches(questions, _hash_scorer, schema)
+    """Scores of the options, here from a hash, in built-in functions; ``apply_batches`` is the
+    hook for a user's own scorer."""
+
+    def score(letter: str):
+        text = F.concat(F.lit(letter), F.coalesce(F.col(letter), F.lit("")))
+        digits = F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("double")
+        return (digits / 65536).alias(f"s_{letter.lower()}")
+
+    return X.mcq_docs(spark, sf_dir).select("id", *[score(x) for x in K.LETTERS])
 
 
 def queries() -> dict[str, Query]:

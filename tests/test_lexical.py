@@ -148,8 +148,28 @@ def test_context_is_best_first(spark):
     assert [r["context"] for r in joined] == [context, ""]
 
 
-def test_idf_sample_takes_the_first_ids(spark):
-    passages = spark.range(50).select((F.col("id") * 2).alias("passage_id"))
-    kept = lexical.idf_sample_of(passages, 10).collect()
-    assert sorted(r[0] for r in kept) == list(range(0, 20, 2))
-    assert lexical.idf_sample_of(passages, 80).count() == 50
+def test_own_pool_scores_given_pairs_alone(spark, data):
+    """Equal to the block search over the same pool, for the pairs asked for."""
+    queries, passages = data
+    q, p = frames(spark, queries, passages)
+    everything = [(a, b) for a in queries for b in passages]
+    pairs = spark.createDataFrame(everything, "query_id long, passage_id long")
+    whole = found(lexical.lexical_topk(q, p, k=10))
+    assert found(lexical.own_pool_topk(q, pairs, p, 10)) == whole
+    few = spark.createDataFrame(everything[::7], "query_id long, passage_id long")
+    rows = lexical.own_pool_scores(q, few, p).collect()
+    assert sorted((r["query_id"], r["passage_id"]) for r in rows) == sorted(everything[::7])
+
+
+def test_scores_do_not_depend_on_other_queries_number(spark, data):
+    queries, passages = data
+    q, p = frames(spark, queries, passages)
+    one = lexical.with_chunk(q).select("chunk").distinct().collect()
+    assert [r["chunk"] for r in one] == [0]
+
+
+def test_counts_meet_the_vocabulary_after_counting(spark):
+    passages = spark.createDataFrame([(1, "w1 w2 w1"), (2, "w3"), (3, "")], "passage_id long, text string")
+    vocab = spark.createDataFrame([("w1",), ("w1 w2",), ("w9",)], "term string")
+    got = {tuple(r) for r in lexical.term_counts(passages, vocab).collect()}
+    assert got == {(1, "w1", 2), (1, "w1 w2", 1)}

@@ -36,7 +36,7 @@ def test_missing_values(spark):
 
 def test_filters_and_columns_reach_the_scan(spark, new_path):
     questions(spark).write.parquet(new_path("q"))
-    kept = prep.keep_trainable(spark.read.parquet(new_path("q"))).select("id", "answer")
+    kept = prep.keep_trainable(spark.read.parquet(new_path("q")), stored=True).select("id", "answer")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(prompt)" in plan and "IsNotNull(answer)" in plan
     assert "context" not in plan.split("ReadSchema")[1]
@@ -128,9 +128,20 @@ def test_dense_ids_in_any_partitioning(spark):
     assert dense_row_id(df.where("x < 0"), ["x"]).count() == 0
 
 
-def test_first_rows_both_ways(spark, monkeypatch):
+def test_first_rows(spark):
     df = spark.range(100).repartition(6)
-    small = sorted(r["id"] for r in first_rows(df, ["id"], 7).collect())
-    monkeypatch.setattr("quizloom.runtime.SMALL_LIMIT", 3)
-    assert sorted(r["id"] for r in first_rows(df, ["id"], 7).collect()) == small == list(range(7))
+    for n in (0, 1, 7, 100, 200):
+        assert sorted(r["id"] for r in first_rows(df, ["id"], n).collect()) == list(range(min(n, 100)))
     assert nth_value(df, "id", 4) == 4 and nth_value(df, "id", 100) is None
+
+
+def test_filters_do_not_repeat_computed_columns(spark):
+    """Each computed column stands in the plan once for the filter and once for the result."""
+    texts = spark.range(5).select("id", F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("t"))
+    words = F.split("t", " ")
+    parts = {"prompt": words[0], "context": F.col("t"), "answer": words[1]}
+    parts |= {x: words[i % 3] for i, x in enumerate("ABCDE")}
+    kept = prep.keep_evaluable(texts.select("id", *[c.alias(n) for n, c in parts.items()]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 7 + 7
+    assert kept.count() == 5

@@ -8,9 +8,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from registry import oracle as registry_oracle
+from registry import queries as registry_queries
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registry_queries.queries()
+SQL = registry_oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +25,9 @@ def test_matches_sql(spark, connection, sf_dir, name):
     assert compare.compare(spark, connection, sf_dir, QUERIES[name], SQL[name]) is None
 
 
-def test_only_the_group_folds_have_no_sql():
-    assert set(QUERIES) - set(SQL) == {"group_kfold"}
-    assert set(SQL) <= set(QUERIES)
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_has_contexts(spark):

@@ -60,19 +60,14 @@ def test_sharded_files(spark, new_path):
     assert all(r["shard"] is not None for r in rows)
 
 
-def test_spread_leaves_large_scans(spark):
-    small = spark.range(0, 10, 1, 1)
-    assert readers.spread(small, "id").rdd.getNumPartitions() == 8
-    large = spark.range(0, 100, 1, 64)
-    assert readers.spread(large, "id").rdd.getNumPartitions() == 64
-
-
 class Session:
     """Just enough of a session to ask where intermediate tables go."""
 
     def __init__(self, master, configured=None):
         self.sparkContext = self
-        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.conf = {"spark.sql.warehouse.dir": "file:/warehouse"}
+        if configured:
+            self.conf["spark.checkpoint.dir"] = configured
         self.master, self.folder = master, None
 
     def getConf(self):
@@ -92,6 +87,7 @@ def test_intermediate_tables_go_where_the_session_says():
         checkpoint_root(Session("spark://host"))
     local = Session("local[2]")
     assert checkpoint_root(local) == local.folder == checkpoint_root(local)
+    assert local.folder.startswith("file:/warehouse/")
 
 
 def test_batches_and_hashed_vectors(spark):
