@@ -354,6 +354,17 @@ def oracle_sql() -> dict[str, str]:
       (SELECT passage_id FROM near WHERE rank <= 14) GROUP BY text),
     bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked),
     {_lexical('bq', 'pool')}, {_assembled('pool')}"""
+    probed = CELLS + f""",
+            celled AS (SELECT * EXCLUDE (rn) FROM (SELECT p.shard, p.passage_id, p.v, c.cell,
+              row_number() OVER (PARTITION BY p.passage_id ORDER BY {_square('p.v', 'c.v')},
+              c.cell) AS rn FROM shard_vectors p, centroids c) WHERE rn = 1),
+            probes AS (SELECT query_id, v, cell FROM (SELECT q.query_id, q.v, c.cell,
+              row_number() OVER (PARTITION BY q.query_id ORDER BY {_square('q.v', 'c.v')}, c.cell)
+              AS rn FROM query_vectors q, centroids c) WHERE rn <= {K.NPROBE}),
+            near AS (SELECT * FROM (SELECT shard, query_id, passage_id, distance, row_number()
+              OVER (PARTITION BY shard, query_id ORDER BY distance, passage_id) AS rank
+              FROM (SELECT p.shard, q.query_id, p.passage_id, {_square('q.v', 'p.v')} AS distance
+              FROM probes q JOIN celled p USING (cell))) WHERE rank <= 15)"""
     sql = {
         "rag_context": _w(flagship, f"""SELECT id, prompt, coalesce(context, '') AS context,
             {L5}, answer FROM asked LEFT JOIN contexts ON query_id = id"""),
@@ -369,6 +380,8 @@ def oracle_sql() -> dict[str, str]:
             ::BIGINT AS shard FROM pages""",
         "rag_output": _w(BENCH, f"""SELECT prompt, text AS context, {L5}, answer
             FROM mcq_bench JOIN benchmark ON item_id = id"""),
+        "scan_nested_exclude": "SELECT text FROM documents",
+        "stored_shard": _w(PASSAGES, "SELECT shard, passage_id, text FROM passages WHERE shard = 3"),
         "page_lead_sentences": _w(PAGES, """SELECT page_id, array_to_string(regexp_extract_all(
             wiki_text, '[^.!?]+[.!?]*')[1:7], '') AS wiki_text FROM page_text"""),
         # projections and filters
@@ -446,17 +459,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk_per_shard": _w(VECTORS + f""",
             {_nearest('query_vectors', 'shard_vectors')}""",
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),
-        "ivf_topk": _w(CELLS + f""",
-            celled AS (SELECT * EXCLUDE (rn) FROM (SELECT p.shard, p.passage_id, p.v, c.cell,
-              row_number() OVER (PARTITION BY p.passage_id ORDER BY {_square('p.v', 'c.v')},
-              c.cell) AS rn FROM shard_vectors p, centroids c) WHERE rn = 1),
-            probes AS (SELECT query_id, v, cell FROM (SELECT q.query_id, q.v, c.cell,
-              row_number() OVER (PARTITION BY q.query_id ORDER BY {_square('q.v', 'c.v')}, c.cell)
-              AS rn FROM query_vectors q, centroids c) WHERE rn <= {K.NPROBE}),
-            near AS (SELECT * FROM (SELECT shard, query_id, passage_id, distance, row_number()
-              OVER (PARTITION BY shard, query_id ORDER BY distance, passage_id) AS rank
-              FROM (SELECT p.shard, q.query_id, p.passage_id, {_square('q.v', 'p.v')} AS distance
-              FROM probes q JOIN celled p USING (cell))) WHERE rank <= 15)""",
+        "ivf_topk": _w(probed, "SELECT shard, query_id, passage_id, distance, rank FROM near"),
+        "ivf_stored_topk": _w(probed,
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),
         "aligned_texts": _w(VECTORS, """SELECT v.shard, v.row_no, v.passage_id, d.text
             FROM shard_vectors v JOIN documents d
@@ -533,6 +537,10 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY {_hash(7, 'row_no')}, row_no LIMIT {K.VALIDATION_ROWS}"""),
         "train_val_split": _w(DEDUPED, """SELECT row_no, prompt, round(mAP, 6) AS mAP,
             CASE WHEN mAP = 1 THEN 'validation' ELSE 'train' END AS split FROM unique_runs"""),
+        "split_csv": _w(DEDUPED, f"""SELECT row_no, prompt, {L5}, answer, round(mAP, 6) AS mAP,
+            CASE WHEN mAP = 1 THEN 'validation' ELSE 'train' END AS split FROM unique_runs"""),
+        "folds_csv": _w(FOLDS, """SELECT row_no, answer, round(mAP, 6) AS mAP, fold, split
+            FROM fold_sets"""),
         "target_size_sample": _w(RUNS, f"""SELECT row_no, answer FROM eval_runs
             ORDER BY {_hash(11, 'row_no')}, row_no LIMIT 658"""),
         "bias_partition": _w(RUNS, """SELECT row_no, round(mAP, 6) AS mAP,
@@ -588,6 +596,14 @@ def oracle_sql() -> dict[str, str]:
             option_4 AS D, option_5 AS E, CASE WHEN answer IS NOT NULL THEN
             substr('ABCDE', right(answer, 1)::INT, 1) END AS answer, wiki_text, page_id,
             page_title, stem_label FROM records JOIN page_text USING (page_id)"""),
+        "questions_csv": _w(RECORDS + """, final AS (SELECT row_number() OVER
+            (ORDER BY page_id, pos) - 1 AS id, question AS prompt, option_1 AS A, option_2 AS B,
+            option_3 AS C, option_4 AS D, option_5 AS E, CASE WHEN answer IS NOT NULL THEN
+            substr('ABCDE', right(answer, 1)::INT, 1) END AS answer, wiki_text, page_id,
+            page_title, stem_label FROM records JOIN page_text USING (page_id))""",
+            """SELECT *, 'raw' AS file FROM final UNION ALL
+            SELECT * REPLACE (NULL::VARCHAR AS wiki_text, NULL::BIGINT AS page_id,
+            NULL::VARCHAR AS page_title, NULL::VARCHAR AS stem_label), 'final' FROM final"""),
         # user functions
         "batch_scorer": _w(DOCS, "SELECT id, " + ", ".join(
             f"""('0x' || substr(md5('{x}' || coalesce({x}, '')), 1, 4))::INT / 65536.0::DOUBLE

@@ -102,6 +102,65 @@ def rag_output(spark, sf_dir):
     return readers.read_csv(spark, path, readers.CONTEXT_SCHEMA)
 
 
+@query
+def scan_nested_exclude(spark, sf_dir):
+    """Texts in a folder per language, and below it a file of other texts that is left out."""
+    path = scratch_path(spark, "nested")
+    documents = X.table(spark, sf_dir, "documents").select("text", "lang")
+    writers.write_parquet(documents, path, partition_by=("lang",))
+    other = X.table(spark, sf_dir, "benchmark").select("text").coalesce(1)
+    writers.write_parquet(other, f"{path}/lang=xx/more")
+    name = F.col("_metadata.file_name")
+    added = spark.read.parquet(f"{path}/lang=xx/more").select(name).distinct().collect()
+    return readers.read_parquet_except(
+        spark, path, [row[0] for row in added], "text string", nested=True
+    )
+
+
+@query
+def stored_shard(spark, sf_dir):
+    """One shard of the passages, from a folder per shard."""
+    path = scratch_path(spark, "shards")
+    writers.write_shards(X.passages(spark, sf_dir), path)
+    return readers.read_shard(spark, path, 3).select("shard", "passage_id", "text")
+
+
+@query
+def questions_csv(spark, sf_dir):
+    """The raw and the final question file, read back."""
+    raw, final = scratch_path(spark, "raw-csv"), scratch_path(spark, "final-csv")
+    built = question_plan.build_questions(X.page_text(spark, sf_dir), X.replies(spark, sf_dir))
+    question_plan.write_questions(built, raw, final)
+    pages = "wiki_text string, page_id long, page_title string, stem_label string"
+    columns = "id long, " + ", ".join(f"{c} string" for c in QUESTION[1:])
+    both = readers.read_csv(spark, raw, f"{columns}, {pages}").withColumn("file", F.lit("raw"))
+    return both.unionByName(
+        readers.read_csv(spark, final, columns).withColumn("file", F.lit("final")),
+        allowMissingColumns=True,
+    )
+
+
+@query
+def split_csv(spark, sf_dir):
+    """Training and validation files, read back."""
+    path = scratch_path(spark, "split-csv")
+    unique = splits.dedupe_keep_last(X.eval_runs(spark, sf_dir))
+    rows = splits.train_validation(unique, 1.0).select("row_no", *QUESTION[1:], "mAP", "split")
+    writers.write_split(rows, path)
+    columns = ", ".join(f"{c} string" for c in QUESTION[1:])
+    schema = f"row_no long, {columns}, mAP double, split string"
+    return _rounded(readers.read_csv(spark, path, schema), "mAP")
+
+
+@query
+def folds_csv(spark, sf_dir):
+    """A file per fold and split, read back."""
+    path = scratch_path(spark, "folds-csv")
+    writers.write_folds(_fold_sets(spark, sf_dir), path)
+    schema = "row_no long, answer string, mAP double, fold int, split string"
+    return _rounded(readers.read_csv(spark, path, schema), "mAP")
+
+
 @query
 def page_lead_sentences(spark, sf_dir):
     return generation.lead_texts(X.page_text(spark, sf_dir)).select("page_id", "wiki_text")
@@ -301,6 +360,16 @@ def ivf_topk(spark, sf_dir):
     return dense.ivf_topk(X.query_vectors(spark, sf_dir), cells, centres)
 
 
+@query
+def ivf_stored_topk(spark, sf_dir):
+    """The same from a table written by shard and cell, of which only probed cells are read."""
+    centres = materialise(X.centroids(spark, sf_dir))
+    path = scratch_path(spark, "cells")
+    writers.write_shards(dense.assign_cells(X.shard_vectors(spark, sf_dir), centres), path)
+    stored = spark.read.parquet(path)
+    return dense.ivf_topk(X.query_vectors(spark, sf_dir), stored, centres)
+
+
 @query
 def aligned_texts(spark, sf_dir):
     """Vectors and the documents of the same shard and row."""
