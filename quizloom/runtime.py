@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[tuple[str, ...]] = set()
+
+
+def ship_packages(spark: SparkSession, *folders: Path) -> None:
+    """Send Python packages to the workers once per application, by way of the shared folder, so
+    that they need not be installed there nor lie in the working folder."""
+    context = spark.sparkContext
+    key = (context.applicationId, *map(str, folders))
+    if key in _shipped:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder in folders:
+            for path in sorted(folder.rglob("*.py")):
+                out.write(path, path.relative_to(folder.parent))
+    folder = scratch_path(spark, "packages")
+    target = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}.zip")
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(target.toString())
+    _shipped.add(key)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, write to the shared folder, and cut the lineage there."""
     checkpoint_root(df.sparkSession)
