@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.runtime import scratch_path
+from quizloom.runtime import ship_packages
 
 PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,20 +29,8 @@ def is_fold(key: str, parts: int, number: int) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, by the shared folder."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(PACKAGE.rglob("*.py")):
-            out.write(path, path.relative_to(PACKAGE.parent))
-    target = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'package')}/quizloom.zip")
-    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
-    stream.write(bytearray(packed.getvalue()))
-    stream.close()
-    context.addPyFile(target.toString())
-    _shipped.add(context.applicationId)
+    """Send this package to the Python workers once per application."""
+    ship_packages(spark, PACKAGE)
 
 
 MOST_TASKS = 50_000
