@@ -174,13 +174,15 @@ def fit_logistic(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -
 
 
 def _calibrate(shared: Broadcast, kept: DataFrame, text: str, label: Column, rows: int) -> np.ndarray:
-    """Fits on ``rows`` texts at most, chosen by a hash of the text."""
+    """Fits on about ``rows`` texts at most, chosen by a hash of text and place; five numbers of
+    each come to the driver."""
     count = kept.count()
     chosen = kept.withColumn("_toxic", label.cast("boolean"))
     if count > rows:
-        # Nine tenths, so that an uneven hash stays within the bound; the limit is a safeguard.
-        share = int(0.9 * rows / count * 1_000_000)
-        chosen = chosen.where(F.pmod(F.xxhash64(F.lit("fit"), text), F.lit(1_000_000)) < share).limit(rows)
+        # Nine tenths, so that an uneven draw stays within the bound. The place tells copies apart.
+        share = int(0.9 * rows / count * 1_000_000_000)
+        draw = F.xxhash64(F.lit("fit"), text, F.monotonically_increasing_id())
+        chosen = chosen.where(F.pmod(draw, F.lit(1_000_000_000)) < share)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
