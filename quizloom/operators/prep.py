@@ -107,30 +107,36 @@ def choice_pairs(df: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
-def choice_words(df: DataFrame, id_column: str = "id") -> DataFrame:
-    """``choice_pairs`` as word lists. Context and question are split once per question,
-    and only the finished lists are copied to the five options.
-
-    The options go into the generator as an expression: over a column Spark would infer a
-    filter on its size and evaluate everything behind that column once more.
-    """
+def choice_lists(df: DataFrame, id_column: str = "id") -> DataFrame:
+    """``choice_pairs`` as word lists, a row per question: ``first`` once, and in ``seconds`` the
+    question with each of its five options."""
     flat = join_text_lists(df, list(PAIRED_COLUMNS[:-1]))
-    options = F.array(*[F.col(letter) for letter in K.LETTERS])
     split = flat.select(
         id_column, letter_index(F.col("answer")).alias("label"),
         T.words(F.concat(F.lit("[CLS] "), F.col("context"))).alias("first"),
         T.words(F.concat(F.lit("#### "), F.col("prompt"), F.lit(f" {SEPARATOR}"))).alias("stem"),
         *K.LETTERS,
     )
-    listed = split.select(
-        id_column, "first", "stem", "label", F.posexplode(options).alias("choice", "option")
-    )
-    option = T.words(F.concat(F.col("option"), F.lit(f" {SEPARATOR}")))
-    return listed.select(
-        id_column, "choice", "first", F.concat("stem", option).alias("second"), "label"
+    options = [T.words(F.concat(F.col(x), F.lit(f" {SEPARATOR}"))) for x in K.LETTERS]
+    return split.select(
+        id_column, "first", F.array(*[F.concat("stem", o) for o in options]).alias("seconds"), "label"
     )
 
 
+def choice_words(df: DataFrame, id_column: str = "id") -> DataFrame:
+    """``choice_lists`` as five rows per question."""
+    return choice_lists(df, id_column).select(
+        id_column, "first", "label", F.posexplode("seconds").alias("choice", "second")
+    ).select(id_column, "choice", "first", "second", "label")
+
+
+def _kept_sizes(a: Column, b: Column, budget: int) -> tuple[Column, Column]:
+    """Words left of two lists of ``a`` and ``b`` words, cut one at a time from the longer."""
+    keep_a = F.least(a, F.greatest(F.lit(budget) - b, F.lit((budget + 1) // 2)))
+    keep_b = F.least(b, F.greatest(F.lit(budget) - a, F.lit(budget // 2)))
+    return keep_a, keep_b
+
+
 def truncate_pairs(pairs: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
     """Cut the word lists of a pair to ``budget`` words, from the longer side, on a tie from
     the second. Removing one word at a time ends in these two sizes. Pairs may come as word
@@ -138,46 +144,45 @@ def truncate_pairs(pairs: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
     kinds = dict(pairs.dtypes)
     split = {c: T.words(F.col(c)) for c in ("first", "second") if kinds[c] == "string"}
     with_words = pairs.withColumns(split) if split else pairs
-    a, b = F.size("first"), F.size("second")
-    half_up, half_down = (budget + 1) // 2, budget // 2
-    keep_a = F.least(a, F.greatest(F.lit(budget) - b, F.lit(half_up)))
-    keep_b = F.least(b, F.greatest(F.lit(budget) - a, F.lit(half_down)))
+    keep_a, keep_b = _kept_sizes(F.size("first"), F.size("second"), budget)
     return with_words.withColumns(
         {"first": F.slice("first", 1, keep_a), "second": F.slice("second", 1, keep_b)}
     )
 
 
 def pad_choices(
-    pairs: DataFrame,
+    lists: DataFrame,
+    budget: int = K.TRAIN_TOKENS,
     id_column: str = "id",
     batch_rows: int = K.BATCH_ROWS,
     pad: str = "[PAD]",
 ) -> DataFrame:
-    """One row per question with its five word lists padded to the longest of the batch.
+    """One row per question with its five word lists, cut to ``budget`` and padded to the
+    longest of the batch. ``lists`` is of ``choice_lists``, with unique ids.
 
     Batches take ``batch_rows`` questions in id order. ``mask`` is 1 for a word and 0 for
     padding. A batch is a handful of rows, so its window stays small.
     """
-    ids = dense_row_id(pairs.select(id_column).distinct(), [id_column], "row_id").select(
+    def joined(second: Column) -> Column:
+        keep_a, keep_b = _kept_sizes(F.size("first"), F.size(second), budget)
+        return F.concat(F.slice("first", F.lit(1), keep_a), F.slice(second, F.lit(1), keep_b))
+
+    cut = lists.select(id_column, "label", F.transform("seconds", joined).alias("words"))
+    ids = dense_row_id(lists.select(id_column), [id_column], "row_id").select(
         id_column, F.floor(F.col("row_id") / F.lit(batch_rows)).cast("long").alias("batch")
     )
-    rows = pairs.join(ids, id_column).select(
-        "batch", id_column, "choice", "label", F.concat("first", "second").alias("words")
-    )
-    width = F.max(F.size("words")).over(Window.partitionBy("batch"))
-    gap = F.col("width") - F.size("words")
-    padded = rows.withColumn("width", width).select(
-        "batch", id_column, "choice", "label", "width",
-        F.concat("words", F.array_repeat(F.lit(pad), gap)).alias("words"),
-        F.concat(
-            F.array_repeat(F.lit(1), F.size("words")), F.array_repeat(F.lit(0), gap)
+    longest = F.array_max(F.transform("words", F.size))
+    width = F.max(longest).over(Window.partitionBy("batch"))
+    rows = cut.join(ids, id_column).withColumn("width", width)
+
+    def padded(words: Column, mark: Column, rest: Column) -> Column:
+        return F.concat(mark, F.array_repeat(rest, F.col("width") - F.size(words)))
+
+    return rows.select(
+        "batch", id_column, "width",
+        F.transform("words", lambda w: padded(w, w, F.lit(pad))).alias("words"),
+        F.transform(
+            "words", lambda w: padded(w, F.array_repeat(F.lit(1), F.size(w)), F.lit(0))
         ).alias("mask"),
-    )
-    return (
-        padded.groupBy("batch", id_column, "label", "width")
-        .agg(F.array_sort(F.collect_list(F.struct("choice", "words", "mask"))).alias("c"))
-        .select(
-            "batch", id_column, "width", F.col("c.words").alias("words"),
-            F.col("c.mask").alias("mask"), "label",
-        )
+        "label",
     )

@@ -21,4 +21,6 @@ def evaluation_pairs(questions: DataFrame, budget: int = K.EVAL_TOKENS) -> DataF
 
 
 def training_batches(questions: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
-    return prep.pad_choices(training_pairs(questions, budget))
+    """Padded batches of the usable questions, without a row per option on the way."""
+    usable = prep.keep_trainable(prep.fill_options(questions))
+    return prep.pad_choices(prep.choice_lists(usable), budget)

@@ -106,8 +106,10 @@ def test_truncation_equals_removing_words_one_by_one(spark):
 
 def test_padding(spark):
     df = prep.fill_missing(questions(spark)).where("id <= 3")
-    cut = prep.truncate_pairs(prep.choice_words(df), 1280)
-    rows = {r["id"]: r for r in prep.pad_choices(cut, batch_rows=2).collect()}
+    padded = prep.pad_choices(prep.choice_lists(df), 1280, batch_rows=2)
+    plan = padded._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) <= 6, plan
+    rows = {r["id"]: r for r in padded.collect()}
     assert [rows[i]["batch"] for i in (1, 2, 3)] == [0, 0, 1]
     assert rows[1]["width"] == rows[2]["width"] > rows[3]["width"] - 99
     for row in rows.values():
