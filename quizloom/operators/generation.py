@@ -96,8 +96,10 @@ def with_messages(pages: DataFrame, text: str = "wiki_text") -> DataFrame:
 
 
 def parse_reply(reply: Column) -> Column:
-    """A reply as a list of string maps, null if it is not such JSON."""
-    return F.from_json(T.strip(reply), "array<map<string,string>>")
+    """A reply as a list of string maps, null if it is none. The list may be JSON, or as Python
+    prints it: in single quotes, with escaped apostrophes."""
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.from_json(T.strip(reply), "array<map<string,string>>", options)
 
 
 def is_valid(records: Column) -> Column:

@@ -110,3 +110,16 @@ def test_unseen(spark):
     pages = spark.createDataFrame([(1,), (2,), (None,)], "page_id long")
     seen = spark.createDataFrame([(2,), (2,)], "page_id long")
     assert {r[0] for r in generation.unseen_pages(pages, seen).collect()} == {1, None}
+
+
+def test_replies_as_python_prints_them(spark):
+    """Single quotes, double quotes around an apostrophe, and an escaped apostrophe."""
+    texts = ["What's new?", "She said \"it's\" so", "plain"]
+    rows = []
+    for text in texts:
+        records = [{**record(), "question": text} for _ in range(5)]
+        rows.append((1, repr(records), text))
+    df = spark.createDataFrame(rows, "page_id long, reply string, text string")
+    parsed = df.withColumn("records", generation.parse_reply(F.col("reply")))
+    for row in parsed.withColumn("valid", generation.is_valid(F.col("records"))).collect():
+        assert row["valid"] and row["records"][4]["question"] == row["text"]
