@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +22,9 @@ _POSITION_BITS = 33
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, taken from the session.
 
-    Only a local session without the setting gets a folder, below its warehouse; on a cluster
-    a machine-local folder would not survive the loss of an executor.
+    Only a local session without the setting gets a folder, below its warehouse, which goes when
+    the driver ends; on a cluster a machine-local folder would not survive the loss of an
+    executor.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
@@ -33,7 +37,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/_intermediate/{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, urlparse(folder).path, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder
 
