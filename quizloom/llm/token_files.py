@@ -41,7 +41,7 @@ from quizloom.llm.tables import one_per_task
 MANIFEST_SCHEMA = (
     "shard string, part int, number int, docs long, ids long, width int, first_key long, last_key long"
 )
-CACHED_CHUNKS = 1 << 19
+CACHED_CHUNKS = 1 << 20
 SLICE_CHARS = 1 << 21
 SHARD_BYTES = 512 << 20
 READ_BYTES = 8 << 20
