@@ -33,7 +33,7 @@ from quizloom.llm.fm_index import FMIndex
 from quizloom.llm.tables import cut_batch
 
 WINDOW = 13
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
 _SLICE = 4 << 20
 OUTPUTS = ("n_words", "n_hit", "items", "spans")
@@ -177,13 +177,13 @@ def _pairs(spans: list | None) -> list[tuple[int, int]]:
     return [(s["start"], s["end"]) for s in spans or ()]
 
 
-def _pass(df: DataFrame, bytes_col: str, phrases, last: bool, shard_bytes: int) -> DataFrame:
+def _pass(df: DataFrame, text: str, phrases, last: bool, shard_bytes: int) -> DataFrame:
     """Adds what one block of phrases finds to the column of findings."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in cut_batch(batch, bytes_col, shard_bytes):
-                texts = shard[bytes_col].to_pylist()
+            for shard in cut_batch(batch, text, shard_bytes):
+                texts = shard[text].cast(pa.binary()).to_pylist()
                 counts, spans, items = search_shard(texts, phrases.value)
                 states = []
                 for i, before in enumerate(shard[_STATE].to_pylist()):
@@ -224,19 +224,17 @@ def find_hits(
     """Adds n_words, n_hit (words inside any occurrence), items (ids of occurring items) and spans
     (code points to remove, merged) to every row."""
     context = df.sparkSession.sparkContext
-    base = df.drop(*OUTPUTS).withColumns({
-        "_bytes": F.col(text).cast("binary"), _STATE: F.lit(None).cast(_SPARK_STATE),
-    })
+    base = df.drop(*OUTPUTS).withColumn(_STATE, F.lit(None).cast(_SPARK_STATE))
     blocks = list(benchmark_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
     found = base
     for i, items in enumerate(blocks):
         phrases = context.broadcast(Phrases.of(items, window))
-        found = _pass(found, "_bytes", phrases, i == len(blocks) - 1, shard_bytes)
+        found = _pass(found, text, phrases, i == len(blocks) - 1, shard_bytes)
     state = F.col(_STATE)
     hit = F.aggregate(state["words"], F.lit(0), lambda n, s: n + s["end"] - s["start"])
     return found.withColumns({
         "n_words": state["n_words"], "n_hit": hit.cast("long"), "items": state["items"], "spans": state["spans"],
-    }).drop("_bytes", _STATE)
+    }).drop(_STATE)
 
 
 def is_contaminated() -> Column:

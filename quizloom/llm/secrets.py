@@ -28,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)

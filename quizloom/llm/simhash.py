@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quizloom.llm.components import connected_components
-from quizloom.llm.tables import pack
+from quizloom.llm.tables import pack, unpacked
 from quizloom.runtime import materialise
 
 BITS = 64
@@ -170,7 +170,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     kept = found.groupBy("component").agg(F.min(order).alias("_kept")).select(
         F.col("_kept.id").alias("_id"), F.col("_kept.text_hash").alias("_hash")
     )
-    hashed = pack(df, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col))
+    hashed = pack(df, id_col, _text_hash=F.xxhash64(df[text_col]))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     chosen = hashed.join(kept, same, "left_semi")
-    return chosen.dropDuplicates([id_col, "_text_hash"]).select("_own.*")
+    return chosen.dropDuplicates([id_col, "_text_hash"]).select(*unpacked(df.columns, id_col))

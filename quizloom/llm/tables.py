@@ -51,7 +51,14 @@ def cut_batch(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Reco
         yield batch.slice(start, end - start)
 
 
-def pack(df: DataFrame, *keep: str) -> DataFrame:
-    """The named columns and the whole row as ``_own``, so that a step's own columns cannot clash
-    with other columns of the table; ``select("_own.*")`` brings the rows back."""
-    return df.select(*keep, F.struct(*[df[c] for c in df.columns]).alias("_own"))
+def pack(df: DataFrame, *keep: str, **computed: Column) -> DataFrame:
+    """The named and computed columns, and all others as one column ``_own``, so that a step's own columns
+    cannot clash with them; ``unpacked`` names them for a ``select`` that brings the rows back."""
+    rest = [df[c] for c in df.columns if c not in keep]
+    own = F.struct(*rest) if rest else F.lit(None)
+    return df.select(*keep, own.alias("_own"), *[c.alias(name) for name, c in computed.items()])
+
+
+def unpacked(columns: list[str], *keep: str) -> list[Column]:
+    """The columns of a packed table in their first order."""
+    return [F.col(c) if c in keep else F.col(f"_own.`{c}`").alias(c) for c in columns]
