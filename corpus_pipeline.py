@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm import decontaminate, queries, secrets, simhash, toxicity
-from quizloom.llm.tables import pack, ship_package, table
+from quizloom.llm.tables import pack, ship_package, table, unpacked
 from quizloom.runtime import scratch_path
 
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.add_score(pack(docs, "text"), model)
-    return scored.where(F.col("score") < 0.5).select("_own.*")
+    return scored.where(F.col("score") < 0.5).select(*unpacked(docs.columns, "text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = decontaminate.find_hits(pack(docs, "text"), table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.is_contaminated()).select("_own.*")
+    return found.where(~decontaminate.is_contaminated()).select(*unpacked(docs.columns, "text"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if "n_chars" in docs.columns:
         count = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col("_own.n_chars"))
         changed["n_chars"] = count.cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return found.select(*[changed.get(c, F.col(f"_own.`{c}`")) for c in docs.columns])
+    return found.select(*[
+        changed.get(c, old) for c, old in zip(docs.columns, unpacked(docs.columns, "text"))
+    ])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
