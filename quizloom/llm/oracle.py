@@ -58,5 +58,93 @@ FROM kept
 """
 
 
+_WORDS = (
+    "regexp_extract_all(" + _LOWER.format("coalesce(text, '')")
+    + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+_CONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, w[i:i + 12] AS words FROM (
+    SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT len(words) AS n FROM windows),
+grams AS (
+  SELECT row_no, i, n, w[i:i + n - 1] AS words FROM (
+    SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)
+), hits AS (SELECT row_no, i, n, item FROM grams JOIN windows USING (words)),
+words AS (SELECT row_no, count(DISTINCT p) AS n FROM (
+    SELECT row_no, unnest(range(i, i + n)) AS p FROM hits) GROUP BY row_no),
+found AS (SELECT row_no, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (
+    SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit,
+  coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (row_no) LEFT JOIN found USING (row_no)
+"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+_KEYS = "|".join([*map(_either_case, ("password", "passwd", "secret", "token")), "[aA][pP][iI]_?[kK][eE][yY]"])
+# Kind, pattern, measured group, least length; a run of hexadecimal digits is measured at once.
+_SECRETS = (
+    ("assign", f"({_KEYS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+", 0, 1),
+)
+
+
+def _secret_matches() -> str:
+    """All matches of each rule, with the lengths of what is measured."""
+    return " UNION ALL ".join(
+        f"""SELECT row_no, '{kind}' AS kind, {number} AS place, {least} AS least,
+        regexp_extract_all(body, '{pattern}') AS found,
+        list_transform(regexp_extract_all(body, '{pattern}', {group}), lambda g: length(g)) AS sizes
+        FROM docs"""
+        for number, (kind, pattern, group, least) in enumerate(_SECRETS)
+    )
+
+
+# A match is where its text comes first behind the match before it.
+_SECRET_SCAN = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS body FROM documents
+), matches AS ({_secret_matches()}),
+walk AS (
+  SELECT row_no, kind, place, 0 AS i, 0::BIGINT AS first, 0::BIGINT AS last FROM matches WHERE len(found) > 0
+  UNION ALL
+  SELECT row_no, kind, place, i + 1,
+    last + instr(substr(body, last + 1), found[i + 1]) - 1,
+    last + instr(substr(body, last + 1), found[i + 1]) - 1 + length(found[i + 1])
+  FROM walk JOIN matches USING (row_no, kind, place) JOIN docs USING (row_no) WHERE i < len(found)
+), spans AS (
+  SELECT row_no, kind, place, first, kind || ':' || first || ':' || last AS span
+  FROM walk JOIN matches USING (row_no, kind, place) WHERE i > 0 AND sizes[i] >= least
+), listed AS (
+  SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY first, place) AS spans,
+    string_agg(span, ',' ORDER BY first, place) FILTER (place < 3) AS base
+  FROM spans GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (row_no)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_bundles": _WARC, "op7_url_filter": _URLS}
+    return {
+        "op2_decontaminate": _CONTAMINATION,
+        "op4_warc_bundles": _WARC,
+        "op6_secret_scan": _SECRET_SCAN,
+        "op7_url_filter": _URLS,
+    }
