@@ -55,16 +55,15 @@ def _bounded(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray] | N
 def vector_blocks(
     vectors: DataFrame, id_column: str = "query_id"
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Vectors in blocks of bounded size. Usually there is one; a larger table is split by
-    hash, and a part that is still too large is split again."""
-    vectors = _usable(vectors)
-    whole = _bounded(vectors, id_column)
-    if whole is not None:
-        yield whole
-        return
-    vectors = materialise(vectors)
+    """Vectors in blocks of bounded size. Sizes are counted before a vector is fetched. Usually
+    there is one block; a larger table is split by hash, and a part that is still too large is
+    split again."""
+    vectors = materialise(_usable(vectors))
     sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     limit = max(1, min(B.MAX_BLOCK_ROWS, B.MAX_BLOCK_VALUES // (sizes["dim"] or 1)))
+    if sizes["n"] <= limit:
+        yield _bounded(vectors, id_column)
+        return
     parts = -(-5 * sizes["n"] // (4 * limit))
     pending = [(part, parts) for part in range(parts)]
     while pending:

@@ -575,13 +575,14 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT replace(parent, '_', ' ') AS parent, child,
               replace(child, '_', ' ') AS plain FROM category_edges
               WHERE replace(child, '_', ' ') <> 'Category:Nation 5'),
-            walk AS (SELECT * FROM (VALUES ('S', 'Category:Region 0', 0),
+            walk AS (SELECT *, [node] AS path FROM (VALUES ('S', 'Category:Region 0', 0),
                 ('T', 'Category:Region 1', 0), ('E', 'Category:Region 2', 0),
                 ('M', 'Category:Region 3', 0), ('M', 'Category:Region 4', 0))
                 v(stem_label, node, depth)
-              UNION
-              SELECT w.stem_label, e.plain, w.depth + 1 FROM walk w JOIN e ON e.parent = w.node
-              WHERE starts_with(e.child, 'Category') AND w.depth < 6)
+              UNION ALL
+              SELECT w.stem_label, e.plain, w.depth + 1, list_append(w.path, e.plain)
+              FROM walk w JOIN e ON e.parent = w.node
+              WHERE starts_with(e.child, 'Category') AND NOT list_contains(w.path, e.plain))
             SELECT stem_label, e.child AS page, min(w.depth + 1)::INT AS depth
             FROM walk w JOIN e ON e.parent = w.node
             WHERE NOT starts_with(e.child, 'Category') GROUP BY ALL""",
