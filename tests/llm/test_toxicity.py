@@ -64,6 +64,38 @@ def test_ratios_match_a_plain_count(spark):
         assert ratio == pytest.approx(math.log(p(0, w) / p(1, w)), rel=1e-3, abs=1e-4), w
 
 
+def test_rare_toxic_words_keep_their_evidence_among_many(spark):
+    """More distinct words than any table of fixed size could tell apart."""
+    common = spark.range(0, 3000, 1, 8).select(
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(
+            F.lit("w"), F.hex(F.col("id") * 1000 + i))), " ").alias("text"), F.lit(0).alias("y"))
+    rare = [f"zq{i}x" for i in range(200)]
+    df = common.union(spark.createDataFrame([(" ".join(rare), 1)] * 2, "text string, y int"))
+    words = toxicity.materialise(toxicity.count_words(df, "text", F.col("y")))
+    assert words.count() == 3_000_200
+    assert toxicity.Model.of(words, 2.0).ratios(Words.of([" ".join(rare)])).min() > 5
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 40])
+def test_words_that_are_not_held_are_joined(spark, hot_rows):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"{a}{b}" for a in ("stup", "fine", "dayl", "grim", "x", "é") for b in range(25)])
+    rows = []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        own = vocabulary[rng.integers(0, 75, 12) + 60 * toxic]
+        rows.append((i, " ".join([*own, f"only{i}", f"un{i}seen"]), toxic))
+    rows += [(900 + i, rows[7][1], 0) for i in range(40)] + [(990, None, 1), (991, "", 0), (992, "unheard zzz", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    expected = {r.doc_id: r.score for r in toxicity.add_score(df, toxicity.fit(df, "text", F.col("y"))).collect()}
+    model = toxicity.fit(df, "text", F.col("y"), hot_rows=hot_rows)
+    assert not model.shared.value.whole and len(model.shared.value.words) <= hot_rows
+    for most in (0, 1000):
+        got = toxicity.add_score(df, model, broadcast_rows=most).collect()
+        assert len(got) == len(rows)
+        assert all(r.score == pytest.approx(expected[r.doc_id], rel=1e-6, abs=1e-9) for r in got)
+
+
 def test_edge_rows(spark):
     rows = [(1, "bad bad word", 1), (2, "good", 0), (2, "good", 0), (3, None, 0), (4, "", 1), (None, "bad", None),
             (5, "bad thing", 1), (6, "fine " * 50_000, 0)]
