@@ -8,9 +8,11 @@ A text's language is the one with the largest mean probability over its words; t
 mean.
 
 The lexicon counts every word of all labelled texts in a distributed aggregate, folded into
-2 ** ``LEXICON_BITS`` buckets. The weights are fitted on a sample of labelled texts of about
-``SAMPLE_BYTES`` bytes per language, whole texts of at most ``SAMPLE_TEXT`` bytes each, whose
-passages are mixed into switching chains.
+2 ** ``LEXICON_BITS`` buckets. The weights are fitted on a sample of at most
+``SAMPLE_BYTES`` bytes per language and one passage: of the language's distinct passages with
+words, texts or stretches of ``SAMPLE_TEXT`` bytes at most, those with the smallest hashes. So
+every language with labelled words is fitted, however large it is and however often its texts are
+repeated. Short stretches of the sample are mixed into switching chains.
 
 Chains are worked on in blocks: the transfer matrix of each block, a scan over a text's blocks,
 then all blocks at once; so one long text costs few steps. Texts beyond ``grams.SLICE_CHARS``
@@ -24,12 +26,14 @@ result. Columns called like an output column are replaced.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -297,24 +301,87 @@ class Model:
         return [self.names[b] if k else UNKNOWN for b, k in zip(best, known)], score
 
 
+_WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]")
+_PASSAGE_CHARS = SAMPLE_TEXT // 4  # of four bytes at most
+_DRAW_LEVELS = 8  # of the hashes, for each power of two
+
+
+def passages(text: str) -> Iterator[tuple[int, bytes, str]]:
+    """Hash, bytes and text of each passage that has a word."""
+    whole = len(text) <= _PASSAGE_CHARS or len(text.encode()) <= SAMPLE_TEXT
+    step = max(1, len(text)) if whole else _PASSAGE_CHARS
+    for start in range(0, len(text), step):
+        part = text[start:start + step]
+        if _WORD.search(part):
+            data = part.encode()
+            yield int.from_bytes(hashlib.blake2b(data, digest_size=8).digest()) >> 1, data, part
+
+
+def _level(draw: int) -> int:
+    """Rises with the draw, in steps of a fixed share of it."""
+    shift = max(0, draw.bit_length() - _DRAW_LEVELS.bit_length())
+    return shift * _DRAW_LEVELS + (draw >> shift)
+
+
+def draw_sample(rows: DataFrame, sample_bytes: int) -> DataFrame:
+    """(lang, text): of each language the distinct passages with the smallest hashes, up to
+    ``sample_bytes`` bytes before the last one. ``rows`` are (text, lang)."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for text, lang in zip(batch["text"], batch["lang"].to_pylist()):
+                for draw, data, _ in passages(text.as_py()):
+                    found[lang, draw] = len(data)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+                pa.array([_level(k[1]) for k in found], pa.int32()), pa.array(found.values(), pa.int64()),
+            ], names=["lang", "draw", "level", "size"])
+
+    distinct = rows.mapInArrow(sizes, "lang string, draw long, level int, size long").groupBy("lang", "draw").agg(
+        F.first("level").alias("level"), F.max("size").alias("size"))
+    listed = distinct.groupBy("lang", "level").agg(F.sum("size").alias("size")).orderBy("lang", "level").collect()
+    last: dict[str, int] = {}
+    taken: dict[str, int] = {}
+    for row in listed:  # the first levels that hold enough
+        if taken.get(row.lang, 0) < sample_bytes:
+            last[row.lang] = row.level
+            taken[row.lang] = taken.get(row.lang, 0) + row.size
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for text, lang in zip(batch["text"], batch["lang"].to_pylist()):
+                for draw, data, part in passages(text.as_py()):
+                    if _level(draw) <= last.get(lang, -1):
+                        found[lang, draw] = (part, len(data))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+                pa.array([v[0] for v in found.values()], pa.string()), pa.array([v[1] for v in found.values()], pa.int64()),
+            ], names=["lang", "draw", "text", "size"])
+
+    found = rows.mapInArrow(chosen, "lang string, draw long, text string, size long").groupBy("lang", "draw").agg(
+        F.min("text").alias("text"), F.min("size").alias("size"))
+    before = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return found.where(F.col("_before") < sample_bytes).select("lang", "text")
+
+
 def fit(labelled: DataFrame, text: str, lang: Column, *, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model of the languages of the labelled texts, or None if there are none."""
     rows = labelled.select(F.col(text).alias("text"), lang.alias("lang")).where("text is not null and lang is not null")
-    short = F.octet_length("text") <= SAMPLE_TEXT
-    sizes = rows.groupBy("lang").agg(F.sum(F.when(short, F.octet_length("text"))).alias("size")).collect()
-    if not sizes:
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not names:
         return None
-    names = sorted(r.lang for r in sizes)
-    lexicon = lexicon_marks(materialise(count_lexicon(rows, "text", F.col("lang"), names)), len(names))
-    whole = 1_000_000
-    share = {r.lang: min(whole, int(whole * sample_bytes / max(1, r.size or 0))) for r in sizes}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
-    sample = rows.where(short & (F.pmod(F.xxhash64("text"), F.lit(whole)) < limit)).toArrow()
+    counts = materialise(count_lexicon(rows, "text", F.col("lang"), names))
+    lexicon = lexicon_marks(counts, len(names))
+    sample = sorted((r.text, r.lang) for r in draw_sample(rows, sample_bytes).toLocalIterator())
     place = {name: i for i, name in enumerate(names)}
-    order = np.argsort(sample["text"].to_pylist(), kind="stable") if len(sample) else np.zeros(0, int)
-    texts = [sample["text"][int(i)].as_py() for i in order]
-    langs = np.array([place[sample["lang"][int(i)].as_py()] for i in order], np.int64)
-    words, label = mixed_chains(texts, langs)
+    langs = np.array([place[name] for _, name in sample], np.int64)
+    missing = {r.lang for r in counts.select("lang").distinct().collect()} - set(langs.tolist())
+    if missing:
+        raise RuntimeError(f"no sample of {sorted(names[i] for i in missing)}, which have labelled words")
+    words, label = mixed_chains([t for t, _ in sample], langs)
     if not len(label):
         zeros = np.zeros((1 << FEATURE_BITS, len(names)), np.float32)
         return Model(names, lexicon, zeros, np.zeros((len(names), len(names))))

@@ -82,6 +82,25 @@ def test_edge_rows_and_switching(spark):
     assert one.label(["xyz"])[0] == ["en"]
 
 
+def test_every_language_is_sampled_within_the_bound(spark):
+    """Copies of one text, very long texts, and one passage beyond the bound."""
+    french = "le chat et le chien vont à la maison et la maison est belle " * 50
+    german = "der hund und die katze gehen nach hause weil es regnet " * 3000
+    spanish = [f"el perro y el gato van a la casa número {i}" for i in range(300)]
+    rows = [(french, "fr")] * 400 + [(german, "de")] + [(t, "es") for t in spanish] + [("", "xx"), ("-- !", "xx")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    for most in (1, 500, 5000):
+        size, longest = {}, {}
+        for r in L.draw_sample(df, most).collect():
+            size[r.lang] = size.get(r.lang, 0) + len(r.text.encode())
+            longest[r.lang] = max(longest.get(r.lang, 0), len(r.text.encode()))
+        assert size.keys() == {"fr", "de", "es"}
+        assert all(size[lang] < most + longest[lang] <= most + L.SAMPLE_TEXT for lang in size)
+    model = L.fit(df, "text", F.col("lang"), sample_bytes=4000)
+    asked = ["le chien à la maison", "die katze und der hund", "el gato y el perro"]
+    assert model.label(asked)[0] == ["fr", "de", "es"]
+
+
 def test_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op8_language_id(spark, SF).collect()
