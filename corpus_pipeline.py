@@ -8,7 +8,7 @@ the last one returns their token ids.
 2. near_duplicates: of each group of linked fingerprints the document with the smallest id stays.
 3. decontamination: documents that are contaminated by the benchmark go; others stay as they are,
    few hits included.
-4. secrets: found spans are replaced by ``[secret]``; ``n_chars`` follows the text. All stay.
+4. secrets: found spans, of private keys the whole block, are replaced by ``[secret]``; ``n_chars`` follows the text. All stay.
 5. byte_bpe: ids of the texts, their number and digest, and the digest of the bytes decoded from
    them.
 
@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = pack(docs, "text").withColumn("spans", secrets.find_secrets(F.col("text")))
+    found = pack(docs, "text").withColumn("spans", secrets.find_secrets(F.col("text"), secrets.REDACTION_RULES))
     found = found.withColumn("redacted", secrets.redact(F.col("text"), F.col("spans")))
     changed = {"text": F.col("redacted").alias("text")}
     if "n_chars" in docs.columns:

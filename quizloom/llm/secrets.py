@@ -62,6 +62,21 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+# A whole block, to the END line before any other BEGIN or END; without one, the headers and the
+# run of base64 lines that follow.
+_KEY = r"(?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+_BLANK = r"(?:[\x20\t\r\n]|\\[nr])"
+_PRIVATE_KEY = (
+    rf"-----BEGIN {_KEY}(?:"
+    rf"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_KEY}"
+    rf"|(?:{_BLANK}*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\r\n]*+)*+"
+    rf"(?:(?:{_BLANK}*+[A-Za-z0-9+/]{{24,}}+={{0,2}})++"
+    rf"(?:\r?\n[A-Za-z0-9+/]{{1,23}}+={{0,2}}(?=[\x20\t]*(?:[\r\n]|\Z)))?"
+    rf"(?:\r?\n=[A-Za-z0-9+/]{{4}})?)?)"
+)
+# For redaction. The scan reports the BEGIN line alone, as its SQL does.
+REDACTION_RULES = (*RULES, Rule("private_key_block", _PRIVATE_KEY))
+
 # ---------------------------------------------------------------- trigram queries
 
 ALL = ("all",)
