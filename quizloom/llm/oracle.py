@@ -141,10 +141,79 @@ FROM docs LEFT JOIN listed USING (row_no)
 """
 
 
+_INFILL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), numbered AS (
+  SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM drawn
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>')
+      OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbered
+), pieces AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:n], '') AS s FROM cut
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM pieces
+"""
+
+# Every order walked for itself, filter by filter.
+_AUDIT = r"""
+WITH RECURSIVE marked AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 5 * length(body) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails
+  FROM docs LEFT JOIN marked USING (doc_id)
+), counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY ALL
+), orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+), steps AS (
+  SELECT o, k, o[k] AS f, o[1:k - 1] AS before FROM orders, range(1, 6) r(k) WHERE length(o) = 5
+), walked AS (
+  SELECT part, o, k, f, n, good, toxic, contains(fails, f) AS failed, fails = f AS alone,
+    before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone
+  FROM counts, steps
+), summed AS (
+  SELECT part, o, k, f, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND failed), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND failed), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::BIGINT AS toxic_lost
+  FROM walked GROUP BY part, o, k, f
+)
+SELECT part, o AS filter_order, k::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": _CONTAMINATION,
         "op4_warc_bundles": _WARC,
         "op6_secret_scan": _SECRET_SCAN,
         "op7_url_filter": _URLS,
+        "op12_fill_in_middle": _INFILL,
+        "op13_filter_audit": _AUDIT,
     }

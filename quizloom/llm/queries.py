@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, decontaminate, hnsw, language_id, secrets, simhash, token_files, toxicity, urls, warc
+from quizloom.llm import (
+    audit, automaton, bpe, decontaminate, hnsw, infill, language_id, secrets, simhash, token_files, toxicity, urls, warc,
+)
 from quizloom.llm.tables import fold, is_fold, table
 from quizloom.runtime import scratch_path
 
@@ -164,3 +166,32 @@ def op8_language_id(spark, sf_dir):
     return language_id.add_language(docs.drop("lang"), model).select(
         "doc_id", is_fold("doc_id", LANGUAGE_PARTS, 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+MERGES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op11_automaton_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = automaton.encode_rows(docs, "text", MERGES, decoded="decoded", keep_text=False)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = infill.transform(docs, "doc_id", "text", keep_text=False)
+    return infill.undo(made, keep_text=False).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, table(spark, sf_dir, "labels"))

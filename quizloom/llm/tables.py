@@ -19,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of this very name, dots and back quotes included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def for_arrow(df: DataFrame, kept: list[str], **own: Column) -> DataFrame:
+    """The kept columns under plain names in front, as tasks over Arrow batches need them, and
+    computed ones by their names behind."""
+    return df.select(
+        *[column(df, c).alias(f"_k{i}") for i, c in enumerate(kept)], *[c.alias(name) for name, c in own.items()]
+    )
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(parts)
@@ -54,7 +67,7 @@ def cut_batch(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Reco
 def pack(df: DataFrame, *keep: str, **computed: Column) -> DataFrame:
     """The named and computed columns, and all others as one column ``_own``, so that a step's own columns
     cannot clash with them; ``unpacked`` names them for a ``select`` that brings the rows back."""
-    rest = [df[c] for c in df.columns if c not in keep]
+    rest = [column(df, c) for c in df.columns if c not in keep]
     own = F.struct(*rest) if rest else F.lit(None)
     return df.select(*keep, own.alias("_own"), *[c.alias(name) for name, c in computed.items()])
 
