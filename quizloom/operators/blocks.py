@@ -23,6 +23,8 @@ MAX_BLOCK_VALUES = 16_000_000
 MAX_BLOCK_TERMS = 4_000_000
 # Cells of one dense score block inside a task.
 BLOCK_CELLS = 4_000_000
+# Groups of tasks whose results are merged before all are.
+MERGE_GROUPS = 256
 # Entries of running results a task may hold before it hands them on.
 MAX_STATE_ENTRIES = 8_000_000
 
@@ -88,6 +90,16 @@ def keep_ranked(
     return ranked.where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
+def merge_ranked(
+    df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank"
+) -> DataFrame:
+    """``keep_ranked`` of the partial results of many tasks in two steps: tasks are dealt to
+    ``MERGE_GROUPS`` groups, of which each keeps its first ``k``, and those are ranked. A ranking
+    so meets the rows of a share of the tasks, and then ``k`` rows per group."""
+    dealt = df.withColumn("_group", F.spark_partition_id() % F.lit(MERGE_GROUPS))
+    return keep_ranked(keep_ranked(dealt, [*by, "_group"], order, k, rank).drop("_group", rank), by, order, k, rank)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:

@@ -144,7 +144,7 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
 
 
 def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
-    best = B.keep_ranked(
+    best = B.merge_ranked(
         B.union_all(parts), ["shard", "query_id"], ["distance_key", "passage_id"], k
     )
     return best.select(

@@ -462,6 +462,15 @@ def oracle_sql() -> dict[str, str]:
         "ivf_topk": _w(probed, "SELECT shard, query_id, passage_id, distance, rank FROM near"),
         "ivf_stored_topk": _w(probed,
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),
+        "cell_topk_exact": _w(VECTORS + f""",
+            {_nearest('query_vectors', 'shard_vectors')}""",
+            "SELECT shard, query_id, passage_id, distance, rank FROM near"),
+        "cell_topk_passages": _w(PASSAGES + f""",
+            asked AS (SELECT item_id AS query_id, text FROM benchmark),
+            {_encoded('qv', 'asked', 'query_id', 'query_id')},
+            {_encoded('pv', 'passages', 'passage_id', 'shard, passage_id')},
+            {_nearest('qv', 'pv')}""",
+            "SELECT shard, query_id, passage_id, distance, rank FROM near"),
         "aligned_texts": _w(VECTORS, """SELECT v.shard, v.row_no, v.passage_id, d.text
             FROM shard_vectors v JOIN documents d
             ON d.doc_id % 5 = v.shard AND d.doc_id // 5 = v.row_no"""),

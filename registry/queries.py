@@ -11,7 +11,7 @@ from quizloom import constants as K
 from quizloom.functions import metrics as M
 from quizloom.functions import text as T
 from quizloom.operators import (
-    dense, evaluation, generation, lexical, prep, splits,
+    cells, dense, evaluation, generation, lexical, prep, splits,
 )
 from quizloom.plans import questions as question_plan
 from quizloom.plans import retrieval, training
@@ -362,12 +362,36 @@ def ivf_topk(spark, sf_dir):
 
 @query
 def ivf_stored_topk(spark, sf_dir):
-    """The same from a table written by shard and cell, of which only probed cells are read."""
+    """The same from blocks stored by cell, joined to a table of probes."""
     centres = materialise(X.centroids(spark, sf_dir))
+    rows = materialise(dense.assign_cells(X.shard_vectors(spark, sf_dir), centres))
     path = scratch_path(spark, "cells")
-    writers.write_shards(dense.assign_cells(X.shard_vectors(spark, sf_dir), centres), path)
-    stored = spark.read.parquet(path)
-    return dense.ivf_topk(X.query_vectors(spark, sf_dir), stored, centres)
+    cells.store(rows, path, by=("cell",))
+    return cells.search(X.query_vectors(spark, sf_dir), cells.read(spark, path), cells.given(rows, centres))
+
+
+def _learnt_cells(spark, rows, cell_rows):
+    """Stored blocks and cells learnt from the rows."""
+    placed, found = cells.learn(rows, cell_rows)
+    path = scratch_path(spark, "cells")
+    cells.store(placed, path)
+    return cells.read(spark, path), found
+
+
+@query
+def cell_topk_exact(spark, sf_dir):
+    """All k nearest, by learnt cells and the cells' radii."""
+    stored, found = _learnt_cells(spark, X.shard_vectors(spark, sf_dir), 128)
+    return cells.search(X.query_vectors(spark, sf_dir), stored, found, nprobe=2, exact=True)
+
+
+@query
+def cell_topk_passages(spark, sf_dir):
+    """The nearest passages of every benchmark text, vectors made from the texts."""
+    passages = X.encode_hashed(X.passages(spark, sf_dir).select("shard", "passage_id", "text"))
+    asked = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    stored, found = _learnt_cells(spark, passages, 512)
+    return cells.search(X.encode_hashed(asked), stored, found, nprobe=2, exact=True)
 
 
 @query
