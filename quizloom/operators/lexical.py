@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import text as T
 from quizloom.operators import blocks as B
+from quizloom.operators.postings import Postings
 from quizloom.runtime import dense_row_id, materialise, nth_value
 
 # ---------------------------------------------------------------- single steps
@@ -134,6 +135,7 @@ class _Chunk:
     query: np.ndarray  # query position of a posting
     tf: np.ndarray
     member: np.ndarray  # whether a term is in the chunk's vocabulary
+    owned: np.ndarray  # of a part of a chunk: terms that count here for passage lengths
     weight: np.ndarray | None = None
 
 
@@ -173,6 +175,7 @@ def _block(table: pa.Table) -> _Block:
     chunk_no = table.column("chunk").to_numpy()
     query_id = table.column("query_id").to_numpy()
     tf = table.column("tf").to_numpy().astype(np.float64)
+    own = table.column("own").to_numpy() if "own" in table.column_names else np.ones(len(tf), bool)
     n_terms = words.size + pairs.size
     chunks = []
     for chunk in np.unique(chunk_no):
@@ -182,8 +185,9 @@ def _block(table: pa.Table) -> _Block:
         at = at[np.lexsort((query_id[at], code[at]))]
         position = np.searchsorted(ids, query_id[at])
         count = np.bincount(code[at], minlength=n_terms)
+        owned = np.bincount(code[at][own[at]], minlength=n_terms) > 0
         chunks.append(
-            _Chunk(ids, np.cumsum(count) - count, count, position, tf[at], count > 0)
+            _Chunk(ids, np.cumsum(count) - count, count, position, tf[at], count > 0, owned)
         )
     return _Block(words, pairs, chunks)
 
@@ -303,10 +307,11 @@ def _score(sparse: DataFrame, block: _Block, idf_values, k: int | None) -> DataF
                     else:
                         length = np.sqrt(np.bincount(row, weights=w**2, minlength=n))
                     w = w / length[row]
-                    dots = _dots(row, t, w, chunk, n)
+                    who = _may_enter(t, w, chunk, states[which].keys[:, -1]) if k else None
+                    dots = _dots(row, t, w, chunk, n, who)
                     keys = -np.rint(dots * B.SCALE).astype(np.int64)
                     if k:
-                        states[which].push(keys, ids[part])
+                        states[which].push(keys, ids[part], who)
                     else:
                         q, p = np.nonzero(dots > 0)
                         yield as_batch(chunk.query_ids[q], ids[part][p], keys[q, p])
@@ -317,11 +322,30 @@ def _score(sparse: DataFrame, block: _Block, idf_values, k: int | None) -> DataF
     return sparse.mapInArrow(score, _SCORE_SCHEMA)
 
 
-def _dots(row, term, weight, chunk: _Chunk, n: int) -> np.ndarray:
-    """Queries x rows products of sparse rows with the postings of a chunk."""
+def _may_enter(term, weight, chunk: _Chunk, last: np.ndarray) -> np.ndarray | None:
+    """The queries for which a row of this block may enter the k best so far, None for all: no row
+    scores more than the sum, over the query's terms, of the term's largest weight in the block."""
+    most = np.zeros(chunk.count.size)
+    np.maximum.at(most, term, weight)
+    held = np.repeat(most, chunk.count)
+    bound = np.bincount(chunk.query, weights=chunk.weight * held, minlength=chunk.query_ids.size)
+    who = np.flatnonzero(-np.rint(bound * B.SCALE) - 1 <= last)
+    return None if who.size == chunk.query_ids.size else who
+
+
+def _dots(row, term, weight, chunk: _Chunk, n: int, who: np.ndarray | None = None) -> np.ndarray:
+    """Queries x rows products of sparse rows with the postings of a chunk, or of some queries."""
     n_queries = chunk.query_ids.size
+    first, count, query, own = chunk.start, chunk.count, chunk.query, chunk.weight
+    if who is not None:
+        place_of = np.full(n_queries, -1)
+        place_of[who] = np.arange(who.size)
+        kept = place_of[query] >= 0
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        first, count = ends[chunk.start], ends[chunk.start + chunk.count] - ends[chunk.start]
+        query, own, n_queries = place_of[query[kept]], own[kept], who.size
     dots = np.zeros(n_queries * n)
-    postings = chunk.count[term]
+    postings = count[term]
     ends = np.cumsum(postings)
     start = 0
     while start < term.size:
@@ -329,9 +353,9 @@ def _dots(row, term, weight, chunk: _Chunk, n: int) -> np.ndarray:
         stop = int(np.searchsorted(ends, before + B.BLOCK_CELLS, side="right"))
         stop = max(stop, start + 1)
         at = slice(start, stop)
-        place = _spread(chunk.start[term[at]], postings[at])
-        cell = chunk.query[place] * n + np.repeat(row[at], postings[at])
-        value = chunk.weight[place] * np.repeat(weight[at], postings[at])
+        place = _spread(first[term[at]], postings[at])
+        cell = query[place] * n + np.repeat(row[at], postings[at])
+        value = own[place] * np.repeat(weight[at], postings[at])
         dots += np.bincount(cell, weights=value, minlength=n_queries * n)
         start = stop
     return dots.reshape(n_queries, n)
@@ -369,31 +393,95 @@ def _plan_passes(parts: DataFrame, limit: int):
     return passes, split
 
 
-def _passage_norms(passages, all_terms: DataFrame, chunk: int, n: int, threshold) -> DataFrame:
-    """Passage lengths over the vocabulary of one very large chunk, by joins."""
-    vocab = vocabulary(all_terms.where(F.col("chunk") == chunk))
-    scored = passages.select("passage_id", T.scoring_text(F.col("text")).alias("text"))
-    counts = materialise(term_counts(scored, vocab))
-    sample = counts if threshold is None else counts.where(F.col("passage_id") <= threshold)
-    weights = counts.join(idf(vocab, sample, F.lit(n)), "term")
-    square = F.sum(F.pow(F.col("tf") * F.col("idf"), 2))
-    return weights.groupBy("passage_id").agg(F.sqrt(square).alias("norm"))
+def _squares(sparse: DataFrame, block: _Block, idf_values: np.ndarray) -> DataFrame:
+    """(passage_id, square): what one part of a chunk adds to the squared passage lengths."""
+    shared = sparse.sparkSession.sparkContext.broadcast(np.where(block.chunks[0].owned, idf_values, 0.0))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf_of = shared.value
+        for batch in batches:
+            lengths = batch["terms"].value_lengths().to_numpy(zero_copy_only=False)
+            term, tf = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("terms", "tfs"))
+            raw = tf * idf_of[term]
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            square = np.bincount(row, weights=raw**2, minlength=batch.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch["passage_id"], pa.array(square)], names=["passage_id", "square"])
+
+    return sparse.mapInArrow(squares, "passage_id long, square double")
+
+
+def _lengths(jobs: list) -> DataFrame:
+    """(passage_id, norm) over the vocabulary of a chunk that is cut in parts: every term counts in
+    the first part that holds it, so the parts' sums add up and no text is read again."""
+    parts = B.union_all([_squares(sparse, block, idf_values) for block, sparse, idf_values in jobs])
+    return materialise(parts.groupBy("passage_id").agg(F.sqrt(F.sum("square")).alias("norm")))
+
+
+def _score_pairs(sparse: DataFrame, asked: DataFrame, block: _Block, idf_values: np.ndarray) -> DataFrame:
+    """Scores of the given (query_id, passage_id) alone: a passage's row meets the list of its
+    queries in this block."""
+    wanted = asked.groupBy("passage_id").agg(F.collect_list("query_id").alias("query_ids"))
+    chunk, n_terms = block.chunks[0], block.n_terms
+    term = np.repeat(np.arange(n_terms), chunk.count)
+    key = chunk.query * n_terms + term
+    order = np.argsort(key)
+    given = "norm" in sparse.columns
+    shared = sparse.sparkSession.sparkContext.broadcast(
+        (chunk.query_ids, chunk.member, key[order], chunk.weight[order], idf_values))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_q, member, keys, weights, idf_of = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not len(keys):
+                continue
+            size = batch["terms"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            code = batch["terms"].flatten().to_numpy(zero_copy_only=False)
+            raw = np.where(member[code], batch["tfs"].flatten().to_numpy(zero_copy_only=False) * idf_of[code], 0.0)
+            length = np.sqrt(np.bincount(np.repeat(np.arange(n), size), weights=raw**2, minlength=n))
+            if given:
+                length = batch["norm"].to_numpy(zero_copy_only=False)
+            asked_size = batch["query_ids"].value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), asked_size)
+            query = np.searchsorted(ids_q, batch["query_ids"].flatten().to_numpy(zero_copy_only=False))
+            starts = np.cumsum(size) - size
+            dots = np.zeros(len(row))
+            step = max(1, B.BLOCK_CELLS // max(1, int(size.max(initial=1))))
+            for first in range(0, len(row), step):
+                r, q = row[first:first + step], query[first:first + step]
+                at = _spread(starts[r], size[r])
+                pair = np.repeat(np.arange(len(r)), size[r])
+                wanted_key = q[pair] * n_terms + code[at]
+                place = np.minimum(np.searchsorted(keys, wanted_key), len(keys) - 1)
+                value = np.where(keys[place] == wanted_key, weights[place], 0.0) * raw[at]
+                dots[first:first + step] = np.bincount(pair, weights=value, minlength=len(r))
+            dots = np.divide(dots, length[row], out=np.zeros(len(row)), where=length[row] > 0)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids_q[query]), batch["passage_id"].take(pa.array(row)),
+                pa.array(-np.rint(dots * B.SCALE).astype(np.int64)),
+            ], names=["query_id", "passage_id", "score_key"])
+
+    return sparse.join(wanted, "passage_id").mapInArrow(score, _SCORE_SCHEMA)
 
 
 def lexical_scores(
     queries: DataFrame,
-    passages: DataFrame,
+    passages: DataFrame | None,
     k: int | None = K.LEXICAL_K,
     query_chunk: int | None = None,
     idf_sample: int | None = None,
     max_terms: int | None = None,
+    index: Postings | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Cosine scores (query_id, passage_id, score): the ``k`` best candidates per query and
-    task, or with ``k=None`` every score above zero. Scores are rounded to six places.
-
-    ``queries`` is (query_id, text), ``passages`` is (passage_id, text) with unique ids. By
-    default all queries share one vocabulary and idf is fitted on all passages;
-    ``query_chunk`` queries each, or the first ``idf_sample`` passages by id, can be asked for.
+    """Cosine scores (query_id, passage_id, score_key): the ``k`` best candidates per query and
+    task, or with ``k=None`` every score above zero, or those of ``pairs`` (query_id,
+    passage_id) alone. Keys are scores of six places as whole numbers, negative.
+
+    ``queries`` is (query_id, text), ``passages`` is (passage_id, text) with unique ids; in their
+    place stands an ``index`` of them. By default all queries share one vocabulary and idf is
+    fitted on all passages; ``query_chunk`` queries each, or the first ``idf_sample`` passages by
+    id, can be asked for.
     """
     limit = max_terms or B.MAX_BLOCK_TERMS
     chunked = with_chunk(queries.select("query_id", "text"), "query_id", query_chunk)
@@ -402,20 +490,26 @@ def lexical_scores(
     passes, split = _plan_passes(parts, limit)
     if len(passes) > 1:
         parts = materialise(parts)
-    n_all = threshold = None
-    results = []
+        terms = terms.join(parts.select("chunk", "query_id", "part"), ["chunk", "query_id"])
+        first = terms.where(F.col("chunk").isin(*split)).groupBy("chunk", "term").agg(F.min("part").alias("_first"))
+        terms = materialise(terms.join(first, ["chunk", "term"], "left").select(
+            "chunk", "part", "query_id", "term", "tf", F.coalesce(F.col("_first") == F.col("part"), F.lit(True)).alias("own")))
+    ids = None if index is None else index.passages
+    n_all = None if index is None else ids.count()
+    threshold = None
+    jobs = []
     for chosen in passes:
         mine = terms
         if len(passes) > 1:
-            keys = [f"{chunk}/{part}" for chunk, part in chosen]
-            here = parts.where(F.concat_ws("/", "chunk", "part").isin(*keys))
-            mine = terms.join(here.select("query_id"), "query_id", "left_semi")
+            mine = terms.where(F.concat_ws("/", "chunk", "part").isin(*[f"{c}/{p}" for c, p in chosen]))
         block = _block(mine.toArrow())
-        sparse = materialise(_encode(passages, block))
+        encoded = _encode(passages, block) if index is None else index.sparse_rows(block.words.tolist(), block.pairs)
+        sparse = materialise(encoded)
         if n_all is None:
-            n_all = sparse.count()
-            if idf_sample is not None and n_all > idf_sample:
-                threshold = nth_value(sparse, "passage_id", idf_sample - 1)
+            ids = sparse.select("passage_id")
+            n_all = ids.count()
+        if idf_sample is not None and n_all > idf_sample and threshold is None:
+            threshold = nth_value(ids, "passage_id", idf_sample - 1)
         sample = sparse if threshold is None else sparse.where(F.col("passage_id") <= threshold)
         counted = (
             sample.select(F.explode("terms").alias("term"))
@@ -426,10 +520,17 @@ def lexical_scores(
         n = n_all if idf_sample is None else min(n_all, idf_sample)
         idf_values = np.log((1.0 + n) / (1.0 + df)) + 1.0
         _weigh_queries(block, idf_values)
-        if chosen[0][0] in split:
-            norms = _passage_norms(passages, terms, chosen[0][0], n, threshold)
-            sparse = sparse.join(norms, "passage_id", "left").na.fill({"norm": 1.0})
-        results.append(_score(sparse, block, idf_values, k))
+        jobs.append((chosen[0][0], block, sparse, idf_values))
+    lengths = {chunk: _lengths([job[1:] for job in jobs if job[0] == chunk]) for chunk in sorted(split)}
+    results = []
+    for chunk, block, sparse, idf_values in jobs:
+        if chunk in split:
+            sparse = sparse.join(lengths[chunk], "passage_id", "left").na.fill({"norm": 1.0})
+        if pairs is None:
+            results.append(_score(sparse, block, idf_values, k))
+        else:
+            here = queries.sparkSession.createDataFrame(pa.table({"query_id": block.chunks[0].query_ids}))
+            results.append(_score_pairs(sparse, pairs.join(here, "query_id", "left_semi"), block, idf_values))
     if not results:
         results = [queries.sparkSession.createDataFrame([], _SCORE_SCHEMA)]
     return B.union_all(results)
@@ -460,39 +561,32 @@ def lexical_topk(
     found = lexical_scores(queries, passages, k=k, **options)
     if not fill_to_k:
         found = found.where(F.col("score_key") < 0)
-    best = B.keep_ranked(found, ["query_id"], ["score_key", "passage_id"], k)
+    elif options.get("index") is not None:
+        # An index gives the passages that hold a word of the queries. Among the k first ids are
+        # enough others to fill a list.
+        first = [r["passage_id"] for r in options["index"].passages.orderBy("passage_id").limit(k).collect()]
+        listed = F.array(*map(F.lit, first)).cast("array<bigint>")
+        others = queries.select("query_id", F.explode(listed).alias("passage_id")).withColumn("score_key", F.lit(0).cast("long"))
+        found = found.unionByName(others).groupBy("query_id", "passage_id").agg(F.min("score_key").alias("score_key"))
+    best = B.merge_ranked(found, ["query_id"], ["score_key", "passage_id"], k)
     return _as_scores(best).select("query_id", "rank", "score", "passage_id")
 
 
-def own_pool_scores(queries: DataFrame, pairs: DataFrame, passages: DataFrame) -> DataFrame:
+def own_pool_scores(
+    queries: DataFrame, pairs: DataFrame, passages: DataFrame, max_terms: int | None = None
+) -> DataFrame:
     """(query_id, passage_id, score) of the given ``pairs`` (query_id, passage_id) alone.
 
     Each question is scored against its own neighbours, so the work grows with the pairs and
-    not with questions times passages. Passages are cut into terms once, whatever the number
-    of questions, and questions are joined, never sent through the driver. Vocabulary and idf
+    not with questions times passages. Passages are cut into terms once. Vocabulary and idf
     are those of all questions and of all passages of the pairs.
     """
     pairs = materialise(pairs.select("query_id", "passage_id").distinct())
     pool = passages.select("passage_id", "text").join(
         pairs.select("passage_id").distinct(), "passage_id", "left_semi"
     )
-    asked = materialise(query_terms(with_chunk(queries.select("query_id", "text"))))
-    vocab = vocabulary(asked)
-    scored = pool.select("passage_id", T.scoring_text(F.col("text")).alias("text"))
-    counts = materialise(term_counts(scored, vocab))
-    n = pairs.agg(F.countDistinct("passage_id").alias("n")).scalar()
-    weights = materialise(idf(vocab, counts, n))
-    vectors = passage_vectors(counts, weights).select("passage_id", "term", "weight")
-    raw = asked.join(weights.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    own = raw.join(lengths, "query_id").select(
-        "query_id", "term", (F.col("w") / F.col("length")).alias("q")
-    )
-    met = pairs.join(own, "query_id").join(vectors, ["passage_id", "term"])
-    sums = met.groupBy("query_id", "passage_id").agg(
-        F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score")
-    )
-    return pairs.join(sums, ["query_id", "passage_id"], "left").select(
+    found = _as_scores(lexical_scores(queries, pool, pairs=pairs, max_terms=max_terms))
+    return pairs.join(found, ["query_id", "passage_id"], "left").select(
         "query_id", "passage_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )
 

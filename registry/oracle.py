@@ -8,6 +8,7 @@ from quizloom import constants as K
 
 L5 = "A, B, C, D, E"
 CAPPED_ROWS = 170
+CHUNKED_QUERIES, CHUNKED_SAMPLE = 12, 600
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -123,29 +124,34 @@ def _terms(tokens: str) -> str:
     )
 
 
-def _lexical(queries: str, pool: str) -> str:
-    """CTEs from ``queries`` (query_id, text) and ``pool`` (passage_id, text) to ``ranked``."""
+def _lexical(queries: str, pool: str, size: int | None = None, sample: int | None = None) -> str:
+    """CTEs from ``queries`` (query_id, text) and ``pool`` (passage_id, text) to ``ranked``, with
+    ``size`` queries to a vocabulary and idf of the first ``sample`` passages if given."""
     scored = "replace(" + _nfkd("text") + ", '\"', '')"
+    chunk = f"(row_number() OVER (ORDER BY query_id) - 1) // {size}" if size else "0::BIGINT"
+    first = f"(SELECT passage_id FROM {pool} ORDER BY 1 LIMIT {sample})" if sample else f"(SELECT passage_id FROM {pool})"
     return f"""
-    q_tok AS (SELECT query_id, {_kept('text')} AS tk FROM {queries}),
-    q_terms AS (SELECT query_id, term, count(*) AS tf FROM
-      (SELECT query_id, unnest({_terms('tk')}) AS term FROM q_tok) GROUP BY ALL),
-    vocab AS (SELECT DISTINCT 0::BIGINT AS chunk, term FROM q_terms),
+    q_tok AS (SELECT query_id, {chunk} AS chunk, {_kept('text')} AS tk FROM {queries}),
+    q_terms AS (SELECT chunk, query_id, term, count(*) AS tf FROM
+      (SELECT chunk, query_id, unnest({_terms('tk')}) AS term FROM q_tok) GROUP BY ALL),
+    vocab AS (SELECT DISTINCT chunk, term FROM q_terms),
     p_tok AS (SELECT passage_id, {_kept(scored)} AS tk FROM {pool}),
     p_terms AS (SELECT passage_id, term, count(*) AS tf FROM
       (SELECT passage_id, unnest({_terms('tk')}) AS term FROM p_tok)
       WHERE term IN (SELECT term FROM vocab) GROUP BY ALL),
-    n_pool AS (SELECT count(*) AS n FROM {pool}),
+    first_pool AS {first},
+    n_pool AS (SELECT count(*) AS n FROM first_pool),
     idf AS (SELECT chunk, v.term, coalesce(df, 0) AS df,
       ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf
-      FROM vocab v LEFT JOIN (SELECT term, count(*) AS df FROM p_terms GROUP BY term) d
+      FROM vocab v LEFT JOIN (SELECT term, count(*) AS df FROM p_terms JOIN first_pool
+        USING (passage_id) GROUP BY term) d
       ON d.term = v.term, n_pool),
-    q_w AS (SELECT query_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2)
-      OVER (PARTITION BY query_id)) AS w FROM q_terms JOIN idf USING (term)),
+    q_w AS (SELECT chunk, query_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2)
+      OVER (PARTITION BY query_id)) AS w FROM q_terms JOIN idf USING (chunk, term)),
     p_w AS (SELECT chunk, passage_id, term, tf * idf / sqrt(sum((tf * idf) ^ 2)
-      OVER (PARTITION BY passage_id)) AS w FROM p_terms JOIN idf USING (term)),
+      OVER (PARTITION BY chunk, passage_id)) AS w FROM p_terms JOIN idf USING (term)),
     hits AS (SELECT query_id, passage_id, round(sum(q_w.w * p_w.w), 6) AS score
-      FROM q_w JOIN p_w USING (term) GROUP BY ALL),
+      FROM q_w JOIN p_w USING (chunk, term) GROUP BY ALL),
     ranked AS (SELECT * FROM (SELECT query_id, passage_id, coalesce(score, 0.0) AS score,
       row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, passage_id)
       AS rank FROM {queries} q CROSS JOIN {pool} p LEFT JOIN hits USING (query_id, passage_id))
@@ -340,6 +346,9 @@ def oracle_sql() -> dict[str, str]:
     lexical = ASKED + f""",
     bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked), {PASSAGES},
     {_lexical('bq', 'passages')}"""
+    lexical_chunks = ASKED + f""",
+    bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked), {PASSAGES},
+    {_lexical('bq', 'passages', CHUNKED_QUERIES, CHUNKED_SAMPLE)}"""
     neighbours = ASKED + f""",
     {PASSAGES}, qt AS (SELECT id AS query_id, full_text AS text FROM asked),
     {_encoded('qv', 'qt', 'query_id', 'query_id')},
@@ -489,6 +498,8 @@ def oracle_sql() -> dict[str, str]:
             FROM p_w"""),
         "tfidf_scores": _w(lexical_own, "SELECT query_id, passage_id, score FROM own"),
         "lexical_top10": _w(lexical, "SELECT query_id, rank, score, passage_id FROM ranked"),
+        "lexical_top10_index": _w(lexical, "SELECT query_id, rank, score, passage_id FROM ranked"),
+        "lexical_top10_chunks": _w(lexical_chunks, "SELECT query_id, rank, score, passage_id FROM ranked"),
         "context_assembly": _w(lexical + ", " + _assembled("passages"),
             "SELECT query_id, context FROM contexts"),
         # metrics

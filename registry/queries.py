@@ -11,7 +11,7 @@ from quizloom import constants as K
 from quizloom.functions import metrics as M
 from quizloom.functions import text as T
 from quizloom.operators import (
-    cells, dense, evaluation, generation, lexical, prep, splits,
+    cells, dense, evaluation, generation, lexical, postings, prep, splits,
 )
 from quizloom.plans import questions as question_plan
 from quizloom.plans import retrieval, training
@@ -486,6 +486,31 @@ def lexical_top10(spark, sf_dir):
     return lexical.lexical_topk(X.bench_queries(spark, sf_dir), X.passages(spark, sf_dir))
 
 
+QUERY_CHUNK, IDF_SAMPLE = 12, 600
+
+
+def _passage_index(spark, sf_dir):
+    path = scratch_path(spark, "postings")
+    postings.write(X.passages(spark, sf_dir).select("passage_id", "text"), path)
+    return postings.read(spark, path)
+
+
+@query
+def lexical_top10_index(spark, sf_dir):
+    """The same from an inverted index of the passages."""
+    return lexical.lexical_topk(X.bench_queries(spark, sf_dir), None, index=_passage_index(spark, sf_dir))
+
+
+@query
+def lexical_top10_chunks(spark, sf_dir):
+    """Queries in chunks with a vocabulary each, and idf of the first passages, as published; the
+    sizes are smaller, so that they bite."""
+    return lexical.lexical_topk(
+        X.bench_queries(spark, sf_dir), None, index=_passage_index(spark, sf_dir),
+        query_chunk=QUERY_CHUNK, idf_sample=IDF_SAMPLE,
+    )
+
+
 @query
 def context_assembly(spark, sf_dir):
     ranked = lexical_top10(spark, sf_dir)

@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_text import python_terms
 
-from quizloom.operators import blocks, lexical
+from quizloom.operators import blocks, lexical, postings
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -92,6 +93,79 @@ def test_equals_brute_force(spark, data, options):
         assert got[q] == hits
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("options", [
+    {}, {"query_chunk": 7}, {"query_chunk": 7, "idf_sample": 20}, {"query_chunk": 9, "max_terms": 25, "idf_sample": 30},
+])
+def test_index_equals_brute_force(spark, data, options, block, monkeypatch, new_path):
+    queries, passages = data
+    asked, texts = frames(spark, queries, passages)
+    monkeypatch.setattr(postings, "BLOCK_PASSAGES", block)
+    postings.write(texts, new_path("index"), folders=5)
+    index = postings.read(spark, new_path("index"), folders=5)
+    got = found(lexical.lexical_topk(asked, None, k=5, index=index, **options))
+    expected = brute_force(
+        queries, passages, 5, options.get("query_chunk", 800), options.get("idf_sample", 500_000)
+    )
+    assert got == expected
+
+
+def test_index_holds_every_place(spark, new_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_TOKENS", 4)
+    texts = {1: "w1 w2 the w1", 2: None, 3: "", 4: "w2 " * 50, 5: "w2", 6: "w2"}
+    schema = "passage_id long, text string"
+    postings.write(spark.createDataFrame(list(texts.items()), schema).coalesce(1), new_path("index"), folders=3)
+    index = postings.read(spark, new_path("index"), folders=3)
+    got = Counter()
+    for row in index.rows.collect():
+        ids, counts, places = (np.frombuffer(row[c], k) for c, k in (("ids", "<i8"), ("counts", "<i4"), ("places", "<i4")))
+        assert row["n"] == len(places) == counts.sum()
+        got.update(zip(np.repeat(ids, counts).tolist(), places.tolist(), [row["word"]] * len(places)))
+    assert got == Counter([(1, 0, "w1"), (1, 1, "w2"), (1, 2, "w1"), *((4, i, "w2") for i in range(50)), (5, 0, "w2"), (6, 0, "w2")])
+    assert index.passages.count() == 6
+    # Only rows of the words asked for are read, from their folders.
+    read = index.of_words(["w1", "w9"])
+    assert read.agg(F.sum("n")).first()[0] == 2 and read.select("code").distinct().collect() == [(0,)]
+    assert "PartitionFilters: [folder" in read._jdf.queryExecution().executedPlan().toString()
+    sparse = index.sparse_rows(["w1", "w2"], np.array([1, 3]))  # w1 w2, and w2 w2
+    rows = {r["passage_id"]: (r["terms"], r["tfs"]) for r in sparse.collect()}
+    assert rows == {1: ([0, 1, 2], [2, 1, 1]), 4: ([1, 3], [50, 49]), 5: ([1], [1]), 6: ([1], [1])}
+
+
+def test_empty_index(spark, new_path):
+    none = spark.createDataFrame([], "passage_id long, text string")
+    postings.write(none, new_path("index"))
+    index = postings.read(spark, new_path("index"))
+    asked = spark.createDataFrame([(1, "w1 w2")], "query_id long, text string")
+    assert lexical.lexical_topk(asked, None, index=index).count() == 0
+
+
+def test_blocks_without_a_chance_are_left_out(spark):
+    """A query whose best rows beat a block's largest weights is not scored against it."""
+    chunk = lexical._Chunk(
+        np.array([7, 8]), np.array([0, 1, 3]), np.array([1, 2, 0]), np.array([0, 0, 1]), np.ones(3),
+        np.array([True, True, False]), np.ones(3, bool), np.array([0.6, 0.8, 1.0]))
+    term, weight, row = np.array([0, 1, 1]), np.array([0.1, 0.2, 0.5]), np.array([0, 0, 1])
+    worst = -np.array([600_000, 400_000])
+    assert lexical._may_enter(term, weight, chunk, worst).tolist() == [1]
+    assert lexical._may_enter(term, weight, chunk, -np.array([460_000, 400_000])) is None
+    whole = lexical._dots(row, term, weight, chunk, 2)
+    assert np.allclose(whole, [[0.22, 0.4], [0.2, 0.5]])
+    assert np.allclose(lexical._dots(row, term, weight, chunk, 2, np.array([1])), whole[1:])
+
+
+@pytest.mark.parametrize("max_terms", [None, 60, 15])
+def test_own_pool_in_parts(spark, data, max_terms):
+    queries, passages = data
+    q, p = frames(spark, queries, passages)
+    pairs = spark.createDataFrame([(a, b) for a in queries for b in passages if (a + b) % 5], "query_id long, passage_id long")
+    rows = lexical.own_pool_scores(q, pairs, p, max_terms=max_terms).collect()
+    expected = brute_force(queries, passages, len(passages), 800, 500_000)
+    whole = {(a, b): s for a, hits in expected.items() for s, b in hits}
+    got = {(r["query_id"], r["passage_id"]): r["score"] for r in rows}
+    assert got == pytest.approx({key: s for key, s in whole.items() if sum(key) % 5})
+
+
 def test_a_cut_chunk_shares_no_pass(spark, data):
     """The first chunk is cut, and the second would fit beside its last part."""
     queries, passages = frames(spark, *data)
