@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,27 @@ MERGE_GROUPS = 256
 MAX_STATE_ENTRIES = 8_000_000
 
 
+NEIGHBOUR_SCHEMA = "shard int, query_id long, passage_id long, distance_key long"
+
+
+def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
+    """A list column of equal-length vectors as a matrix."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if lengths.size and lengths.min() != lengths.max():
+        raise ValueError("vectors of different length")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    return flat.reshape(len(column), -1)
+
+
+def distance_keys(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared L2 distances (queries x rows) as whole numbers of the sixth place."""
+    square = (
+        (queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
+        - 2.0 * (queries @ rows.T)
+    )
+    return np.rint(np.maximum(square, 0.0) * SCALE).astype(np.int64)
+
+
 class RunningTopK:
     """The k smallest (key, id) per query over all blocks seen so far."""
 

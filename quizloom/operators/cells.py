@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,6 @@ from pyspark.sql import functions as F
 from quizloom import constants as K
 from quizloom.functions import vectors as V
 from quizloom.operators import blocks as B
-from quizloom.operators.dense import _NEIGHBOUR_SCHEMA, _distance_keys, _matrix
 from quizloom.runtime import materialise
 
 CELL_ROWS = 4096
@@ -90,13 +88,13 @@ def _divide(rows: DataFrame, nodes: DataFrame, cell_rows: int, seed: int) -> lis
     place = F.pmod(F.xxhash64("passage_id", F.lit(seed)), F.lit(_SAMPLE_RANGE))
     sample = rows.join(nodes, ["shard", "cell"]).where(place < limit).select("shard", "cell", "rows", "v")
 
-    def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = min(FAN, -(-2 * int(group["rows"].iloc[0]) // cell_rows))
-        found = _kmeans(np.stack(group["v"].to_numpy()), parts, seed)
-        return pd.DataFrame({"shard": [key[0]], "cell": [key[1]], "centres": [found.ravel().tolist()]})
+    def learn(group: pa.Table) -> pa.Table:
+        parts = min(FAN, -(-2 * group["rows"][0].as_py() // cell_rows))
+        found = _kmeans(B.matrix(group["v"].combine_chunks()), parts, seed)
+        return group.slice(0, 1).select(["shard", "cell"]).append_column("centres", pa.array([found.ravel().tolist()]))
 
     schema = "shard int, cell long, centres array<double>"
-    return sample.groupBy("shard", "cell").applyInPandas(learn, schema).collect()
+    return sample.groupBy("shard", "cell").applyInArrow(learn, schema).collect()
 
 
 def _move(rows: DataFrame, parts: list, dim: int) -> DataFrame:
@@ -108,7 +106,7 @@ def _move(rows: DataFrame, parts: list, dim: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = _matrix(batch["v"])
+            matrix = B.matrix(batch["v"])
             shard, cell = (batch[c].to_numpy() for c in ("shard", "cell"))
             cell, gap = cell.copy(), batch["gap"].to_numpy().copy()
             for key, at in _runs(shard, cell):
@@ -176,7 +174,7 @@ def given(rows: DataFrame, centroids: DataFrame) -> Cells:
     """Cells of given centres (cell, v), the same in every shard of ``rows`` (shard, cell, …); radii
     are not known."""
     listed = centroids.select("cell", V.as_double(F.col("v")).alias("v")).limit(B.MAX_BLOCK_ROWS + 1).toArrow()
-    matrix = _matrix(listed["v"].combine_chunks())
+    matrix = B.matrix(listed["v"].combine_chunks())
     if len(matrix) > B.MAX_BLOCK_ROWS or matrix.size > B.MAX_BLOCK_VALUES:
         raise ValueError("more centres than a block holds")
     ids = listed["cell"].to_numpy().astype(np.int64)
@@ -195,7 +193,7 @@ def _packed(rows: DataFrame, id_column: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix, ids = _matrix(batch["v"]), batch[id_column].to_numpy()
+            matrix, ids = B.matrix(batch["v"]), batch[id_column].to_numpy()
             out = []
             for (shard, cell), at in _runs(*(batch[c].to_numpy() for c in ("shard", "cell"))):
                 for first in range(0, len(at), BLOCK_ROWS):
@@ -235,11 +233,11 @@ def _nearest_cells(queries: DataFrame, cells: Cells, nprobe: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = _matrix(batch["v"])
+            matrix = B.matrix(batch["v"])
             for shard in np.unique(own.shards).tolist():
                 at = own.of_shard(shard)
                 for part in B.row_slices(len(matrix), at.stop - at.start):
-                    keys = _distance_keys(matrix[part], own.centres[at])
+                    keys = B.distance_keys(matrix[part], own.centres[at])
                     order = np.argsort(keys, axis=1, kind="stable")[:, :nprobe]
                     yield _probe_rows(batch.slice(part.start, len(keys)), shard, own.cells[at][order])
 
@@ -268,13 +266,13 @@ def _open_cells(queries: DataFrame, cells: Cells, found: DataFrame, k: int, npro
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = _matrix(batch["v"])
+            matrix = B.matrix(batch["v"])
             known = [{one["shard"]: one["key"] for one in row or ()} for row in batch["last"].to_pylist()]
             for shard in np.unique(own.shards).tolist():
                 at = own.of_shard(shard)
                 bound = np.array([row.get(shard, np.iinfo(np.int64).max) for row in known], np.float64)
                 for part in B.row_slices(len(matrix), at.stop - at.start):
-                    keys = _distance_keys(matrix[part], own.centres[at])
+                    keys = B.distance_keys(matrix[part], own.centres[at])
                     probed = np.argsort(keys, axis=1, kind="stable")[:, :nprobe]
                     least = np.maximum(np.sqrt(keys / B.SCALE) - np.sqrt(own.radius[at]) - 2e-3, 0.0) ** 2
                     open_ = least * B.SCALE <= bound[part][:, None] + 2
@@ -312,7 +310,7 @@ def _scored(stored: DataFrame, probes: DataFrame, queries: int, k: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c[keep]) for c in columns], names=["shard", "query_id", "passage_id", "distance_key"])
 
-    return both.mapInArrow(score, _NEIGHBOUR_SCHEMA)
+    return both.mapInArrow(score, B.NEIGHBOUR_SCHEMA)
 
 
 def _best_of_pair(shard: int, ids: bytes, vectors: bytes, query_ids: bytes, query_vectors: bytes, k: int):
@@ -321,7 +319,7 @@ def _best_of_pair(shard: int, ids: bytes, vectors: bytes, query_ids: bytes, quer
     wanted = np.frombuffer(query_vectors, "<f8").reshape(len(asked), -1)
     state = B.RunningTopK(len(asked), k)
     for part in B.row_slices(len(rows), len(asked)):
-        state.push(_distance_keys(wanted, rows[part]), row_ids[part])
+        state.push(B.distance_keys(wanted, rows[part]), row_ids[part])
     query, passage, key = state.rows()
     return np.full(len(query), shard, np.int64), asked[query], passage, key
 

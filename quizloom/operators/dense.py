@@ -16,36 +16,16 @@ from quizloom.functions import vectors as V
 from quizloom.operators import blocks as B
 from quizloom.runtime import dense_row_id, materialise
 
-_NEIGHBOUR_SCHEMA = "shard int, query_id long, passage_id long, distance_key long"
-
 
 def normalise(df: DataFrame, column: str = "v") -> DataFrame:
     return df.withColumn(column, V.l2_normalise(V.as_double(F.col(column))))
 
 
-def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
-    """A list column of equal-length vectors as a matrix."""
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    if lengths.size and lengths.min() != lengths.max():
-        raise ValueError("vectors of different length")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
-    return flat.reshape(len(column), -1)
-
-
-def _distance_keys(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Squared L2 distances (queries x rows) as whole numbers of the sixth place."""
-    square = (
-        (queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
-        - 2.0 * (queries @ rows.T)
-    )
-    return np.rint(np.maximum(square, 0.0) * B.SCALE).astype(np.int64)
-
-
 def _bounded(df: DataFrame, id_column: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids and matrix in id order, or None if there are more vectors than a block may hold."""
     table = df.select(id_column, "v").limit(B.MAX_BLOCK_ROWS + 1).toArrow()
     ids = table.column(id_column).to_numpy()
-    vectors = _matrix(table.column("v").combine_chunks())
+    vectors = B.matrix(table.column("v").combine_chunks())
     if table.num_rows > B.MAX_BLOCK_ROWS or vectors.size > B.MAX_BLOCK_VALUES:
         return None
     order = np.argsort(ids)
@@ -112,7 +92,7 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
                 continue
             shards = batch.column("shard").to_numpy(zero_copy_only=False)
             ids = batch.column("passage_id").to_numpy(zero_copy_only=False)
-            rows = _matrix(batch.column("v"))
+            rows = B.matrix(batch.column("v"))
             cell = 0 * shards
             if cells is not None:
                 cell = batch.column("cell").to_numpy(zero_copy_only=False)
@@ -130,7 +110,7 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
                     states[shard] = B.RunningTopK(ids_q.size, k)
                 for part in B.row_slices(at.size, len(wanted)):
                     chosen = at[part]
-                    states[shard].push(_distance_keys(wanted, rows[chosen]), ids[chosen], who)
+                    states[shard].push(B.distance_keys(wanted, rows[chosen]), ids[chosen], who)
         yield from flush()
 
     if probes is None:
@@ -140,7 +120,7 @@ def _search(passages: DataFrame, query_ids, query_matrix, k: int, probes=None) -
         rows = passages.select("shard", "passage_id", "v", "cell").sortWithinPartitions(
             "shard", "cell"
         )
-    return rows.mapInArrow(search, _NEIGHBOUR_SCHEMA)
+    return rows.mapInArrow(search, B.NEIGHBOUR_SCHEMA)
 
 
 def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
@@ -165,7 +145,7 @@ def topk_per_shard(queries: DataFrame, passages: DataFrame, k: int = K.DENSE_K)
         if ids.size:
             parts.append(_search(passages, ids, matrix, k))
     if not parts:
-        parts = [passages.sparkSession.createDataFrame([], _NEIGHBOUR_SCHEMA)]
+        parts = [passages.sparkSession.createDataFrame([], B.NEIGHBOUR_SCHEMA)]
     return _ranked(parts, k)
 
 
@@ -207,11 +187,11 @@ def _nearest_cell(passages: DataFrame, cell_ids: np.ndarray, centres: np.ndarray
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = _matrix(batch.column("v"))
+            rows = B.matrix(batch.column("v"))
             cell = batch.column("cell").to_numpy(zero_copy_only=False).copy()
             best = batch.column("distance_key").to_numpy(zero_copy_only=False).copy()
             for part in B.row_slices(len(rows), len(matrix)):
-                keys = _distance_keys(matrix, rows[part])
+                keys = B.distance_keys(matrix, rows[part])
                 first = keys.argmin(axis=0)
                 key, name = keys[first, np.arange(first.size)], names[first]
                 wins = (key < best[part]) | ((key == best[part]) & (name < cell[part]))
@@ -245,7 +225,7 @@ def ivf_topk(
         near = B.RunningTopK(ids.size, nprobe)
         for cell_ids, centres in vector_blocks(centroids, "cell"):
             for part in B.row_slices(cell_ids.size, ids.size):
-                keys = _distance_keys(matrix, centres[part])
+                keys = B.distance_keys(matrix, centres[part])
                 near.push(keys, cell_ids[part].astype(np.int64))
         query, cell, _ = near.rows()
         order = np.lexsort((query, cell))
@@ -255,7 +235,7 @@ def ivf_topk(
             wanted = cell_passages.where(F.col("cell").isin(*probes))
             parts.append(_search(wanted, ids, matrix, k, probes))
     if not parts:
-        parts = [queries.sparkSession.createDataFrame([], _NEIGHBOUR_SCHEMA)]
+        parts = [queries.sparkSession.createDataFrame([], B.NEIGHBOUR_SCHEMA)]
     return _ranked(parts, k)
 
 
