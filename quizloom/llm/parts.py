@@ -77,16 +77,17 @@ class ChunkTable:
 
 
 def ids_of_column(
-    texts: pa.Array, table: ChunkTable, begins: Callable[[pa.Array], np.ndarray], blank: str = ""
+    texts: pa.Array, table: ChunkTable, begins: Callable[[pa.Array], np.ndarray] | None = None, blank: str = ""
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has; null texts have none.
 
     ``begins`` says of parts behind a blank whether they begin a chunk, that is whether the blank's
-    place may be cut. Such a chunk is looked up with ``blank`` in front."""
+    place may be cut; by default all do. Such a chunk is looked up with ``blank`` in front."""
     table.trim()
     lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
     coded = lists.flatten().dictionary_encode()
-    codes, open_ = coded.indices.to_numpy(), begins(coded.dictionary)
+    codes = coded.indices.to_numpy()
+    open_ = begins(coded.dictionary) if begins else np.ones(len(coded.dictionary), bool)
     with_blank = pc.binary_join_element_wise(blank, coded.dictionary, "") if blank else coded.dictionary
     parts = with_blank.to_pylist()
     counts = np.diff(lists.offsets.to_numpy())

@@ -25,24 +25,27 @@ import re
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from quizloom.llm.chunks import ChunkCache, gather, ids_of_texts
-from quizloom.llm.tables import one_per_task
+from quizloom.llm.chunks import gather
+from quizloom.llm.parts import ChunkTable, ids_of_column
+from quizloom.llm.tables import cut_batch, one_per_task
 
 MANIFEST_SCHEMA = (
     "shard string, part int, number int, docs long, ids long, width int, first_key long, last_key long"
 )
-CACHED_CHUNKS = 1 << 20
-SLICE_CHARS = 1 << 21
+TABLE_CHUNKS = 1 << 19
+TABLE_CHARS = 32 << 20
+BATCH_BYTES = 8 << 20
 SHARD_BYTES = 512 << 20
 READ_BYTES = 8 << 20
 _GAMMA = 2
@@ -50,25 +53,44 @@ _LEVELS = 32
 
 # ---------------------------------------------------------------- tokenizer
 
+# What a file has to state for its texts to be cut at blanks. White space is dropped
+# and no token crosses it; letters are lower-cased, and runs of signs are tokens of their own.
+_NORMALISER = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # A run of full stops or commas behind a letter or digit and before a blank is a match of its own.
-_TAIL = re.compile(r"(?<=[^\W_])([.,]+)(?=[ \n])")
+_TAIL = re.compile(r"(?<=[^\W_])[.,]+$")
 _JOINED = 64
 
 
 class WordTokenizer:
     """The tokenizers library over chunks between blanks, which no token crosses; each distinct
-    chunk is encoded once while the cache holds it."""
+    chunk is encoded once while the table holds it. Texts of a file that normalises or splits in
+    another way are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_blanks = self._parts_at_blanks(json.load(file))
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._cache = ChunkCache(self._learn, CACHED_CHUNKS)
+        self._table = ChunkTable(self._learn, TABLE_CHUNKS, TABLE_CHARS)
+
+    @staticmethod
+    def _parts_at_blanks(read: dict) -> bool:
+        normaliser, split = read["normalizer"] or {}, read["pre_tokenizer"] or {}
+        steps, first = normaliser.get("normalizers"), (split.get("pretokenizers") or [{}])[0]
+        return (
+            steps == _NORMALISER and first.get("pattern") == {"Regex": _SPLIT}
+            and read["model"].get("end_of_word_suffix") == "</w>" and not read["model"].get("dropout")
+            and not any(" " in t["content"] or t["normalized"] or t["lstrip"] or t["rstrip"] for t in read["added_tokens"])
+        )
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,7 +109,13 @@ class WordTokenizer:
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         forms = [c.lower() if c.isascii() else c for c in chunks]
-        place = {form: i for i, form in enumerate(dict.fromkeys(forms))}
+        heads, tails = [], []
+        for form in forms:
+            tail = _TAIL.search(form) if form[-1:] in (".", ",") else None
+            cut = tail.start() if tail else len(form)
+            heads.append(form[:cut])
+            tails.append(form[cut:])
+        place = {form: i for i, form in enumerate(dict.fromkeys([*heads, *tails]))}
         words, others = [], []
         for form in place:
             plain = form.isalpha() and max(form) < "ɐ" and unicodedata.is_normalized("NFC", form)
@@ -96,26 +124,19 @@ class WordTokenizer:
         ids = [found[form] for form in place]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.array([i for one in ids for i in one], np.int32)
-        chosen = np.array([place[form] for form in forms], np.int64)
-        return gather(flat, (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]), sizes[chosen]
+        chosen = np.array([place[form] for pair in zip(heads, tails) for form in pair], np.int64)
+        taken = sizes[chosen]
+        return gather(flat, (np.cumsum(sizes) - sizes)[chosen], taken), taken.reshape(-1, 2).sum(axis=1)
 
-    @staticmethod
-    def _chunks(text: str) -> Iterator[list[str]]:
-        start = 0
-        while start < len(text):
-            end = len(text)
-            if end - start > SLICE_CHARS:
-                blank = text.find(" ", start + SLICE_CHARS)
-                end = blank if blank >= 0 else end
-            part = _TAIL.sub(r" \1", text[start:end] + " ").replace("\n", " ")
-            yield [c for c in part.split(" ") if c]
-            start = end
-
-    def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
-        return ids_of_texts(texts, self._chunks, self._cache)
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has; null texts have none."""
+        if self.by_blanks:
+            return ids_of_column(pc.replace_substring(texts, "\n", " "), self._table)
+        found = self._encode([t.as_py() or "" for t in texts])
+        return np.array([i for one in found for i in one], np.int32), np.array(list(map(len, found)), np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -257,6 +278,19 @@ class ShardReader:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         return self._index["rows"][safe], np.where(known, self._index["counts"][safe], 0)
 
+    def places(self) -> np.ndarray:
+        """The row of every document in the order of keys, from the slots."""
+        at = np.arange(len(self.keys))
+        known = np.flatnonzero(~self.null)
+        own = self.keys[known]
+        heads = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+        number = np.arange(len(own)) - np.repeat(heads, np.diff([*heads, len(own)]))
+        first, count = self.rows(own)
+        if (number >= count).any():
+            raise ValueError("the index misses a key")
+        at[known] = first + number
+        return at
+
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of rows first to last, exclusive."""
         start, end = int(self.offsets[first]), int(self.offsets[last])
@@ -286,13 +320,17 @@ def write_shards(
         width = 2 if max(tokenizer.size, end_id + 1) <= 1 << 16 else 4
         shard, done, part = None, [], TaskContext.get().partitionId()
         for batch in batches:
-            encoded = tokenizer.encode_all(body.as_py() or "" for body in batch["text"])
-            for number, ids in zip(batch["key"].to_pylist(), encoded):
-                shard = shard or ShardWriter(folder, width)
-                shard.add(number, np.append(ids, np.int32(end_id)))
-                if shard.bytes >= shard_bytes:
-                    done.append(shard.close())
-                    shard = None
+            for cut in cut_batch(batch, "text", BATCH_BYTES):
+                ids, counts = tokenizer.encode_column(cut["text"])
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                for number, start, end in zip(cut["key"].to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                    shard = shard or ShardWriter(folder, width)
+                    shard.add(number, ids[start:end])
+                    if shard.bytes >= shard_bytes:
+                        done.append(shard.close())
+                        shard = None
         if shard:
             done.append(shard.close())
         listed = [one | {"part": part, "number": i} for i, one in enumerate(done)]
@@ -313,25 +351,23 @@ def with_start(manifest: DataFrame) -> DataFrame:
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document of the shards: key, start (ids before it in all shards), n_ids and the
-    unsigned crc32 of its ids as 32-bit integers. Rows of a key are found by its slot."""
+    unsigned crc32 of its ids as 32-bit integers. A document's row is the first row in its key's
+    slot and its number among the rows of the key; rows without a key are read as they stand."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.to_pylist():
                 shard = ShardReader(folder, one["shard"], one["width"])
-                first, count = shard.rows(shard.keys)
-                at = np.arange(len(shard.keys))
-                if not (shard.null | ((first <= at) & (at < first + count))).all():
-                    raise ValueError(f"the index of shard {one['shard']} misses a key")
-                sizes = np.diff(shard.offsets)
-                starts = one["start"] + shard.offsets[:-1]
-                cut = (shard.offsets[:-1] * one["width"]) // READ_BYTES
+                at = shard.places()
+                sizes = shard.offsets[at + 1] - shard.offsets[at]
+                starts = one["start"] + shard.offsets[at]
+                cut = (shard.offsets[at] * one["width"]) // READ_BYTES
                 blocks = np.flatnonzero(np.diff(cut, prepend=-1)).tolist()
                 for row, end in zip(blocks, [*blocks[1:], len(at)]):
-                    ids, base = shard.ids(row, end), shard.offsets[row]
+                    ids, base = shard.ids(at[row], at[end - 1] + 1), shard.offsets[at[row]]
                     crc = [
-                        zlib.crc32(ids[s - base:e - base].astype("<u4").tobytes())
-                        for s, e in zip(shard.offsets[row:end], shard.offsets[row + 1:end + 1])
+                        zlib.crc32(ids[s - base:s - base + n].astype("<u4").tobytes())
+                        for s, n in zip(shard.offsets[at[row:end]].tolist(), sizes[row:end].tolist())
                     ]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(shard.keys[row:end], pa.int64(), mask=shard.null[row:end]),

@@ -1,12 +1,14 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quizloom.llm import queries, token_files
+from quizloom.llm import parts, queries, token_files
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -19,14 +21,45 @@ def library():
 def test_random_texts_as_the_library(library, monkeypatch):
     own = token_files.WordTokenizer(PATH)
     rng = random.Random(8)
-    parts = ["Word", "über", "Été.", "it's", "I'LL,", "3.14", "x2", " ", "\n", "\t", "...", "%$", "é", "J̌",
+    letters = ["Word", "über", "Été.", "it's", "I'LL,", "3.14", "x2", " ", "\n", "\t", "...", "%$", "é", "J̌",
              "ǅ", "ΣΑΣ", "漢字", "🙂", "<|endoftext|>", "foo,", "\x1c", " ", "²", "'", "a.b", "KK"]
-    texts = ["".join(rng.choice(["", " "]) + rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts = ["".join(rng.choice(["", " "]) + rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
     for text in texts:
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-    monkeypatch.setattr(token_files, "SLICE_CHARS", 20)
-    for text in texts[:300]:
-        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    ids, counts = own.encode_column(pa.array([*texts, None]))
+    assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in [*texts, ""]]
+    monkeypatch.setattr(own, "_table", parts.ChunkTable(own._learn, 50, 1 << 20))
+    for start in range(0, 1500, 10):
+        again = own.encode_column(pa.array(texts[start:start + 10]))[0]
+        assert again.tolist() == [i for t in texts[start:start + 10] for i in library.encode(t, add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"normalizer": None}, {"pre_tokenizer": {"type": "WhitespaceSplit"}},
+])
+def test_other_files_are_encoded_whole(change, new_path):
+    with open(PATH, encoding="utf-8") as file:
+        read = json.load(file) | change
+    path = new_path("other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(read, file)
+    own, other = token_files.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not own.by_blanks and token_files.WordTokenizer(PATH).by_blanks
+    for text in ("Two Words, and É  more.", "", "a\nb c."):
+        assert own.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_are_read_by_slot(spark, new_path, monkeypatch):
+    df = spark.createDataFrame([(4, "a"), (4, "b c"), (5, "d"), (None, "e")], "doc_id long, text string").coalesce(1)
+    folder = "file://" + new_path("tokens")
+    token_files.store(spark, df, folder, "doc_id", "text", PATH, 2)
+    manifest = spark.read.parquet(f"{folder}/manifest").collect()
+    shards = [token_files.ShardReader(f"{folder}/shards", r.shard, r.width) for r in manifest]
+    for shard in shards:
+        assert shard.places().tolist() == list(range(len(shard.keys)))
+        shard._index["fingerprints"] = shard._index["fingerprints"] + np.uint32(1)
+    with pytest.raises(ValueError):
+        [shard.places() for shard in shards]
 
 
 def test_perfect_hash():
