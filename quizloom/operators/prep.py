@@ -150,6 +150,18 @@ def truncate_pairs(pairs: DataFrame, budget: int = K.TRAIN_TOKENS) -> DataFrame:
     )
 
 
+def cut_choices(lists: DataFrame, budget: int = K.TRAIN_TOKENS, id_column: str = "id") -> DataFrame:
+    """``truncate_pairs`` of ``choice_lists``: five rows per question, of which each list was cut
+    before the question became rows."""
+    def cut(second: Column) -> Column:
+        keep_a, keep_b = _kept_sizes(F.size("first"), F.size(second), budget)
+        return F.struct(
+            F.slice("first", F.lit(1), keep_a).alias("first"), F.slice(second, F.lit(1), keep_b).alias("second"))
+
+    pairs = lists.select(id_column, "label", F.posexplode(F.transform("seconds", cut)).alias("choice", "pair"))
+    return pairs.select(id_column, "choice", "pair.first", "pair.second", "label")
+
+
 def pad_choices(
     lists: DataFrame,
     budget: int = K.TRAIN_TOKENS,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quizloom import constants as K
 from quizloom.runtime import dense_row_id, first_rows, materialise
@@ -94,32 +96,72 @@ def bias_partition(df: DataFrame, threshold: float = 0.5, column: str = "mAP") -
     )
 
 
+# Groups that are placed one by one, and classes of a vector.
+PLACED_GROUPS = 20_000
+MOST_CLASSES = 1_000
+
+
+def place_groups(vectors: np.ndarray, folds: int, held: np.ndarray | None = None) -> list[int]:
+    """The fold of each group, a line of class counts, taken in the given order: the one after
+    which the folds' shares of the classes differ least, then the one with fewest rows, then the
+    first. ``held`` are the counts that the folds hold already, a line for each."""
+    held = np.zeros((folds, vectors.shape[1])) if held is None else held.astype(float)
+    total = np.maximum(held.sum(axis=0) + vectors.sum(axis=0), 1)
+    found = []
+    for vector in vectors:
+        tried = held[None] + np.eye(folds)[:, :, None] * vector
+        spread = np.round((tried / total).var(axis=1).sum(axis=1), 12)
+        fold = min(range(folds), key=lambda i: (spread[i], held[i].sum(), i))
+        held[fold] += vector
+        found.append(fold)
+    return found
+
+
 def group_folds(
     df: DataFrame, group: str, stratum: str, folds: int = 4, seed: int = K.FOLD_SEED
 ) -> DataFrame:
     """(group, fold): whole groups in folds with even class shares, for any number of groups.
 
-    A group belongs to the class most of its rows have (on a tie the larger class). The groups
-    of a class are numbered by falling size and hash and dealt to the folds back and forth (0,
-    1, 2, 2, 1, 0, …), each class starting one fold further. So the folds' rows of a class
-    differ by its largest group at most, and nothing is placed on the driver.
+    A group is the vector of its rows per class (``MOST_CLASSES`` at most). Of groups with equal
+    vectors, numbered by hash, every ``folds`` go to the folds one each, which leaves the
+    shares as they are. What remains, fewer than ``folds`` groups of a vector, is placed one
+    by one in the order of falling spread, size and hash, each where the folds' shares then differ
+    least. Of more than ``PLACED_GROUPS`` the heaviest are placed so; the lighter ones are dealt
+    back and forth by main class and falling rows of it: of what lighter groups of one main class
+    hold of that class, the folds get the same but for the rows of one such group.
     """
-    counts = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy(group).agg(
-        F.sum("n").alias("size"), F.max_by(stratum, F.struct("n", stratum)).alias("main")
-    )
-    keyed = sizes.withColumn("_key", hash_order(group, seed))
-    numbered = materialise(
-        dense_row_id(keyed, ["main", F.desc("size"), "_key", group], "_row")
-    )
-    starts = numbered.groupBy(F.col("main").alias("_class")).agg(F.min("_row").alias("_start"))
-    starts = dense_row_id(starts, ["_start"], "_number")
-    step = F.col("_row") - F.col("_start")
-    turn = F.pmod(step, F.lit(2 * folds))
-    dealt = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn)
-    return numbered.join(starts, F.col("main").eqNullSafe(F.col("_class"))).select(
-        group, F.pmod(dealt + F.col("_number"), F.lit(folds)).cast("int").alias("fold")
-    )
+    spark = df.sparkSession
+    counts = materialise(df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n")))
+    listed = counts.select(stratum).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(listed) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    classes = sorted((r[0] for r in listed), key=lambda c: (c is not None, c))
+    own = [F.sum(F.when(F.col(stratum).eqNullSafe(F.lit(c)), F.col("n")).otherwise(0)) for c in classes]
+    vectors = counts.groupBy(group).agg(F.array(*own).alias("_v"), F.sum("n").alias("_size"))
+    vectors = vectors.withColumn("_key", hash_order(group, seed))
+    numbered = materialise(dense_row_id(vectors, ["_v", "_key", group], "_row"))
+    types = numbered.groupBy(F.col("_v").alias("_type")).agg(F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_of"))
+    rows = numbered.join(types, F.col("_v") == F.col("_type")).withColumn("_step", F.col("_row") - F.col("_start"))
+    whole = F.col("_step") < F.col("_of") - F.col("_of") % folds
+    dealt = rows.where(whole).select(group, (F.col("_step") % folds).cast("int").alias("fold"))
+
+    mean = F.col("_size") / F.lit(max(1, len(classes)))
+    spread = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    rest = materialise(rows.where(~whole).select(group, "_v", "_size", "_key", F.round(spread, 6).alias("_spread")))
+    order = [(-F.col("_spread")).alias("s"), (-F.col("_size")).alias("z"), F.col("_key"), F.col(group)]
+    heavy = first_rows(rest, order, PLACED_GROUPS).orderBy(*order).select(group, "_v").collect()
+    placed = place_groups(np.array([r["_v"] for r in heavy], float).reshape(len(heavy), len(classes)), folds)
+    schema = StructType([df.schema[group], StructField("fold", IntegerType())])
+    found = dealt.unionByName(spark.createDataFrame([(r[0], f) for r, f in zip(heavy, placed)], schema))
+    if rest.count() > len(heavy):
+        light = rest.join(found.select(F.col(group).alias("_g")), F.col(group).eqNullSafe(F.col("_g")), "left_anti")
+        light = light.withColumns({"_most": F.array_max("_v"), "_main": F.array_position("_v", F.array_max("_v"))})
+        turns = materialise(dense_row_id(light, ["_main", F.desc("_most"), "_key", group], "_row"))
+        first = turns.groupBy("_main").agg(F.min("_row").alias("_first"))
+        turn = (F.col("_row") - F.col("_first")) % (2 * folds)
+        found = found.unionByName(turns.join(first, "_main").select(
+            group, F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold")))
+    return found
 
 
 def with_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:

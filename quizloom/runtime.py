@@ -7,6 +7,7 @@ import io
 import shutil
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -109,24 +110,80 @@ def dense_row_id(df: DataFrame, order_by: list[str | Column], out: str = "row_id
     )
 
 
-def nth_value(df: DataFrame, column: str, n: int):
-    """The value at 0-based place ``n`` of a unique column, or None past the end."""
-    hit = dense_row_id(df.select(column), [column], "_row").where(F.col("_row") == n).first()
-    return None if hit is None else hit[column]
+# Bins of one round of a selection, and rows that a selection may list at its end.
+SELECT_BINS = 1 << 12
+SELECT_ROWS = 10_000
+_TEXT_BYTES = 6
+
+
+def _codes(key: Column, kind: str) -> Iterator[Column]:
+    """Numbers in the order of the key: one for numbers and truth values, one for every six bytes of
+    a text, the last of which is followed by None."""
+    if kind != "string":
+        yield key.cast("double" if kind in ("float", "double") or kind.startswith("decimal") else "long")
+        return
+    size, start = F.octet_length(key), 0
+    while True:
+        piece = F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), start + 1, _TEXT_BYTES)), 2 * _TEXT_BYTES, "0")
+        # Behind the bytes stands whether they are all of the text, as a shorter text comes first.
+        shorter = F.least(F.greatest(size - start, F.lit(0)), F.lit(_TEXT_BYTES + 1))
+        yield F.conv(piece, 16, 10).cast("long") * (_TEXT_BYTES + 2) + shorter
+        start += _TEXT_BYTES
+
+
+def nth_key(keys: DataFrame, n: int):
+    """The row at place ``n``, counted from 1, in the order of all columns (nulls first), or None past the
+    end.
+
+    Rows are not sorted. Each round counts the rows in some thousand bins of equal width between the
+    least and the largest of what is left, and keeps the bin that holds the place; rows of
+    one value go on by the next column. A few rows that are left at the end are listed.
+    """
+    left, place = keys, n
+    total = left.count()
+    if not 1 <= n <= total:
+        return None
+    for name, kind in keys.dtypes:
+        key = F.col(f"`{name}`")
+        nulls = left.where(key.isNull()).count()
+        if place <= nulls:
+            left, total = left.where(key.isNull()), nulls
+            continue
+        left, place, total = left.where(key.isNotNull()), place - nulls, total - nulls
+        for code in _codes(key, kind):
+            low, high = left.agg(F.min(code), F.max(code)).first()
+            while total > SELECT_ROWS and low < high:
+                width = (high - low) / SELECT_BINS if isinstance(low, float) else -(-(high - low + 1) // SELECT_BINS)
+                step = F.floor((code - low) / width) if isinstance(low, float) else F.call_function("div", code - low, F.lit(width))
+                bins = left.groupBy(F.least(step, F.lit(SELECT_BINS - 1)).cast("int").alias("bin")).agg(
+                    F.count(F.lit(1)).alias("n"), F.min(code).alias("low"), F.max(code).alias("high"))
+                for row in sorted(bins.collect()):
+                    if place <= row["n"]:
+                        break
+                    place -= row["n"]
+                low, high, total = row["low"], row["high"], row["n"]
+                left = left.where((code >= F.lit(low)) & (code <= F.lit(high)))
+            if total <= SELECT_ROWS:
+                listed = left.agg(F.array_sort(F.collect_list(F.struct(*keys.columns)))).first()[0]
+                return listed[place - 1]
+            if kind == "string" and left.agg(F.max(key) == F.min(key)).first()[0]:
+                break
+    return left.first()
 
 
 def first_rows(df: DataFrame, keys: list[str | Column], n: int) -> DataFrame:
     """The first ``n`` rows by ascending ``keys``, which have to tell rows apart.
 
-    Only the keys are shuffled, to find the last one that belongs; the rows themselves are
-    then filtered where they are.
+    The last key that belongs is found by counting; nothing is sorted or shuffled, and the rows
+    are filtered where they are.
     """
-    key = F.struct(*keys)
-    listed = df.select(key.alias("_key"))
-    last = nth_value(listed, "_key", n - 1) if n > 0 else ()
-    if last is None:
-        return df
     if n <= 0:
         return df.limit(0)
-    limit = F.struct(*[F.lit(value) for value in last])
-    return df.where(key <= limit.cast(listed.schema["_key"].dataType))
+    names = [f"_{i}" for i in range(len(keys))]
+    listed = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(c) for k, c in zip(keys, names)])
+    last = nth_key(listed, n)
+    if last is None:
+        return df
+    key = F.struct(*[(F.col(k) if isinstance(k, str) else k).alias(c) for k, c in zip(keys, names)])
+    limit = F.struct(*[F.lit(last[c]).cast(listed.schema[c].dataType).alias(c) for c in names])
+    return df.where(key <= limit)

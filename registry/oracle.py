@@ -294,8 +294,8 @@ FOLDS = RUNS + """,
       WHERE e.mAP IS NOT NULL)"""
 
 
-def _w(ctes: str, body: str) -> str:
-    return f"WITH {ctes}\n{body}"
+def _w(ctes: str, body: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 def _hash(seed: int, key: str) -> str:
@@ -363,6 +363,21 @@ def oracle_sql() -> dict[str, str]:
       (SELECT passage_id FROM near WHERE rank <= 14) GROUP BY text),
     bq AS (SELECT id AS query_id, {QUERY_TEXT} AS text FROM asked),
     {_lexical('bq', 'pool')}, {_assembled('pool')}"""
+    walked_pages = "WITH RECURSIVE " + EDGES + """,
+            e AS (SELECT replace(parent, '_', ' ') AS parent, child,
+              replace(child, '_', ' ') AS plain FROM category_edges
+              WHERE replace(child, '_', ' ') <> 'Category:Nation 5'),
+            walk AS (SELECT *, [node] AS path FROM (VALUES ('S', 'Category:Region 0', 0),
+                ('T', 'Category:Region 1', 0), ('E', 'Category:Region 2', 0),
+                ('M', 'Category:Region 3', 0), ('M', 'Category:Region 4', 0))
+                v(stem_label, node, depth)
+              UNION ALL
+              SELECT w.stem_label, e.plain, w.depth + 1, list_append(w.path, e.plain)
+              FROM walk w JOIN e ON e.parent = w.node
+              WHERE starts_with(e.child, 'Category') AND NOT list_contains(w.path, e.plain))
+            SELECT stem_label, e.child AS page, min(w.depth + 1)::INT AS depth
+            FROM walk w JOIN e ON e.parent = w.node
+            WHERE NOT starts_with(e.child, 'Category') GROUP BY ALL"""
     probed = CELLS + f""",
             celled AS (SELECT * EXCLUDE (rn) FROM (SELECT p.shard, p.passage_id, p.v, c.cell,
               row_number() OVER (PARTITION BY p.passage_id ORDER BY {_square('p.v', 'c.v')},
@@ -568,15 +583,28 @@ def oracle_sql() -> dict[str, str]:
             FROM eval_runs"""),
         "group_kfold": _w(RUNS + f""",
             bias AS (SELECT * FROM eval_runs WHERE mAP >= 0.5),
-            mains AS (SELECT answer, mAP AS main, sum(n) OVER (PARTITION BY answer) AS size
-              FROM (SELECT answer, mAP, count(*) AS n FROM bias GROUP BY ALL)
-              QUALIFY row_number() OVER (PARTITION BY answer ORDER BY n DESC, mAP DESC) = 1),
-            dealt AS (SELECT answer, dense_rank() OVER (ORDER BY main) - 1 AS class,
-              (row_number() OVER (PARTITION BY main ORDER BY size DESC,
-                {_hash(K.FOLD_SEED, 'answer')} NULLS FIRST) - 1) % 8 AS turn FROM mains)""",
-            """SELECT row_no, b.answer, mAP, (((CASE WHEN turn < 4 THEN turn ELSE 7 - turn END)
-            + class) % 4)::INT AS fold
-            FROM bias b JOIN dealt d ON b.answer IS NOT DISTINCT FROM d.answer"""),
+            classes AS (SELECT list(DISTINCT mAP ORDER BY mAP) AS cs FROM bias),
+            groups AS (SELECT answer, list_transform(cs, lambda c: len(list_filter(ms, lambda m: m = c))) AS v,
+              len(ms) AS size, {_hash(K.FOLD_SEED, 'answer')} AS key
+              FROM (SELECT answer, list(mAP) AS ms FROM bias GROUP BY answer), classes),
+            totals AS (SELECT list(t ORDER BY c) AS total FROM (SELECT c, sum(v[c]) AS t
+              FROM groups, range(1, 1000) r(c) WHERE c <= len(v) GROUP BY c)),
+            ordered AS (SELECT *, row_number() OVER (ORDER BY round(list_sum(list_transform(v,
+              lambda x: (x - size / len(v)) ^ 2)), 6) DESC, size DESC, key NULLS FIRST) AS i FROM groups, totals),
+            walk AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS answer, -1 AS fold,
+                list_transform(range(4), lambda f: list_transform(total, lambda t: 0::BIGINT)) AS held FROM totals
+              UNION ALL
+              SELECT i, answer, best.f::INT, list_transform(range(4), lambda f: list_transform(range(len(v)),
+                lambda c: held[f + 1][c + 1] + CASE WHEN f = best.f THEN v[c + 1] ELSE 0 END)) FROM (
+                SELECT o.i, o.answer, v, held, list_min(list_transform(range(4), lambda f: {{
+                  's': round(list_sum(list_transform(range(len(v)), lambda c: list_aggregate(list_transform(range(4),
+                    lambda j: (held[j + 1][c + 1] + CASE WHEN j = f THEN v[c + 1] ELSE 0 END)::DOUBLE
+                    / greatest(total[c + 1], 1)), 'var_pop'))), 12),
+                  'n': list_sum(held[f + 1]), 'f': f}})) AS best
+                FROM walk w JOIN ordered o ON o.i = w.i + 1))""",
+            """SELECT row_no, b.answer, mAP, fold
+            FROM bias b JOIN walk d ON d.i > 0 AND b.answer IS NOT DISTINCT FROM d.answer""",
+            recursive=True),
         "fold_sets": _w(FOLDS, """SELECT row_no, answer, round(mAP, 6) AS mAP, fold, split
             FROM fold_sets"""),
         "weighted_sample": _w(PAGES + f""",
@@ -591,21 +619,12 @@ def oracle_sql() -> dict[str, str]:
         "top_n_articles": """SELECT doc_id, n_chars, text FROM documents
             ORDER BY n_chars DESC, doc_id LIMIT 100""",
         # generation
-        "category_pages": "WITH RECURSIVE " + EDGES + """,
-            e AS (SELECT replace(parent, '_', ' ') AS parent, child,
-              replace(child, '_', ' ') AS plain FROM category_edges
-              WHERE replace(child, '_', ' ') <> 'Category:Nation 5'),
-            walk AS (SELECT *, [node] AS path FROM (VALUES ('S', 'Category:Region 0', 0),
-                ('T', 'Category:Region 1', 0), ('E', 'Category:Region 2', 0),
-                ('M', 'Category:Region 3', 0), ('M', 'Category:Region 4', 0))
-                v(stem_label, node, depth)
-              UNION ALL
-              SELECT w.stem_label, e.plain, w.depth + 1, list_append(w.path, e.plain)
-              FROM walk w JOIN e ON e.parent = w.node
-              WHERE starts_with(e.child, 'Category') AND NOT list_contains(w.path, e.plain))
-            SELECT stem_label, e.child AS page, min(w.depth + 1)::INT AS depth
-            FROM walk w JOIN e ON e.parent = w.node
-            WHERE NOT starts_with(e.child, 'Category') GROUP BY ALL""",
+        "category_pages": walked_pages,
+        "sampled_category_pages": f"""SELECT stem_label, page, depth, sample_key FROM (
+            SELECT *, round(-ln((('0x' || substr({_hash(5, "stem_label || '|' || page")}, 1, 13))::BIGINT::DOUBLE + 1)
+              / 4503599627370496.0::DOUBLE) / (CASE stem_label WHEN 'T' THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END
+              / count(*) OVER (PARTITION BY stem_label)), 6) AS sample_key FROM ({walked_pages}))
+            ORDER BY sample_key, stem_label || '|' || page LIMIT 100""",
         "valid_mcq": _w(VALID, "SELECT page_id, attempt, valid FROM checked"),
         "first_valid_reply": _w(VALID, """SELECT f.page_id, f.attempt, count(*) FILTER
             (NOT valid AND (f.attempt IS NULL OR c.attempt < f.attempt)) AS failed_attempts

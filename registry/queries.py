@@ -700,6 +700,14 @@ def category_pages(spark, sf_dir):
     )
 
 
+@query
+def sampled_category_pages(spark, sf_dir):
+    """Pages drawn by label weight from those that the walk finds."""
+    pages = materialise(category_pages(spark, sf_dir)).withColumn("id", F.concat_ws("|", "stem_label", "page"))
+    drawn = splits.weighted_sample(pages, 100, "id", "stem_label", K.LABEL_WEIGHTS, seed=5)
+    return drawn.select("stem_label", "page", "depth", "sample_key")
+
+
 @query
 def valid_mcq(spark, sf_dir):
     return generation.with_validity(X.replies(spark, sf_dir)).select(

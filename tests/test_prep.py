@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quizloom import constants as K
 from quizloom.operators import prep
-from quizloom.runtime import dense_row_id, first_rows, nth_value
+from quizloom.runtime import dense_row_id, first_rows, nth_key
 
 SCHEMA = "id int, prompt string, context string, A string, B string, C string, D string, " \
     "E string, answer string"
@@ -134,7 +134,7 @@ def test_first_rows(spark):
     df = spark.range(100).repartition(6)
     for n in (0, 1, 7, 100, 200):
         assert sorted(r["id"] for r in first_rows(df, ["id"], n).collect()) == list(range(min(n, 100)))
-    assert nth_value(df, "id", 4) == 4 and nth_value(df, "id", 100) is None
+    assert nth_key(df.select("id"), 5)["id"] == 4 and nth_key(df.select("id"), 101) is None
 
 
 def test_filters_do_not_repeat_computed_columns(spark):

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +100,63 @@ def test_group_folds_are_even(spark):
     assert sorted(again.collect()) == sorted(folds.collect())
 
 
+def class_rows(assigned):
+    rows = assigned.groupBy("fold", "c").count().collect()
+    return {(r["fold"], r["c"]): r["count"] for r in rows}
+
+
+def test_mixed_groups_are_even(spark):
+    """Groups that hold several classes: every class differs by less than the largest group."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        a, b = rng.choice([(60, 40), (55, 45), (90, 10), (30, 30)]), rng.choice("ABC")
+        other = {"A": "B", "B": "C", "C": "A"}[b]
+        rows += [(f"g{g}", b)] * a[0] + [(f"g{g}", other)] * a[1]
+    df = spark.createDataFrame(rows, "g string, c string")
+    assigned = splits.with_folds(df, splits.group_folds(df, "g", "c", 4), "g")
+    assert_whole_groups(assigned, "g")
+    found = class_rows(assigned)
+    for c in "ABC":
+        of_class = [found.get((fold, c), 0) for fold in range(4)]
+        assert max(of_class) - min(of_class) <= 90  # most rows of a class in one group
+
+
+def test_equal_groups_are_dealt_in_rounds(spark):
+    df = spark.range(9000).select((F.col("id") % 300).cast("string").alias("g"), (F.col("id") % 3).alias("c"))
+    found = class_rows(splits.with_folds(df, splits.group_folds(df, "g", "c", 4), "g"))
+    assert all(found.get((fold, c), 0) == 750 for fold in range(4) for c in range(3))
+
+
+def test_light_groups_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PLACED_GROUPS", 10)
+    rows = [(f"g{g}", f"c{g % 3}") for g in range(120) for _ in range(1 + g % 17)] + [(None, "c1")] * 5 + [("n", None)] * 3
+    df = spark.createDataFrame(rows, "g string, c string")
+    folds = splits.group_folds(df, "g", "c", 4)
+    assert folds.count() == 122 and folds.select("g").distinct().count() == 122
+    assigned = splits.with_folds(df, folds, "g")
+    assert assigned.count() == len(rows)
+    found = class_rows(assigned)
+    for c in ("c0", "c1", "c2"):
+        of_class = [found.get((fold, c), 0) for fold in range(4)]
+        assert max(of_class) - min(of_class) <= 2 * 17
+    assert splits.group_folds(df.limit(0), "g", "c", 4).count() == 0
+
+
+@pytest.mark.parametrize("folds", [2, 3])
+def test_placing_takes_the_least_spread(folds):
+    vectors = np.array([[9, 0], [0, 8], [5, 5], [4, 1], [0, 2]])
+    held, total = np.zeros((folds, 2)), vectors.sum(axis=0)
+    for vector, fold in zip(vectors, splits.place_groups(vectors, folds)):
+        spread = []
+        for i in range(folds):
+            tried = held.copy()
+            tried[i] += vector
+            spread.append((tried / total).var(axis=0).sum())
+        assert spread[fold] <= min(spread) + 1e-12
+        held[fold] += vector
+
+
 def test_fold_sets_invariants(spark, runs):
     table = splitting.fold_table(runs, 4).cache()
     unique = splits.dedupe_keep_last(runs).where("mAP IS NOT NULL")
