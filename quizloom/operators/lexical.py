@@ -21,7 +21,7 @@ from quizloom import constants as K
 from quizloom.functions import text as T
 from quizloom.operators import blocks as B
 from quizloom.operators.postings import Postings
-from quizloom.runtime import dense_row_id, materialise, nth_value
+from quizloom.runtime import dense_row_id, materialise, nth_key
 
 # ---------------------------------------------------------------- single steps
 
@@ -509,7 +509,7 @@ def lexical_scores(
             ids = sparse.select("passage_id")
             n_all = ids.count()
         if idf_sample is not None and n_all > idf_sample and threshold is None:
-            threshold = nth_value(ids, "passage_id", idf_sample - 1)
+            threshold = nth_key(ids.select("passage_id"), idf_sample)["passage_id"]
         sample = sparse if threshold is None else sparse.where(F.col("passage_id") <= threshold)
         counted = (
             sample.select(F.explode("terms").alias("term"))
@@ -561,13 +561,6 @@ def lexical_topk(
     found = lexical_scores(queries, passages, k=k, **options)
     if not fill_to_k:
         found = found.where(F.col("score_key") < 0)
-    elif options.get("index") is not None:
-        # An index gives the passages that hold a word of the queries. Among the k first ids are
-        # enough others to fill a list.
-        first = [r["passage_id"] for r in options["index"].passages.orderBy("passage_id").limit(k).collect()]
-        listed = F.array(*map(F.lit, first)).cast("array<bigint>")
-        others = queries.select("query_id", F.explode(listed).alias("passage_id")).withColumn("score_key", F.lit(0).cast("long"))
-        found = found.unionByName(others).groupBy("query_id", "passage_id").agg(F.min("score_key").alias("score_key"))
     best = B.merge_ranked(found, ["query_id"], ["score_key", "passage_id"], k)
     return _as_scores(best).select("query_id", "rank", "score", "passage_id")
 

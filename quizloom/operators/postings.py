@@ -1,11 +1,12 @@
 """An inverted index of passages: where every word stands, written once and read by word.
 
 Passages are tokenised once. Some thousand of them, in the order in which they are read, make a
-block, and a row of the index is a word in a block: the passages that hold it, how often, and
-the places of the word among the passage's words without stop words. Word pairs are not stored,
-as places that follow one another tell them. The rows lie in folders by the hash of the word,
-sorted by word, so a search reads the folders of its words, keeps their rows, and brings the
-rows of a block together; texts are not read again.
+block, and a row of the index is a word in a block: the word's places, counted through the words
+of all its passages without stop words, as steps from one to the next. A further row of the block
+holds its passages' ids and first places. Word pairs are not stored, as places that follow
+one another in a passage tell them. The rows lie in folders by the hash of the word, sorted by word, so
+a search reads the folders of its words, keeps their rows, and brings the rows of a block
+together; texts are not read again.
 
 Defined results: a null text has no words; ids tell passages apart; copies are passages of their
 own. A block ends at ``BLOCK_TOKENS`` words or ``BLOCK_PASSAGES`` passages; a longer passage is a
@@ -14,6 +15,7 @@ block of its own.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,24 +27,25 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
 
-BLOCK_PASSAGES = 2048
-BLOCK_TOKENS = 1 << 19
+BLOCK_PASSAGES = 8192
+BLOCK_TOKENS = 1 << 20
 FOLDERS = 64
+_BLOCK_FOLDER = -1  # of the rows of ids
 # Words of a search that are sent to the tasks; more are joined by a shuffle. The rows are the same.
 SENT_BYTES = 8 << 20
 
-_ROWS = "word string, block string, n long, ids binary, counts binary, places binary"
+_ROWS = "word string, block long, ids binary, steps binary"
 
 
 def _folder(word: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(folders)).cast("int")
 
 
-def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+def _blocks(lengths: np.ndarray, most_passages: int, most_tokens: int) -> Iterator[tuple[int, int]]:
     """Runs of passages that make a block."""
     first, tokens = 0, 0
     for i, length in enumerate(lengths.tolist()):
-        if i > first and (tokens + length > BLOCK_TOKENS or i - first >= BLOCK_PASSAGES):
+        if i > first and (tokens + length > most_tokens or i - first >= most_passages):
             yield first, i
             first, tokens = i, 0
         tokens += length
@@ -50,42 +53,39 @@ def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(lengths)
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _steps(places: np.ndarray) -> bytes:
+    return np.diff(places, prepend=0).astype("<i4").tobytes()
+
+
+def _places(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, "<i4"), dtype=np.int64)
+
+
+def _invert(
+    batches: Iterator[pa.RecordBatch], most_passages: int, most_tokens: int
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lengths = batch["tokens"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        for first, last in _blocks(lengths):
+        lengths = batch["tokens"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, last in _blocks(lengths, most_passages, most_tokens):
             block = batch.slice(first, last - first)
             size = lengths[first:last]
-            passage = np.repeat(np.arange(last - first), size)
-            place = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size)
             words = block["tokens"].flatten().dictionary_encode()
             code = words.indices.to_numpy()
-            order = np.lexsort((place, passage, code))
-            code, passage, place = code[order], passage[order], place[order]
-            start = np.ones(len(code), bool)  # first place of a word in a passage
-            start[1:] = (np.diff(code) != 0) | (np.diff(passage) != 0)
-            starts = np.flatnonzero(start)
-            counts = np.diff([*starts, len(code)]).astype("<i4")
-            ids = block["passage_id"].to_numpy()[passage[starts]].astype("<i8")
-            heads = np.flatnonzero(np.diff(code[starts], prepend=-1))  # first passage of a word
-            ends = [*heads[1:].tolist(), len(starts)]
-            marks = [*starts.tolist(), len(code)]
-            places = place.astype("<i4")
-            name = uuid.uuid4().hex
-            heads = heads.tolist()
+            place = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary))).tolist()
+            ids = block["passage_id"].to_numpy().astype("<i8").tobytes()
+            steps = [_steps(place[a:b]) for a, b in zip([0, *ends], ends)]
+            steps.append(_steps(np.cumsum(size) - size))
+            name = uuid.uuid4().int >> 65
             yield pa.RecordBatch.from_arrays([
-                words.dictionary, pa.array([name] * len(words.dictionary)),
-                pa.array([marks[b] - marks[a] for a, b in zip(heads, ends)], pa.int64()),
-                pa.array([ids[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-                pa.array([counts[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-                pa.array([places[marks[a]:marks[b]].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-            ], names=["word", "block", "n", "ids", "counts", "places"])
+                pa.array([*words.dictionary.to_pylist(), None], pa.string()), pa.array([name] * len(steps), pa.int64()),
+                pa.array([None] * (len(steps) - 1) + [ids], pa.binary()), pa.array(steps, pa.binary()),
+            ], names=["word", "block", "ids", "steps"])
 
 
 @dataclass(frozen=True)
 class Postings:
-    """A stored index: ``rows`` (word, block, n, ids, counts, places, folder) and ``passages``
-    (passage_id)."""
+    """A stored index: ``rows`` (word, block, ids, steps, folder) and ``passages`` (passage_id)."""
 
     rows: DataFrame
     passages: DataFrame
@@ -101,28 +101,29 @@ class Postings:
         folders = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string())})).select(
             _folder(F.col("word"), self.folders).alias("folder")).distinct().collect()
         read = self.rows.where(F.col("folder").isin(*sorted(r["folder"] for r in folders)))
-        return read.join(listed, "word").drop("word", "folder")
+        return read.join(listed, "word").select("block", "code", "ids", "steps")
 
     def sparse_rows(self, words: list[str], pairs: np.ndarray) -> DataFrame:
-        """(passage_id, terms, tfs) of the passages that hold a word of the list: the numbers of
-        words, and behind them of ``pairs`` (first number * number of words + second, ascending),
-        and how often each occurs."""
+        """(passage_id, terms, tfs) of all passages: the numbers of the words of the list that they
+        hold, and behind them of ``pairs`` (first number * number of words + second, ascending), and
+        how often each occurs."""
         shared = self.rows.sparkSession.sparkContext.broadcast(pairs)
         n_words = len(words)
 
         def of_block(table: pa.Table) -> pa.Table:
-            def joined(name: str, kind: str) -> np.ndarray:
-                return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-            ids, counts, places = joined("ids", "<i8"), joined("counts", "<i4"), joined("places", "<i4")
-            passages = np.array([len(x.as_buffer()) // 8 for x in table["ids"]], np.int64)
-            code = np.repeat(np.repeat(table["code"].to_numpy(), passages), counts).astype(np.int64)
-            known, row = np.unique(ids, return_inverse=True)
-            row = np.repeat(row, counts)
-            order = np.lexsort((places, row))
-            return _sparse(known, row[order], places[order], code[order], n_words, shared.value)
-
-        return self.of_words(words).groupBy("block").applyInArrow(
+            table = table.sort_by("code")  # the row of ids comes first
+            ids = np.frombuffer(table["ids"][0].as_py(), "<i8")
+            listed = [_places(x) for x in table["steps"].to_pylist()]
+            starts, found = listed[0], listed[1:]
+            code = np.repeat(table["code"].to_numpy()[1:], [len(x) for x in found]).astype(np.int64)
+            place = np.concatenate([np.zeros(0, np.int64), *found])
+            order = np.argsort(place)
+            place, code = place[order], code[order]
+            row = np.searchsorted(starts, place, "right") - 1  # passages without words end where they start
+            return _sparse(ids, row, place, code, n_words, shared.value)
+
+        whole = self.rows.where(F.col("folder") == _BLOCK_FOLDER).select("block", F.lit(-1).alias("code"), "ids", "steps")
+        return self.of_words(words).unionByName(whole).groupBy("block").applyInArrow(
             of_block, "passage_id long, terms array<int>, tfs array<int>")
 
 
@@ -152,7 +153,9 @@ def write(passages: DataFrame, path: str, folders: int = FOLDERS) -> None:
         F.col("passage_id").cast("long").alias("passage_id"),
         T.drop_stop_words(T.tokenise(T.scoring_text(F.col("text")))).alias("tokens"),
     )
-    rows = tokens.mapInArrow(_invert, _ROWS).withColumn("folder", _folder(F.col("word"), folders))
+    folder = F.coalesce(F.when(F.col("word").isNotNull(), _folder(F.col("word"), folders)), F.lit(_BLOCK_FOLDER))
+    sizes = {"most_passages": BLOCK_PASSAGES, "most_tokens": BLOCK_TOKENS}
+    rows = tokens.mapInArrow(functools.partial(_invert, **sizes), _ROWS).withColumn("folder", folder)
     placed = rows.hint("rebalance", "folder").sortWithinPartitions("folder", "word")
     placed.write.partitionBy("folder").parquet(f"{path}/rows")
     passages.select(F.col("passage_id").cast("long").alias("passage_id")).write.parquet(f"{path}/passages")

@@ -116,20 +116,25 @@ def test_index_holds_every_place(spark, new_path, monkeypatch):
     schema = "passage_id long, text string"
     postings.write(spark.createDataFrame(list(texts.items()), schema).coalesce(1), new_path("index"), folders=3)
     index = postings.read(spark, new_path("index"), folders=3)
-    got = Counter()
-    for row in index.rows.collect():
-        ids, counts, places = (np.frombuffer(row[c], k) for c, k in (("ids", "<i8"), ("counts", "<i4"), ("places", "<i4")))
-        assert row["n"] == len(places) == counts.sum()
-        got.update(zip(np.repeat(ids, counts).tolist(), places.tolist(), [row["word"]] * len(places)))
+    got, rows = Counter(), index.rows.collect()
+    blocks_ = {r["block"]: (np.frombuffer(r["ids"], "<i8"), postings._places(r["steps"])) for r in rows if r["word"] is None}
+    for row in rows:
+        if row["word"] is not None:
+            ids, starts = blocks_[row["block"]]
+            places = postings._places(row["steps"])
+            own = np.searchsorted(starts, places, "right") - 1
+            got.update(zip(ids[own].tolist(), (places - starts[own]).tolist(), [row["word"]] * len(places)))
+    assert len(blocks_) > 1 and sorted(np.concatenate([i for i, _ in blocks_.values()]).tolist()) == sorted(texts)
     assert got == Counter([(1, 0, "w1"), (1, 1, "w2"), (1, 2, "w1"), *((4, i, "w2") for i in range(50)), (5, 0, "w2"), (6, 0, "w2")])
     assert index.passages.count() == 6
     # Only rows of the words asked for are read, from their folders.
     read = index.of_words(["w1", "w9"])
-    assert read.agg(F.sum("n")).first()[0] == 2 and read.select("code").distinct().collect() == [(0,)]
+    assert read.agg(F.sum(F.octet_length("steps"))).first()[0] == 8 and read.select("code").distinct().collect() == [(0,)]
     assert "PartitionFilters: [folder" in read._jdf.queryExecution().executedPlan().toString()
     sparse = index.sparse_rows(["w1", "w2"], np.array([1, 3]))  # w1 w2, and w2 w2
     rows = {r["passage_id"]: (r["terms"], r["tfs"]) for r in sparse.collect()}
-    assert rows == {1: ([0, 1, 2], [2, 1, 1]), 4: ([1, 3], [50, 49]), 5: ([1], [1]), 6: ([1], [1])}
+    none = ([], [])
+    assert rows == {1: ([0, 1, 2], [2, 1, 1]), 2: none, 3: none, 4: ([1, 3], [50, 49]), 5: ([1], [1]), 6: ([1], [1])}
 
 
 def test_empty_index(spark, new_path):
