@@ -26,6 +26,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,30 +109,32 @@ class WordTokenizer:
         return found
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        forms = [c.lower() if c.isascii() else c for c in chunks]
-        heads, tails = [], []
-        for form in forms:
-            tail = _TAIL.search(form) if form[-1:] in (".", ",") else None
-            cut = tail.start() if tail else len(form)
-            heads.append(form[:cut])
-            tails.append(form[cut:])
-        place = {form: i for i, form in enumerate(dict.fromkeys([*heads, *tails]))}
-        words, others = [], []
-        for form in place:
-            plain = form.isalpha() and max(form) < "ɐ" and unicodedata.is_normalized("NFC", form)
-            (words if plain else others).append(form)
-        found = dict(zip(words, self._encode_words(words))) | dict(zip(others, self._encode(others)))
-        ids = [found[form] for form in place]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.array([i for one in ids for i in one], np.int32)
-        chosen = np.array([place[form] for pair in zip(heads, tails) for form in pair], np.int64)
-        taken = sizes[chosen]
-        return gather(flat, (np.cumsum(sizes) - sizes)[chosen], taken), taken.reshape(-1, 2).sum(axis=1)
+        words = [c for c in chunks if c.isascii() and c.isalpha()]
+        found = dict(zip(words, self._encode_words(words)))
+        heads, tails = {}, {}  # of chunks that are no words of plain letters
+        for chunk in chunks:
+            if chunk not in found:
+                tail = _TAIL.search(chunk) if chunk[-1:] in (".", ",") else None
+                cut = tail.start() if tail else len(chunk)
+                heads[chunk], tails[chunk] = chunk[:cut], chunk[cut:]
+        more, others = [], []
+        for form in dict.fromkeys([*heads.values(), *tails.values()]):
+            if form not in found:
+                plain = form.isalpha() and max(form) < "ɐ" and unicodedata.is_normalized("NFC", form)
+                (more if plain else others).append(form)
+        found.update(zip(more, self._encode_words(more)))
+        found.update(zip(others, self._encode(others)))
+        ids = [found[heads[c]] + found[tails[c]] if c in heads else found[c] for c in chunks]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has; null texts have none."""
         if self.by_blanks:
-            return ids_of_column(pc.replace_substring(texts, "\n", " "), self._table)
+            # Fewer different parts: lower case where no mark may join a letter and no special token is
+            # meant, and a blank before a run of full stops or commas that ends a part.
+            other = pc.match_substring_regex(texts, r"\p{M}|<\|")
+            low = pc.replace_substring(pc.if_else(other, texts, pc.ascii_lower(texts)), "\n", " ")
+            return ids_of_column(pc.replace_substring_regex(low, r"([A-Za-z0-9])([.,]+)( |$)", r"\1 \2\3"), self._table)
         found = self._encode([t.as_py() or "" for t in texts])
         return np.array([i for one in found for i in one], np.int32), np.array(list(map(len, found)), np.int64)
 

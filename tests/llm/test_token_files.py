@@ -22,7 +22,7 @@ def test_random_texts_as_the_library(library, monkeypatch):
     own = token_files.WordTokenizer(PATH)
     rng = random.Random(8)
     letters = ["Word", "über", "Été.", "it's", "I'LL,", "3.14", "x2", " ", "\n", "\t", "...", "%$", "é", "J̌",
-             "ǅ", "ΣΑΣ", "漢字", "🙂", "<|endoftext|>", "foo,", "\x1c", " ", "²", "'", "a.b", "KK"]
+             "ǅ", "ΣΑΣ", "漢字", "🙂", "<|endoftext|>", "<|EndOfText|>", "foo,", "\x1c", " ", "²", "'", "a.b", "KK"]
     texts = ["".join(rng.choice(["", " "]) + rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
     for text in texts:
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
