@@ -51,12 +51,17 @@ def test_ratios_match_a_plain_count(spark):
     total = [sum(c.values()) for c in count]
     spread = sum(types.values()) + 0.5 * (1 << toxicity.STEM_BITS)
 
+    alone = [sum(count[0][w] + count[1][w] == 1 for w in c) for c in count]
+
     def p(c, w):
-        s = w[:4]
+        s, both = w[:4], count[0][w] + count[1][w]
         base = (types[s] + 0.5) / spread
         p_stem = max(stem[c][s] - 0.75, 0) / total[c] + 0.75 * len(stem[c]) / total[c] * base
-        share = (count[0][w] + count[1][w] + 0.5) / (stem[0][s] + stem[1][s] + 0.5)
-        return max(count[c][w] - 0.75, 0) / total[c] + 0.75 * len(count[c]) / total[c] * p_stem * share
+        left = (0.75 * len(count[c]) + 0.25 * alone[c]) / total[c]
+        if both <= 1:  # discounted whole
+            return left * p_stem
+        share = (both + 0.5) / (stem[0][s] + stem[1][s] + 0.5)
+        return max(count[c][w] - 0.75, 0) / total[c] + left * p_stem * share
 
     asked = ["stupid", "stupidest", "day", "fine", "unknown", "fool", "by"]
     got = model.ratios(Words.of([" ".join(asked)]))
@@ -76,6 +81,67 @@ def test_rare_toxic_words_keep_their_evidence_among_many(spark):
     assert toxicity.Model.of(words, 2.0).ratios(Words.of([" ".join(rare)])).min() > 5
 
 
+def expressions(count):
+    """Texts of 60 words in which "alpha beta" is toxic, and the same words apart are not."""
+    rng, words = np.random.default_rng(1), np.array([f"w{i}" for i in range(400)])
+    for i in range(count):
+        own = words[rng.integers(0, 400, 58)].tolist()
+        if i % 2:
+            at = rng.integers(0, 58)
+            own[at:at] = ["alpha", "beta"]
+        else:
+            first, second = sorted(rng.choice(58, 2, replace=False).tolist())
+            own.insert(first, "beta")
+            own.insert(second + 3, "alpha")
+        yield i, " ".join(own), i % 2
+
+
+def test_a_toxic_expression_of_plain_words(spark):
+    df = spark.createDataFrame(list(expressions(4000)), "doc_id long, text string, y int").repartition(8)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(df.where(~held), "text", F.col("y"))
+    got = toxicity.add_score(df.where(held), model).collect()
+    toxic, plain = (np.array([r.score for r in got if r.y == y]) for y in (1, 0))
+    assert (toxic[:, None] > plain).mean() >= 0.95
+
+
+def test_pairs_match_a_plain_count(spark):
+    rows = [("you are bad you are bad", 1), ("are you bad", 0), ("you are", 0), ("bad you", None), (None, 0), ("a b a b a b", 0)]
+    df = spark.createDataFrame(rows, "text string, y int").where("y is not null")
+    ratios = toxicity.Ratios.of(toxicity.materialise(toxicity.count_words(df, "text", F.col("y"))))
+    counts = [Counter(), Counter()]
+    for text, y in rows:
+        if y is not None:
+            own = words(text)
+            counts[1 - y].update(zip(own, own[1:]))
+    for most in (100, 0):
+        model = toxicity.Model.held(ratios, 2.0, most)[0]
+        shared = spark.sparkContext.broadcast(model)
+        pairs = toxicity.count_pairs(df, "text", F.col("y"), shared, ratios.words)
+        got = Counter((r.toxic, r.ordinary, r.n) for r in pairs.collect())
+        both = set(counts[0]) | set(counts[1])
+        listed = [(counts[0][p], counts[1][p]) for p in both]
+        assert got == Counter((t, o, t + o) for t, o in listed if t + o > 1)
+        held = toxicity.Model.held(ratios, 2.0, 100)[0]
+        added = {r.hash: r.ratio for r in ratios.of_pairs(pairs, -1e9).collect()}
+        odds = ratios.toxic / ratios.ordinary
+        for (a, b), t, o in [(p, counts[0][p], counts[1][p]) for p in both if counts[0][p] + counts[1][p] > 1]:
+            found = Words.of([f"{a} {b}"])
+            key = toxicity._pair_hashes(found.hashes(), np.zeros(2, int))[0].view(np.int64)[0]
+            r = np.rint(held.ratios(found)[1] * 64) / 64
+            back, q = 0.75 * ((t > 0) + (o > 0)), math.exp(r) * odds / (1 + math.exp(r) * odds)
+            expected = math.log((max(t - 0.75, 0) + back * q) / ratios.toxic) - math.log(
+                (max(o - 0.75, 0) + back * (1 - q)) / ratios.ordinary) - r
+            assert added[key] == pytest.approx(expected, abs=1e-4)
+
+
+def test_filter_holds_its_keys(spark):
+    rng = np.random.default_rng(2)
+    keys, others = (rng.integers(-2**63, 2**63 - 1, 50_000) for _ in range(2))
+    made = toxicity.Filter.of(spark.createDataFrame([(int(k),) for k in keys], "hash long"), "hash")
+    assert made.may_hold(keys.view(np.uint64)).all() and made.may_hold(others.view(np.uint64)).mean() < 0.1
+
+
 @pytest.mark.parametrize("hot_rows", [0, 3, 40])
 def test_words_that_are_not_held_are_joined(spark, hot_rows):
     rng = np.random.default_rng(4)
@@ -84,12 +150,15 @@ def test_words_that_are_not_held_are_joined(spark, hot_rows):
     for i in range(300):
         toxic = int(i % 3 == 0)
         own = vocabulary[rng.integers(0, 75, 12) + 60 * toxic]
-        rows.append((i, " ".join([*own, f"only{i}", f"un{i}seen"]), toxic))
+        rows.append((i, " ".join([*own, *["so", "bad"][:2 * toxic], "bad" if i % 2 else "so", f"only{i}", f"un{i}seen"]), toxic))
     rows += [(900 + i, rows[7][1], 0) for i in range(40)] + [(990, None, 1), (991, "", 0), (992, "unheard zzz", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    expected = {r.doc_id: r.score for r in toxicity.add_score(df, toxicity.fit(df, "text", F.col("y"))).collect()}
-    model = toxicity.fit(df, "text", F.col("y"), hot_rows=hot_rows)
-    assert not model.shared.value.whole and len(model.shared.value.words) <= hot_rows
+    whole = toxicity.fit(df, "text", F.col("y"), pair_margin=0.1)
+    expected = {r.doc_id: r.score for r in toxicity.add_score(df, whole).collect()}
+    assert whole.shared.value.whole and len(whole.shared.value.pairs) > 40
+    model = toxicity.fit(df, "text", F.col("y"), pair_margin=0.1, hot_rows=hot_rows)
+    held = model.shared.value
+    assert not held.whole and len(held.words) <= hot_rows and len(held.pairs) <= hot_rows and held.pair_filter
     for most in (0, 1000):
         got = toxicity.add_score(df, model, broadcast_rows=most).collect()
         assert len(got) == len(rows)
