@@ -23,7 +23,7 @@ MAX_BLOCK_ROWS = 50_000
 MAX_BLOCK_VALUES = 16_000_000
 MAX_BLOCK_TERMS = 4_000_000
 # Cells of one dense score block inside a task.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 # Groups of tasks whose results are merged before all are.
 MERGE_GROUPS = 256
 # Entries of running results a task may hold before it hands them on.

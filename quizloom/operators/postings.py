@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
 
-BLOCK_PASSAGES = 8192
-BLOCK_TOKENS = 1 << 20
+BLOCK_PASSAGES = 4096
+BLOCK_TOKENS = 1 << 19
 FOLDERS = 64
 _BLOCK_FOLDER = -1  # of the rows of ids
 # Words of a search that are sent to the tasks; more are joined by a shuffle. The rows are the same.
@@ -85,12 +85,22 @@ def _invert(
 
 @dataclass(frozen=True)
 class Postings:
-    """A stored index: ``rows`` (word, block, ids, steps, folder) and ``passages`` (passage_id)."""
+    """A stored index: ``rows`` (word, block, ids, steps, folder)."""
 
     rows: DataFrame
-    passages: DataFrame
     folders: int
 
+    @property
+    def passages(self) -> DataFrame:
+        """(passage_id) of all passages, from the blocks' rows of ids."""
+
+        def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch["ids"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row.as_py(), "<i8"))], names=["passage_id"])
+
+        return self.rows.where(F.col("folder") == _BLOCK_FOLDER).select("ids").mapInArrow(ids, "passage_id long")
+
     def of_words(self, words: list[str]) -> DataFrame:
         """The rows of the given words, with ``code``, a word's number in the list."""
         spark = self.rows.sparkSession
@@ -157,10 +167,8 @@ def write(passages: DataFrame, path: str, folders: int = FOLDERS) -> None:
     sizes = {"most_passages": BLOCK_PASSAGES, "most_tokens": BLOCK_TOKENS}
     rows = tokens.mapInArrow(functools.partial(_invert, **sizes), _ROWS).withColumn("folder", folder)
     placed = rows.hint("rebalance", "folder").sortWithinPartitions("folder", "word")
-    placed.write.partitionBy("folder").parquet(f"{path}/rows")
-    passages.select(F.col("passage_id").cast("long").alias("passage_id")).write.parquet(f"{path}/passages")
+    placed.write.partitionBy("folder").parquet(path)
 
 
 def read(spark: SparkSession, path: str, folders: int = FOLDERS) -> Postings:
-    rows = spark.read.schema(f"{_ROWS}, folder int").parquet(f"{path}/rows")
-    return Postings(rows, spark.read.schema("passage_id long").parquet(f"{path}/passages"), folders)
+    return Postings(spark.read.schema(f"{_ROWS}, folder int").parquet(path), folders)
