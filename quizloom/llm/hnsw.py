@@ -7,7 +7,8 @@ shards' best.
 
 Equal vectors are one node, so that a vector that a third of the rows share is neither a shard of
 its own nor a graph of zero distances; results name the rows of a node by way of a membership
-table, of which a search for k needs the k + 1 smallest ids a node.
+table, of which a search for k needs the k + 1 smallest ids a node. Nodes all of whose rows have
+the query's own id are no candidates; where they crowd out others, a walk is repeated wider.
 
 Defined results: a vector that is null, empty, zero, or has a null or non-finite component takes
 no part, nor does a row with a null id. Distances are Euclidean, between vectors of equal length
@@ -37,7 +38,7 @@ SHARD_ROWS = 4096
 QUERY_BLOCK = 20_000
 
 INDEX_SCHEMA = (
-    "shard string, dim int, h1 array<long>, h2 array<long>, least array<long>, vectors binary, "
+    "shard string, dim int, h1 array<long>, h2 array<long>, least array<long>, most array<long>, vectors binary, "
     "layers array<struct<nodes: binary, neighbours: binary, width: int>>"
 )
 HIT_SCHEMA = "query_id long, h1 long, h2 long, least long, distance double"
@@ -187,7 +188,7 @@ def valid_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per shard graph (see ``INDEX_SCHEMA``). Write it as a table once, and read that."""
-    nodes = rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("v").alias("v"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("v").alias("v"))
     shards = max(1, math.ceil(rows.select("h1", "h2").distinct().count() / shard_rows))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +198,9 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             own = waiting.pop(dim)
             vectors = np.array([v for *_, v in own])
             graph = build(vectors)
-            h1, h2, least = zip(*(r[:3] for r in own))
+            h1, h2, least, most = zip(*(r[:4] for r in own))
             return pa.RecordBatch.from_pylist([{
-                "shard": f"{dim}-{h1[0]}-{h2[0]}", "dim": dim, "h1": h1, "h2": h2, "least": least,
+                "shard": f"{dim}-{h1[0]}-{h2[0]}", "dim": dim, "h1": h1, "h2": h2, "least": least, "most": most,
                 "vectors": vectors.tobytes(),
                 "layers": [{
                     "nodes": x.nodes.tobytes(), "neighbours": x.neighbours.tobytes(),
@@ -208,21 +209,21 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             }], _INDEX_ARROW)
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "least", "v"))):
-                own = waiting.setdefault(len(row[3]), [])
+            for row in zip(*(batch[c].to_pylist() for c in ("h1", "h2", "least", "most", "v"))):
+                own = waiting.setdefault(len(row[4]), [])
                 own.append(row)
                 if len(own) >= 2 * shard_rows:
-                    yield close(len(row[3]))
+                    yield close(len(row[4]))
         for dim in list(waiting):
             yield close(dim)
 
     dealt = nodes.repartition(shards, "h1", "h2").sortWithinPartitions("h1", "h2")
-    return dealt.select("h1", "h2", "least", "v").mapInArrow(index, INDEX_SCHEMA)
+    return dealt.select("h1", "h2", "least", "most", "v").mapInArrow(index, INDEX_SCHEMA)
 
 
 _INDEX_ARROW = pa.schema([
     ("shard", pa.string()), ("dim", pa.int32()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())),
-    ("least", pa.list_(pa.int64())), ("vectors", pa.binary()),
+    ("least", pa.list_(pa.int64())), ("most", pa.list_(pa.int64())), ("vectors", pa.binary()),
     ("layers", pa.list_(pa.struct([("nodes", pa.binary()), ("neighbours", pa.binary()), ("width", pa.int32())]))),
 ])
 
@@ -243,12 +244,18 @@ def _search_block(index: DataFrame, ids: list[int], vectors: list[list[float]],
         for batch in batches:
             for row in batch.to_pylist():
                 graph = load(row)
-                h1, h2, least = (np.array(row[c], np.int64) for c in ("h1", "h2", "least"))
+                h1, h2, least, most = (np.array(row[c], np.int64) for c in ("h1", "h2", "least", "most"))
                 hits = []
                 for own, query in zip(*asked.value):
                     if len(query) != row["dim"]:
                         continue
-                    nodes = np.array(graph.nearest(query, max(width, k)))
+                    nodes, wide = np.zeros(0, np.int64), max(width, k)
+                    while wide:
+                        nodes = np.array(graph.nearest(query, wide))
+                        more = len(nodes) == wide < len(least)
+                        # Nodes that are all the query's own are no candidates.
+                        nodes = nodes[(least[nodes] != own) | (most[nodes] != own)]
+                        wide = 2 * wide if more and len(nodes) < k else 0
                     far = np.sqrt(((graph.vectors[nodes] - query) ** 2).sum(axis=1))
                     best = np.lexsort((least[nodes], far))[:k]
                     hits.append((np.full(len(best), own), nodes[best], far[best]))
@@ -281,9 +288,9 @@ def search(
     are as of ``valid_rows``; queries go to the tasks in blocks, each a pass over the index."""
     found = spark.createDataFrame([], HIT_SCHEMA)
     for ids, vectors in query_blocks(queries, block):
-        found = found.unionByName(_search_block(index, ids, vectors, k + 1, width))
+        found = found.unionByName(_search_block(index, ids, vectors, k, width))
     nearest = Window.partitionBy("query_id").orderBy("distance", "least", "h1", "h2")
-    best = found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1)
+    best = found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k)
     ids = Window.partitionBy("h1", "h2").orderBy("id")
     members = rows.select("h1", "h2", "id").distinct().withColumn("_n", F.row_number().over(ids))
     members = members.where(F.col("_n") <= k + 1).drop("_n")

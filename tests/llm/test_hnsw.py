@@ -30,7 +30,8 @@ def test_rows_with_copies_and_faults(spark, new_path):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(60, 4)).round(3).tolist()
     rows = [(i, v) for i, v in enumerate(vectors)]
-    rows += [(200 + i, vectors[5]) for i in range(80)] + [(7, vectors[7]), (7, vectors[8]), (400, [-0.0, 1.0, 0.0, 0.0]),
+    rows += [(200 + i, vectors[5]) for i in range(80)] + [(7, vectors[7]), (7, vectors[8]),
+             *[(30, (np.array(vectors[30]) + 0.001 * i).tolist()) for i in range(25)], (400, [-0.0, 1.0, 0.0, 0.0]),
              (401, [0.0, 1.0, 0.0, 0.0]), (500, [1.0, 2.0]), (600, [1.0, 2.5])]
     bad = [(None, vectors[3]), (701, None), (702, []), (703, [0.0] * 4), (704, [1.0, None, 1.0, 1.0]),
            (800, [float("nan"), 1.0, 1.0, 1.0]), (900, [float("inf"), 1.0, 1.0, 1.0])]
@@ -42,12 +43,13 @@ def test_rows_with_copies_and_faults(spark, new_path):
     assert index.count() > 3
     asked_ids = [0, 5, 30, 200, 279, 400, 500]
     asked = valid.where(valid["id"].isin(asked_ids + [800]))
-    for block in (100, 2):
-        got = hnsw.search(spark, index, valid, asked, 10, block=block).collect()
+    for block, width in ((100, hnsw.SEARCH_WIDTH), (2, 3)):
+        got = hnsw.search(spark, index, valid, asked, 10, block=block, width=max(width, 10)).collect()
         found = {}
         for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
             found.setdefault(r.query_id, []).append((r.distance, r.id))
-        expected = brute(rows, [(i, np.array(dict(rows)[i])) for i in asked_ids], 10)
+        # Of several vectors of an id the least one asks.
+        expected = brute(rows, [(i, np.array(min(v for j, v in rows if j == i))) for i in asked_ids], 10)
         assert found.keys() == expected.keys()
         for own, pairs in expected.items():
             assert [i for _, i in found[own]] == [i for _, i in pairs], own
