@@ -44,11 +44,8 @@ TOKEN_PATTERN = (
 DENSE_K = 15
 DENSE_KEEP = 14
 NPROBE = 30
-QUERY_CHUNK = 800
-IDF_SAMPLE = 500_000
 LEXICAL_K = 10
 ENCODE_BATCH = 620_000
-MAX_PASSAGES = 9_999_999
 
 # Token budgets of the pair builder, and rows per training batch.
 TRAIN_TOKENS = 1280

@@ -44,14 +44,15 @@ def category_pages(
 
     Breadth first: the categories of one level are joined with the edges, those already
     visited are left out, so cycles end. Each level is written to the shared folder, which
-    keeps plans short and survives lost executors. Only categories travel from level to
-    level; while there are few enough they are sent out and the edges stay in place.
+    keeps plans short and survives lost executors. Edges are prepared and written once; only
+    categories travel from level to level.
     ``max_depth=1`` gives the roots' own pages.
     """
     spark = edges.sparkSession
     edges = split_members(
         edges.select(plain_name(F.col("parent")).alias("parent"), "child"), "child", excluded
     ).where(F.col("kind") != "excluded")
+    edges = materialise(edges)
     start = [(label, root.replace("_", " ")) for label, names in roots.items() for root in names]
     frontier = spark.createDataFrame(start, "stem_label string, node string")
     visited = frontier

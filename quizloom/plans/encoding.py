@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom import constants as K
@@ -40,3 +41,48 @@ def encode_passages(
 ) -> DataFrame:
     """(shard, row_no, passage_id, v) of unit length. ``encode`` turns ``text`` into ``v``."""
     return dense.normalise(encode(passages.select("shard", "row_no", "passage_id", "text")))
+
+
+MANIFEST_SCHEMA = "shard int, name string, rows long"
+
+
+def _finished(spark: SparkSession, folder: str) -> DataFrame:
+    """The listed batches; of a shard listed twice, by two runs at a time, one counts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    listed = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest")
+    return listed.groupBy("shard").agg(F.min_by("name", "name").alias("name"), F.min_by("rows", "name").alias("rows"))
+
+
+def encode_batches(
+    passages: DataFrame, encode: Callable[[DataFrame], DataFrame], folder: str, most: int | None = None
+) -> list[int]:
+    """Encodes the shards of ``number_passages`` that ``folder`` does not list yet, one after the
+    other and ``most`` of them at most, and returns their numbers.
+
+    A shard is written under a fresh name and listed when it is whole; what a run that was stopped
+    left behind is not listed and not read. Read ``passages`` from a table stored by shard, so
+    that a batch reads its own texts.
+    """
+    spark = passages.sparkSession
+    done = {r["shard"] for r in _finished(spark, folder).select("shard").collect()}
+    every = sorted(r["shard"] for r in passages.select("shard").distinct().collect())
+    pending = [shard for shard in every if shard not in done][:most]
+    for shard in pending:
+        name = uuid.uuid4().hex
+        path = f"{folder}/vectors/{name}"
+        encode_passages(passages.where(F.col("shard") == shard), encode).write.parquet(path)
+        rows = spark.read.parquet(path).count()
+        listed = spark.createDataFrame([(shard, name, rows)], MANIFEST_SCHEMA)
+        listed.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return pending
+
+
+def read_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, row_no, passage_id, v) of the listed shards."""
+    names = [r["name"] for r in _finished(spark, folder).orderBy("shard").collect()]
+    schema = "shard int, row_no long, passage_id long, v array<double>"
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/vectors/{name}" for name in names])

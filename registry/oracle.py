@@ -486,6 +486,10 @@ def oracle_sql() -> dict[str, str]:
         "ivf_topk": _w(probed, "SELECT shard, query_id, passage_id, distance, rank FROM near"),
         "ivf_stored_topk": _w(probed,
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),
+        "encoded_passages": _w(f"""numbered AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS passage_id, text
+            FROM documents), {_encoded('pv', 'numbered', 'passage_id', 'passage_id')}""",
+            """SELECT (passage_id // 300)::INT AS shard, passage_id % 300 AS row_no, passage_id,
+            round(v[1], 6) AS v0, round(v[22], 6) AS v21, round(v[43], 6) AS v42, round(v[64], 6) AS v63 FROM pv"""),
         "cell_topk_exact": _w(VECTORS + f""",
             {_nearest('query_vectors', 'shard_vectors')}""",
             "SELECT shard, query_id, passage_id, distance, rank FROM near"),

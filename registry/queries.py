@@ -14,7 +14,7 @@ from quizloom.operators import (
     cells, dense, evaluation, generation, lexical, postings, prep, splits,
 )
 from quizloom.plans import questions as question_plan
-from quizloom.plans import retrieval, training
+from quizloom.plans import encoding, retrieval, training
 from quizloom.runtime import dense_row_id as number_rows
 from quizloom.runtime import first_rows, materialise, scratch_path
 from quizloom.sources import readers, writers
@@ -370,6 +370,23 @@ def ivf_stored_topk(spark, sf_dir):
     return cells.search(X.query_vectors(spark, sf_dir), cells.read(spark, path), cells.given(rows, centres))
 
 
+ENCODED_ROWS = 300
+
+
+@query
+def encoded_passages(spark, sf_dir):
+    """Vectors of all documents, encoded in batches by two runs, the first of which ends early."""
+    folder = scratch_path(spark, "encoded")
+    texts = X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    numbered = encoding.number_passages(texts, ["doc_id"], batch_rows=ENCODED_ROWS)
+    writers.write_shards(numbered, f"{folder}/texts")
+    passages = spark.read.parquet(f"{folder}/texts")
+    for most in (2, None):
+        encoding.encode_batches(passages, X.encode_hashed, folder, most)
+    components = [F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 21, 42, 63)]
+    return encoding.read_encoded(spark, folder).select("shard", "row_no", "passage_id", *components)
+
+
 def _learnt_cells(spark, rows, cell_rows):
     """Stored blocks and cells learnt from the rows."""
     placed, found = cells.learn(rows, cell_rows)
@@ -653,8 +670,8 @@ def train_val_split(spark, sf_dir):
 
 @query
 def target_size_sample(spark, sf_dir):
-    rows = X.eval_runs(spark, sf_dir).select("row_no", "answer")
     """The size that goes with 100 validation rows at the published ratio."""
+    rows = X.eval_runs(spark, sf_dir).select("row_no", "answer")
     return splits.seeded_sample(rows, splits.training_size(100), "row_no", seed=11)
 
 

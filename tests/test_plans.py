@@ -73,3 +73,30 @@ def test_passages_are_numbered_capped_and_encoded(spark):
     assert {(r["passage_id"], r["text"]) for r in aligned.collect()} == {
         (r["passage_id"], r["text"]) for r in rows
     }
+
+
+def test_encoding_resumes(spark, new_path):
+    """No batch runs twice, and what a stopped run left behind is not read."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(23)], "doc_id long, text string")
+    passages = encoding.number_passages(texts, ["doc_id"], batch_rows=5)
+    ran = []
+
+    def encode(df):
+        ran.append(sorted(r["shard"] for r in df.select("shard").distinct().collect()))
+        return df.withColumn("v", F.array(F.length("text").cast("double"), F.lit(2.0)))
+
+    def broken(df):
+        raise RuntimeError("stopped")
+
+    folder = new_path("encoded")
+    assert encoding.read_encoded(spark, folder).count() == 0
+    assert encoding.encode_batches(passages, encode, folder, most=2) == [0, 1]
+    with pytest.raises(RuntimeError):
+        encoding.encode_batches(passages, broken, folder)
+    spark.range(3).selectExpr("9 as shard", "id as row_no", "id as passage_id", "array(1D) as v").write.parquet(f"{folder}/vectors/left")
+    assert encoding.read_encoded(spark, folder).count() == 10
+    assert encoding.encode_batches(passages, encode, folder) == [2, 3, 4]
+    assert encoding.encode_batches(passages, encode, folder) == []
+    assert ran == [[0], [1], [2], [3], [4]]
+    got = encoding.read_encoded(spark, folder).orderBy("passage_id").collect()
+    assert [r["passage_id"] for r in got] == list(range(23)) and all(abs(r["v"][0] ** 2 + r["v"][1] ** 2 - 1) < 1e-9 for r in got)
