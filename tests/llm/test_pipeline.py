@@ -50,7 +50,8 @@ def test_stages_match_brute_force(spark, small, new_path):
     docs, items = small
     folder = new_path("tables")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    frame = spark.createDataFrame(docs, schema).withColumns({"spans": F.lit("own"), "_text_hash": F.lit("own")})
+    own = {"spans": F.lit("own"), "_text_hash": F.lit("own"), "a.b": F.lit("own")}
+    frame = spark.createDataFrame(docs, schema).withColumns(own)
     frame.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(d, 1, int(d % 7 == 0)) for d, *_ in docs]
