@@ -12,7 +12,7 @@ from quizloom.llm import (
     audit, automaton, bpe, decontaminate, hnsw, infill, language_id, secrets, simhash, token_files, toxicity, urls, warc,
 )
 from quizloom.llm.tables import fold, is_fold, table
-from quizloom.runtime import scratch_path
+from quizloom.runtime import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -31,7 +31,7 @@ def queries() -> dict[str, Query]:
 def op4_warc_bundles(spark, sf_dir):
     folder = scratch_path(spark, "warc")
     index = warc.archive(spark, table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
-    records = warc.read_bundles(index, f"{folder}/bundles", with_payload=False)
+    records = materialise(warc.read_bundles(index, f"{folder}/bundles", with_payload=False).drop("url", "payload"))
     return warc.resolve_revisits(records).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

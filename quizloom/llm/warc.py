@@ -31,7 +31,6 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.tables import one_per_task
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -259,23 +258,33 @@ def _as_batch(records: list[dict], with_payload: bool) -> pa.RecordBatch:
 
 
 def read_bundles(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """All records of the indexed bundles, a frame at a time. Lengths and digests of responses
-    are taken from what was read; revisits have those of their header."""
+    """All records of the index, each from its frame and offset there, a frame at a time. Lengths
+    and digests of responses are taken from what was read; revisits have those of their header.
+    A record that is not where the index has it, or is another's, is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, bundle = None, None
         for batch in batches:
-            for name in batch["bundle"].to_pylist():
-                bundle = BundleReader(folder, name)
-                for number in range(len(bundle)):
-                    frame, at, records = bundle.frame(number), 0, []
-                    while at < len(frame):
-                        record, at = parse_record(frame, at)
-                        records.append(record)
-                    yield _as_batch(records, with_payload)
-                bundle.close()
-
-    bundles = one_per_task(index.select("bundle").distinct(), "bundle")
-    return bundles.mapInArrow(read, RECORD_SCHEMA)
+            for row in batch.to_pylist():
+                if row["bundle"] != name:
+                    if bundle:
+                        bundle.close()
+                    name, bundle = row["bundle"], BundleReader(folder, row["bundle"])
+                frame, records = bundle.frame(row["frame"]), []
+                for place in row["places"]:
+                    record, end = parse_record(frame, place["offset"])
+                    if end != place["offset"] + place["length"] or record["id"] != place["id"]:
+                        raise ValueError(f"the index of bundle {name} is wrong")
+                    records.append(record)
+                yield _as_batch(records, with_payload)
+        if bundle:
+            bundle.close()
+
+    # A frame holds about a megabyte of records, so its list of places is short.
+    frames = index.groupBy("bundle", "frame").agg(
+        F.sort_array(F.collect_list(F.struct("offset", "length", "id"))).alias("places"))
+    dealt = frames.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame")
+    return dealt.mapInArrow(read, RECORD_SCHEMA)
 
 
 def read_records(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
