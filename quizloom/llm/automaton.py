@@ -343,17 +343,19 @@ class Codec:
             raise ValueError("not a plain byte-level BPE file")
         for token in read["added_tokens"]:
             odd = token["single_word"] or token["lstrip"] or token["rstrip"]
-            if odd or " " in token["content"] or not token["content"]:
+            if odd or not token["content"] or " " in token["content"] or token["content"][-1] in ".,":
                 raise ValueError(f"special token {token['content']!r} is not supported")
 
-    def begins(self, parts: pa.Array) -> np.ndarray:
-        """A blank before them may be cut off: they begin with neither white space or an unusual
-        character, so that the split pattern parts there, nor a special token."""
-        first = pc.utf8_slice_codeunits(parts, 0, 1).dictionary_encode()
-        plain = np.array([c.isprintable() and c != "" for c in first.dictionary.to_pylist()], bool)
-        found = plain[first.indices.to_numpy()]
+    def _begins(self, parts: pa.Array) -> np.ndarray:
+        """A text may be cut before them. Before a blank: what follows is neither white space or an
+        unusual character, so that the split pattern parts there, nor a special token. Else
+        they are the signs that end a word."""
+        second = pc.utf8_slice_codeunits(parts, 1, 2).dictionary_encode()
+        plain = np.array([c.isprintable() and c != "" for c in second.dictionary.to_pylist()], bool)
+        blank = pc.starts_with(parts, " ").to_numpy(zero_copy_only=False)
+        found = ~blank | plain[second.indices.to_numpy()]
         for token in self._special:
-            found &= ~pc.starts_with(parts, token).to_numpy(zero_copy_only=False)
+            found &= ~pc.starts_with(parts, f" {token}").to_numpy(zero_copy_only=False)
         return found
 
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +363,9 @@ class Codec:
         counts, special = [], {}
         for chunk in chunks:
             before = len(words)
-            if self._cut and any(t in chunk for t in self._special):
+            if chunk.isascii() and chunk[1:].isalpha() and chunk[0] == " ":
+                words.append(chunk.encode())
+            elif self._cut and any(t in chunk for t in self._special):
                 for number, piece in enumerate(self._cut(chunk)):
                     if number % 2:
                         special[len(words)] = self._special[piece]
@@ -379,7 +383,14 @@ class Codec:
         return ids, np.diff(ends)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return ids_of_column(texts, self.table, self.begins, " ")
+        """Ids of all texts in a row, and how many each has."""
+        number, mark = 0, "\x1f"  # a text that no text holds
+        while pc.any(pc.match_substring(texts, mark)).as_py():
+            number, mark = number + 1, f"\x1f{number}"
+        marked = pc.replace_substring(texts, " ", f"{mark} ")
+        # Full stops and commas that end a word are parts of their own.
+        marked = pc.replace_substring_regex(marked, f"([A-Za-z0-9])([.,]+)({mark}|$)", rf"\1{mark}\2\3")
+        return ids_of_column(marked, self.table, mark, self._begins)
 
     def encode(self, text: str) -> list[int]:
         return self.encode_column(pa.array([text], pa.string()))[0].tolist()

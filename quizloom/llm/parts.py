@@ -77,19 +77,17 @@ class ChunkTable:
 
 
 def ids_of_column(
-    texts: pa.Array, table: ChunkTable, begins: Callable[[pa.Array], np.ndarray] | None = None, blank: str = ""
+    texts: pa.Array, table: ChunkTable, mark: str = " ", begins: Callable[[pa.Array], np.ndarray] | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each has; null texts have none.
 
-    ``begins`` says of parts behind a blank whether they begin a chunk, that is whether the blank's
-    place may be cut; by default all do. Such a chunk is looked up with ``blank`` in front."""
+    Texts are cut at ``mark``, which goes. ``begins`` says of parts behind a mark whether they begin
+    a chunk, that is whether the text may be cut there; by default all do."""
     table.trim()
-    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    lists = pc.split_pattern(pc.fill_null(texts, ""), mark)
     coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy()
-    open_ = begins(coded.dictionary) if begins else np.ones(len(coded.dictionary), bool)
-    with_blank = pc.binary_join_element_wise(blank, coded.dictionary, "") if blank else coded.dictionary
-    parts = with_blank.to_pylist()
+    codes, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    open_ = begins(coded.dictionary) if begins else np.ones(len(parts), bool)
     counts = np.diff(lists.offsets.to_numpy())
     heads = np.zeros(len(codes) + 1, bool)  # first parts of texts, and the end
     heads[np.concatenate([[0], np.cumsum(counts)])] = True
@@ -97,23 +95,19 @@ def ids_of_column(
     cut[:-1] |= open_[codes]
     starts = np.flatnonzero(cut)
     ends, starts = starts[1:], starts[:-1]
-    plain = (ends - starts == 1) & ~heads[starts]
-    plain_codes = codes[starts[plain]]
+    single = ends - starts == 1
+    single_codes = codes[starts[single]]
     used = np.zeros(len(parts), bool)
-    used[plain_codes] = True
+    used[single_codes] = True
     used = np.flatnonzero(used)
     of_part = np.zeros(len(parts), np.int64)
     of_part[used] = table.places(parts if len(used) == len(parts) else [parts[i] for i in used.tolist()])
     chosen = np.empty(len(starts), np.int64)
-    chosen[plain] = of_part[plain_codes]
-    odd = np.flatnonzero(~plain)
-    listed, skip = [], len(blank)
-    for a, b, head in zip(starts[odd].tolist(), ends[odd].tolist(), heads[starts[odd]].tolist()):
-        chunk = " ".join([parts[c][skip:] for c in codes[a:b].tolist()])
-        listed.append(chunk if head else blank + chunk)
-    distinct = dict.fromkeys(listed)
+    chosen[single] = of_part[single_codes]
+    joined = ["".join([parts[c] for c in codes[a:b].tolist()]) for a, b in zip(starts[~single].tolist(), ends[~single].tolist())]
+    distinct = dict.fromkeys(joined)
     places = dict(zip(distinct, table.places(list(distinct)).tolist()))
-    chosen[odd] = [places[c] for c in listed]
+    chosen[~single] = [places[c] for c in joined]
     ids, sizes = table.ids(chosen)
     chunks = np.add.reduceat(cut[:-1].astype(np.int64), np.cumsum(counts) - counts) if len(counts) else counts
     ends_of = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *chunks.tolist()])]

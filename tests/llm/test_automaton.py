@@ -118,7 +118,7 @@ def test_every_code_point(own, library):
 def test_random_texts(own, library):
     rng = random.Random(3)
     letters = ["a", "b", " ", " ", "\n", "\t", "'s", "'ll", "é", "7", "!!", "\x1c", "漢", "🙂", "the", "ing", "  ", "​",
-               "<|endoftext|>", "<|endo", "\xa0"]
+               "<|endoftext|>", "<|endo", "\xa0", ".", ",", "a. ", "b.,", "\x1f", "\x1f1"]
     texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)] + [None, ""]
     ids, counts = own.encode_column(pa.array(texts))
     ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
