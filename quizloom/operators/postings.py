@@ -125,7 +125,8 @@ class Postings:
             ids = np.frombuffer(table["ids"][0].as_py(), "<i8")
             listed = [_places(x) for x in table["steps"].to_pylist()]
             starts, found = listed[0], listed[1:]
-            code = np.repeat(table["code"].to_numpy()[1:], [len(x) for x in found]).astype(np.int64)
+            sizes = np.array([len(x) for x in found], np.int64)
+            code = np.repeat(table["code"].to_numpy()[1:], sizes).astype(np.int64)
             place = np.concatenate([np.zeros(0, np.int64), *found])
             order = np.argsort(place)
             place, code = place[order], code[order]

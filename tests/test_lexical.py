@@ -116,6 +116,8 @@ def test_index_holds_every_place(spark, new_path, monkeypatch):
     schema = "passage_id long, text string"
     postings.write(spark.createDataFrame(list(texts.items()), schema).coalesce(1), new_path("index"), folders=3)
     index = postings.read(spark, new_path("index"), folders=3)
+    for words in ([], ["w9"]):
+        assert [r["terms"] for r in index.sparse_rows(words, np.zeros(0, np.int64)).collect()] == [[]] * 6
     got, rows = Counter(), index.rows.collect()
     blocks_ = {r["block"]: (np.frombuffer(r["ids"], "<i8"), postings._places(r["steps"])) for r in rows if r["word"] is None}
     for row in rows:
