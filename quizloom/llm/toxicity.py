@@ -61,6 +61,7 @@ CALIBRATION_PARTS = 4
 CALIBRATION_ROWS = 20_000
 BROADCAST_ROWS = 100_000
 PAIR_MARGIN = 2.0
+SLICE = 1 << 20  # characters that are taken together
 _PAIR_STEPS = 64  # a ratio is taken to one part in so many where pairs are compared with words
 COUNT_SCHEMA = "hash long, stem long, toxic long, ordinary long"
 
@@ -85,7 +86,7 @@ def count_words(labelled: DataFrame, text: str, label: Column) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch["toxic"].to_numpy(zero_copy_only=False)
-            for owners, parts in slices(t.as_py() or "" for t in batch["text"]):
+            for owners, parts in slices((t.as_py() or "" for t in batch["text"]), SLICE):
                 yield _word_counts(parts, toxic[owners])
 
     rows = labelled.select(F.col(text).alias("text"), label.cast("boolean").alias("toxic"))
@@ -112,7 +113,7 @@ def count_pairs(labelled: DataFrame, text: str, label: Column, shared: Broadcast
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch["toxic"].to_numpy(zero_copy_only=False)
-            for owners, parts in slices(t.as_py() or "" for t in batch["text"]):
+            for owners, parts in slices((t.as_py() or "" for t in batch["text"]), SLICE):
                 found = Words.of(parts)
                 known = shared.value.find(found)
                 owner = np.repeat(np.arange(len(parts)), found.counts)
@@ -354,7 +355,7 @@ class Model:
         """Numbers of a text: words; whole and clearly toxic difference of words that are not open,
         and open words; what pairs add that are not open, and open pairs."""
         sums = np.zeros((6, len(texts)))
-        for owners, parts in slices(texts):
+        for owners, parts in slices(texts, SLICE):
             words = Words.of(parts)
             found, owner = self.find(words), np.repeat(owners, words.counts)
             ratio, shut = found.ratio, ~found.open
@@ -418,7 +419,7 @@ def open_means(df: DataFrame, scorer: Scorer, text: str) -> DataFrame:
     def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
-            for owners, parts in slices(t.as_py() or "" for t in batch["text"]):
+            for owners, parts in slices((t.as_py() or "" for t in batch["text"]), SLICE):
                 words = Words.of(parts)
                 found = shared.value.find(words)
                 part = np.repeat(np.arange(len(parts)), words.counts)
