@@ -44,9 +44,9 @@ from quizloom.llm.tables import cut_batch, one_per_task
 MANIFEST_SCHEMA = (
     "shard string, part int, number int, docs long, ids long, width int, first_key long, last_key long"
 )
-TABLE_CHUNKS = 1 << 19
+TABLE_CHUNKS = 3 << 17
 TABLE_CHARS = 32 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SHARD_BYTES = 512 << 20
 READ_BYTES = 8 << 20
 _GAMMA = 2
