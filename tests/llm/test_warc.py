@@ -65,16 +65,6 @@ def test_frames_are_read_one_by_one(spark, pages, new_path):
     assert record["id"] == 9 and len(reader) >= 1
 
 
-def test_a_wrong_index_is_an_error(spark, pages, new_path):
-    folder = "file://" + new_path("warc")
-    index = warc.archive(spark, pages, folder, "page_id", "url", "html")
-    for wrong in (index.withColumn("id", F.col("id") + 1), index.withColumn("length", F.col("length") - 1)):
-        with pytest.raises(Exception, match="is wrong"):
-            warc.read_bundles(wrong, f"{folder}/bundles").collect()
-    one = warc.read_bundles(index.where("id = 9"), f"{folder}/bundles").collect()
-    assert [r.id for r in one] == [9]
-
-
 def test_every_frame_is_plain_zstandard(spark, pages, new_path):
     """A reader that knows no seek table reads the bundle from end to end."""
     path = new_path("warc")
