@@ -100,3 +100,28 @@ def test_encoding_resumes(spark, new_path):
     assert ran == [[0], [1], [2], [3], [4]]
     got = encoding.read_encoded(spark, folder).orderBy("passage_id").collect()
     assert [r["passage_id"] for r in got] == list(range(23)) and all(abs(r["v"][0] ** 2 + r["v"][1] ** 2 - 1) < 1e-9 for r in got)
+
+
+def test_small_batches_are_encoded_together(spark, new_path):
+    """A job takes many small batches; a batch that two runs have listed is read once."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(43)], "doc_id long, text string")
+    passages = encoding.number_passages(texts, ["doc_id"], batch_rows=2).cache()
+    ran = []
+
+    def encode(df):
+        ran.append(sorted(r["shard"] for r in df.select("shard").distinct().collect()))
+        return df.withColumn("v", F.array(F.length("text").cast("double"), F.lit(2.0)))
+
+    folder = new_path("encoded")
+    assert encoding.encode_batches(passages, encode, folder, most=3, job_rows=20) == [0, 1, 2]
+    assert encoding.read_encoded(spark, folder).count() == 6
+    assert encoding.encode_batches(passages, encode, folder, job_rows=20) == list(range(3, 22))
+    assert ran == [[0, 1, 2], list(range(3, 13)), list(range(13, 22))]
+    listed = spark.read.parquet(f"{folder}/manifest").collect()
+    assert {r["shard"]: r["rows"] for r in listed} == {i: 2 if i < 21 else 1 for i in range(22)}
+    again = passages.where("shard BETWEEN 5 AND 6").withColumn("v", F.array(F.lit(0.6).cast("double"), F.lit(0.8).cast("double")))
+    again.select("shard", "row_no", "passage_id", "v").write.parquet(f"{folder}/vectors/0again")
+    spark.createDataFrame([(5, "0again", 2)], encoding.MANIFEST_SCHEMA).write.mode("append").parquet(f"{folder}/manifest")
+    got = encoding.read_encoded(spark, folder).orderBy("passage_id").collect()
+    assert [r["passage_id"] for r in got] == list(range(43))
+    assert [r["shard"] for r in got if r["v"] == [0.6, 0.8]] == [5, 5]
