@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_text import python_terms
@@ -254,3 +255,19 @@ def test_counts_meet_the_vocabulary_after_counting(spark):
     vocab = spark.createDataFrame([("w1",), ("w1 w2",), ("w9",)], "term string")
     got = {tuple(r) for r in lexical.term_counts(passages, vocab).collect()}
     assert got == {(1, "w1", 2), (1, "w1 w2", 1)}
+
+
+def test_other_terms_go_where_they_are_cut(spark, monkeypatch):
+    """A small vocabulary is sent to the tasks, so that only its terms are counted and shuffled; a
+    larger one is joined. No list of terms is sorted."""
+    passages = spark.createDataFrame([(1, "w1 w2 w1"), (2, "w3"), (3, ""), (4, None), (5, "w1")], "passage_id long, text string")
+    vocab = spark.createDataFrame([(0, "w1"), (1, "w1"), (0, "w1 w2"), (0, "w9")], "chunk long, term string")
+    counted = lexical.term_counts(passages, vocab)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "broadcast" in plan
+    assert plan.index("Aggregate [passage_id") < plan.index("Join LeftSemi") < plan.index("Generate explode")
+    expected = {(1, "w1", 2), (1, "w1 w2", 1), (5, "w1", 1)}
+    assert {tuple(r) for r in counted.collect()} == expected
+    monkeypatch.setattr(lexical, "SENT_BYTES", 0)
+    counted = lexical.term_counts(passages, vocab)
+    assert counted.columns == ["passage_id", "term", "tf"] and {tuple(r) for r in counted.collect()} == expected
