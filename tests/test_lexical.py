@@ -271,3 +271,18 @@ def test_other_terms_go_where_they_are_cut(spark, monkeypatch):
     monkeypatch.setattr(lexical, "SENT_BYTES", 0)
     counted = lexical.term_counts(passages, vocab)
     assert counted.columns == ["passage_id", "term", "tf"] and {tuple(r) for r in counted.collect()} == expected
+
+
+def test_steps_of_all_words_at_once():
+    """The words of a block are turned into steps together, not one by one."""
+    places = [[0, 3, 9], [1], [2, 7], [0, 4, 4, 8]]
+    steps = postings._steps(np.concatenate(places), np.cumsum([len(p) for p in places]))
+    assert [postings._places(s.as_py()).tolist() for s in steps] == places
+    tokens = [["b", "a", "b"], [], None, ["a", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array(tokens, pa.list_(pa.string()))], names=["passage_id", "tokens"])
+    found = [r for out in postings._invert(iter([batch, batch.slice(1, 2), batch.slice(0, 0)]), 9, 4) for r in out.to_pylist()]
+    rows = [(r["word"], postings._places(r["steps"]).tolist(), r["ids"] and np.frombuffer(r["ids"], "<i8").tolist()) for r in found]
+    assert rows == [
+        ("b", [0, 2], None), ("a", [1], None), (None, [0, 3, 3], [7, 8, 9]),
+        ("a", [0], None), ("c", [1], None), (None, [0], [10]), (None, [0, 0], [8, 9]),
+    ]
