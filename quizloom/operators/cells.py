@@ -296,8 +296,8 @@ def _scored(stored: DataFrame, probes: DataFrame, queries: int, k: int) -> DataF
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
-                found = [_best_of_pair(*(v.as_py() for v in row), k)
-                         for row in zip(*(c.slice(first, 64) for c in batch.columns))]
+                found = [_best_of_pair(shard.as_py(), *(v.as_buffer() for v in packed), k)
+                         for shard, *packed in zip(*(c.slice(first, 64) for c in batch.columns))]
                 shard, query, passage, key = (np.concatenate(c) for c in zip(*found))
                 order = np.lexsort((passage, key, query, shard))
                 shard, query, passage, key = (c[order] for c in (shard, query, passage, key))
@@ -313,7 +313,9 @@ def _scored(stored: DataFrame, probes: DataFrame, queries: int, k: int) -> DataF
     return both.mapInArrow(score, B.NEIGHBOUR_SCHEMA)
 
 
-def _best_of_pair(shard: int, ids: bytes, vectors: bytes, query_ids: bytes, query_vectors: bytes, k: int):
+def _best_of_pair(
+    shard: int, ids: pa.Buffer, vectors: pa.Buffer, query_ids: pa.Buffer, query_vectors: pa.Buffer, k: int
+):
     row_ids, asked = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
     rows = np.frombuffer(vectors, "<f8").reshape(len(row_ids), -1)
     wanted = np.frombuffer(query_vectors, "<f8").reshape(len(asked), -1)

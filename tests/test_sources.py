@@ -1,7 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quizloom.operators import batch_scoring
+from quizloom.operators import batch_scoring, blocks
 from quizloom.runtime import checkpoint_root
 from quizloom.sources import readers, writers
 
@@ -108,3 +109,21 @@ def test_batches_and_hashed_vectors(spark):
     assert len(vectors[1]) == 16 and sum(vectors[2]) == sum(vectors[3]) == 0
     assert sum(x * x for x in vectors[1]) == pytest.approx(1)
     assert max(vectors[1]) == pytest.approx(2 / 5**0.5)
+
+
+def test_lists_are_taken_some_entries_at_a_time(monkeypatch):
+    """Nothing that a task works out grows with the batch; a longer list stands alone."""
+    monkeypatch.setattr(blocks, "RUN_ENTRIES", 10)
+    lists = [["a"] * n for n in (4, 6, 1, 25, 0, 3)] + [None, ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], names=["id", "t"])
+    runs = list(blocks.list_runs(iter([batch, batch.slice(0, 0), batch.slice(2)]), "t"))
+    assert [r["id"].to_pylist() for r in runs] == [[0, 1], [2], [3], [4, 5, 6, 7], [2], [3], [4, 5, 6, 7]]
+    assert [len(r["t"].flatten()) for r in runs] == [10, 1, 25, 4, 1, 25, 4]
+
+
+def test_vectors_of_texts_longer_than_a_run(spark):
+    texts = ["a " * (blocks.RUN_ENTRIES + 5), "a b", "b " * (blocks.RUN_ENTRIES - 1), None, "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: [round(x, 6) for x in r["v"]] for r in batch_scoring.hashed_vectors(df).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[2] == got[4] and max(got[0]) == 1.0 and sum(got[3]) == 0
+    assert got[1] == [round((x + y) / 2**0.5, 6) for x, y in zip(got[0], got[4])]
