@@ -1,11 +1,13 @@
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quizloom import constants as K
 from quizloom.functions import text as T
 from quizloom.operators import lexical, prep
+from registry.queries import queries
 
 PYTHON_TOKENS = re.compile(r"(?u)\b[\w/.-]+\b|!|/|\?|\"|\'")
 
@@ -61,6 +63,33 @@ def test_tokeniser_stands_once_in_the_plan(spark):
     assert plan.toString().count("regexp_extract_all") == 1
 
 
+def test_terms_counted_in_runs(spark, monkeypatch):
+    """Without an id a term comes once per run, not per occurrence; pairs over the end of a run are
+    counted, those over the end of a text are not."""
+    texts = [None, "", "of", *TEXTS, "one", "cats and dogs " * 40, "", *["cats dogs"] * 50, "the", None]
+    expected = Counter(term for text in texts for term in python_terms(text or ""))
+    df = frame(spark, texts).coalesce(1)
+    rows = lexical.exploded_terms(df, None).collect()
+    assert {row["term"]: row["n"] for row in rows} == expected and len(rows) == len(expected)
+    monkeypatch.setattr(lexical, "COUNTED_ROWS", 2)
+    for tokens in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(lexical, "COUNTED_TOKENS", tokens)
+        found = Counter()
+        for row in lexical.exploded_terms(df, None).collect():
+            found[row["term"]] += row["n"]
+        assert found == expected
+    assert lexical.exploded_terms(df.where("false"), None).collect() == []
+
+
+def test_ngrams_are_dealt_out_before_the_grouping(spark, sf_dir):
+    """No grouping holds all pairs of a task before the shuffle, and no row stands for one occurrence."""
+    found = queries()["ngrams"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") < plan.index("MapInArrow")
+    assert found.columns == ["term", "n"]
+
+
 def test_nfkd_and_quotes(spark):
     texts = ["ﬁ é ½", 'say "é"', "ascii only", None]
     df = frame(spark, texts).select(
