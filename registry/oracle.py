@@ -515,7 +515,8 @@ def oracle_sql() -> dict[str, str]:
         "term_counts": _w(lexical, "SELECT passage_id, term, tf FROM p_terms"),
         "tfidf_vectors": _w(lexical, """SELECT chunk, passage_id, term, round(w, 6) AS weight
             FROM p_w"""),
-        "tfidf_scores": _w(lexical_own, "SELECT query_id, passage_id, score FROM own"),
+        "tfidf_scores": _w(lexical, """SELECT query_id, passage_id, coalesce(score, 0.0) AS score
+            FROM bq CROSS JOIN passages LEFT JOIN hits USING (query_id, passage_id)"""),
         "lexical_top10": _w(lexical, "SELECT query_id, rank, score, passage_id FROM ranked"),
         "lexical_top10_index": _w(lexical, "SELECT query_id, rank, score, passage_id FROM ranked"),
         "lexical_top10_chunks": _w(lexical_chunks, "SELECT query_id, rank, score, passage_id FROM ranked"),

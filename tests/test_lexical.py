@@ -243,6 +243,19 @@ def test_own_pool_scores_given_pairs_alone(spark, data):
     assert sorted((r["query_id"], r["passage_id"]) for r in rows) == sorted(everything[::7])
 
 
+@pytest.mark.parametrize("max_terms", [None, 60, 15])
+def test_own_pool_without_pairs_is_every_passage(spark, data, max_terms):
+    """No partner is dropped, nor one that shares no term or holds none."""
+    queries, passages = data
+    q, p = frames(spark, queries, passages | {1000: None})
+    rows = lexical.own_pool_scores(q, None, p, max_terms=max_terms).collect()
+    expected = brute_force(queries, passages | {1000: ""}, len(passages) + 1, 800, 500_000)
+    got = {(r["query_id"], r["passage_id"]): r["score"] for r in rows}
+    assert len(rows) == len(got) == len(queries) * (len(passages) + 1)
+    assert got == pytest.approx({(a, b): s for a, hits in expected.items() for s, b in hits})
+    assert 0.0 in got.values() and all(str(s) != "-0.0" for s in got.values())
+
+
 def test_scores_do_not_depend_on_other_queries_number(spark, data):
     queries, passages = data
     q, p = frames(spark, queries, passages)

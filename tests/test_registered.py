@@ -30,6 +30,12 @@ def test_all_queries_have_sql():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
+def test_scores_of_every_question_and_passage(spark, connection, sf_dir):
+    """Not of the nearest passages alone."""
+    pairs = connection.execute("SELECT (SELECT count(*) FROM benchmark) * (SELECT count(DISTINCT text) FROM documents)")
+    assert QUERIES["tfidf_scores"](spark, sf_dir).count() == pairs.fetchone()[0]
+
+
 def test_entry_has_contexts(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 40
